@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality_rules, sharding, url_filter
-from ._base import table
+from . import language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
+from ._base import stored, table
 
 #: The key of the queries and tests; a real run takes its key from its own secret store.
 DEMO_KEY = "demonstration key"
@@ -21,6 +21,21 @@ URL_RULES = [
 ]
 
 
+def _held_out(key: str = "doc_id") -> Column:
+    """Whether crc32 of the id as text leaves 0 modulo 5; rows without an id are neither held out nor learnt from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def _learnt(key: str = "doc_id") -> Column:
+    return F.col(key).isNotNull() & ~_held_out(key)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(_learnt()))
+    return toxicity.score(docs, model).withColumn("held_out", _held_out())
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, DEMO_KEY, count="n_changed")
@@ -42,16 +57,32 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "fail_bits")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.where(_learnt()))
+    return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = stored(quality_model.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    model = quality_model.fit(stats, table(spark, sf_dir, "labels").where(_learnt()))
+    out = quality_model.score(stats, model).withColumnRenamed("key", "doc_id")
+    return out.select("doc_id", _held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_pii": op3_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
+    "op9_quality_model": op9_quality_model,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {}
