@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
+from . import decontamination, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
 from ._base import stored, table
 
 #: The key of the queries and tests; a real run takes its key from its own secret store.
@@ -36,6 +36,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", _held_out())
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start", "n_words", "hamming")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, DEMO_KEY, count="n_changed")
@@ -77,6 +82,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_sharding": op5_sharding,
