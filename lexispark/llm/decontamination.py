@@ -78,11 +78,12 @@ def simhash(shingles: Column, planes: int) -> Column:
     return F.aggregate(shingles, zero, add, majority)
 
 
-def _counted(a: Column) -> Column:
-    """A multiset of hashes as a set: the k-th repetition of a hash gets a hash of its own."""
-    nth = lambda x, i: F.size(F.filter(F.slice(a, F.lit(1), i), lambda y: y == x))
-    tagged = F.transform(a, lambda x, i: F.when(nth(x, i) == 0, x).otherwise(F.xxhash64(x, nth(x, i))))
-    return F.when(F.size(F.array_distinct(a)) == F.size(a), a).otherwise(tagged)
+def _shared(a: Column, b: Column) -> Column:
+    """The size of the intersection of two multisets of hashes."""
+    times = lambda c, x: F.size(F.filter(c, lambda y: y == x))
+    slow = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x)))
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(slow)
 
 
 def _block(fingerprint: Column, k: int) -> Column:
@@ -137,12 +138,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         agree = F.coalesce(*(F.when(_block(F.col("print"), k) == _block(F.col("i_print"), k), F.lit(k)) for k in range(BLOCKS)))
         pairs = probes.join(hint(index), (F.col("n") == F.col("i_n")) & (F.col("k") == F.col("i_k")) & (F.col("block") == F.col("i_block")))
         pairs = pairs.where((distance <= RADIUS) & (agree == F.col("k")))  # a pair is taken up in the first block that agrees
-        shared = F.size(F.array_intersect(_counted(F.col("shingles")), _counted(F.col("i_shingles"))))
-        pairs = pairs.select("key", "digest", "item", "start", "n_words", distance.alias("hamming"), shared.alias("shared"), (F.size("shingles") + F.size("i_shingles") - shared).alias("all"))
-        pairs = pairs.where(100 * F.col("shared") >= SIMILARITY * F.col("all"))
+        pairs = pairs.select("key", "digest", "item", "start", "n_words", distance.alias("hamming"), _shared(F.col("shingles"), F.col("i_shingles")).alias("shared"), (F.size("shingles") + F.size("i_shingles")).alias("both"))
+        pairs = pairs.where((100 + SIMILARITY) * F.col("shared") >= SIMILARITY * F.col("both"))
         found = pairs if found is None else found.unionByName(pairs)
 
-    best = F.max(F.struct((F.col("shared") / F.col("all")).alias("similarity"), (-F.col("start")).alias("start"), F.col("n_words").alias("n_words"), (-F.col("hamming")).alias("hamming")))
+    best = F.max(F.struct((F.col("shared") / (F.col("both") - F.col("shared"))).alias("similarity"), (-F.col("start")).alias("start"), F.col("n_words").alias("n_words"), (-F.col("hamming")).alias("hamming")))
     found = found.groupBy("key", "digest", "item").agg(best.alias("b"))
     return found.select("key", "digest", "item", "b.similarity", (-F.col("b.start")).alias("start"), "b.n_words", (-F.col("b.hamming")).alias("hamming")).select(*out)
 

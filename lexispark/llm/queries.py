@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
+from . import decontamination, jaccard_join, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
 from ._base import stored, table
 
 #: The key of the queries and tests; a real run takes its key from its own secret store.
@@ -68,6 +68,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = stored(quality_model.with_statistics(table(spark, sf_dir, "documents")), "statistics")
     model = quality_model.fit(stats, table(spark, sf_dir, "labels").where(_learnt()))
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_model": op9_quality_model,
     "op10_url_filter": op10_url_filter,
 }

@@ -13,7 +13,7 @@ def odd_documents(spark, extra: bool = False):
         (3, " \n\t ", None, "a", 4),
         (None, "no id here but some words to read", "en", "b", 3),
         (4, "x", "fr", "b", 1),
-        (5, "word " * 30_000, "en", "a", 150_000),
+        (5, "word " * 3_000, "en", "a", 15_000),
         (6, PROSE.upper(), "de", None, 9),
         (7, "4111 1111 1111 1111 \u00e9\u00e8 \U0001f600 \x00 $1 \\", "fr", "b", 2),
         (8, PROSE * 3, "en", "b", 1),
