@@ -1,0 +1,133 @@
+"""Ingest of corpus files into Parquet, partitioned by corpus, with a catalog of their states."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import time
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.text import normalized, tokens
+from . import formats
+
+ROW = (
+    "doc_id string, utterance_id string, sequence long, form string, original_form string, speaker_id string, title string, author string, publisher string, date string, topic string, category string, "
+    "year string, time string, start double, end double, note string, speaker_age string, speaker_sex string, speaker_occupation string, metadata string, provided array<struct<surface:string,lemma:string,pos:string>>"
+)
+CATALOG = "corpus_id string, name string, source_path string, status string, imported_at double, file_count long, document_count long, utterance_count long, token_count long, error string"
+
+
+def corpus_id_of(path: str) -> str:
+    return f"{formats.identifier(formats.stem(path)).lower() or 'corpus'}-{hashlib.sha1(path.encode()).hexdigest()[:10]}"
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of all corpus files under a path: one task opens whole files, and a file's rows stream out of it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = files.where(F.lower("path").rlike(r"\.(json|csv|tsv|xml|txt|zip)$") & ~F.col("path").rlike(r"/\.[^/]*$")).select("path", "content")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                for k, (inner, data) in enumerate(formats.entries(name, content)):
+                    found = list(formats.parse(inner, data))
+                    if found:
+                        yield pd.DataFrame(found).assign(file=inner, file_order=k, file_row=range(len(found)))
+
+    return files.mapInPandas(rows, f"{ROW}, file string, file_order int, file_row long")
+
+
+def canonical(rows: DataFrame, corpus_id: str) -> DataFrame:
+    """Utterances with row_id, tokens and normalised provided tokens; of a document that occurs twice the first description counts."""
+    order = W.partitionBy("corpus_id", "doc_id").orderBy("file", "file_order", "file_row")
+    text = F.when(F.regexp_replace("form", r"\s+", "") != "", F.col("form")).otherwise(F.col("original_form"))
+    given = F.transform("provided", lambda t: F.struct(normalized(t["surface"]).alias("surface"), normalized(t["surface"]).alias("normalized"), t["lemma"].alias("lemma"), t["pos"].alias("pos")))
+    rows = rows.withColumn("corpus_id", F.lit(corpus_id)).withColumn("provided", F.filter(given, lambda t: t["normalized"] != ""))
+    rows = rows.withColumn("tokens", tokens(text)).withColumn("nth", F.row_number().over(order))
+    start = F.abs(F.xxhash64("corpus_id", "doc_id")) % (1 << 40) * (1 << 22)
+    return rows.withColumn("row_id", start + F.col("nth")).drop("nth", "file_order")
+
+
+class Store:
+    """Corpora under one folder: ``utterances`` by corpus and a ``catalog``."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, what: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{what}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def catalog(self) -> DataFrame:
+        """The last state of each corpus, latest first."""
+        fs, path = self._path("catalog")
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], CATALOG)
+        rows = self.spark.read.schema(CATALOG).parquet(f"{self.folder}/catalog")
+        last = F.row_number().over(W.partitionBy("corpus_id").orderBy(F.desc("imported_at")))
+        return rows.withColumn("_n", last).where("_n = 1 and status <> 'deleted'").drop("_n").orderBy(F.desc("imported_at"))
+
+    def _record(self, **values) -> None:
+        row = {"file_count": 0, "document_count": 0, "utterance_count": 0, "token_count": 0, "error": None, "imported_at": time.time()} | values
+        self.spark.createDataFrame([row], CATALOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/catalog")
+
+    def utterances(self) -> DataFrame:
+        """All utterances of ready corpora."""
+        ready = [r["corpus_id"] for r in self.catalog().where("status = 'ready'").collect()]
+        return self.spark.read.parquet(f"{self.folder}/utterances").where(F.col("corpus_id").isin(ready))
+
+    def ingest(self, path: str, corpus_id: str | None = None, name: str | None = None) -> dict:
+        """Read, check, and publish a corpus; the files of a failed one are not published.
+
+        A path that is ready with utterances is not read again. A corpus without utterances, or with an utterance id twice,
+        fails and keeps its counts in the catalog.
+        """
+        key = re.sub(r"[\\/]+", "/", path).lower()
+        old = self.catalog().where((F.lower(F.regexp_replace("source_path", r"[\\/]+", "/")) == key) & (F.col("status") == "ready") & (F.col("utterance_count") > 0)).first()
+        if old and corpus_id is None:
+            return old.asDict() | {"status": "skipped_duplicate"}
+        corpus_id = corpus_id or corpus_id_of(path)
+        record = {"corpus_id": corpus_id, "name": name or formats.stem(path), "source_path": path}
+        staged = f"{self.folder}/staging/{corpus_id}"
+        try:
+            canonical(read_files(self.spark, path), corpus_id).drop("corpus_id").write.mode("overwrite").parquet(staged)
+            rows = self.spark.read.parquet(staged)
+            counts = rows.agg(F.countDistinct("file").alias("file_count"), F.countDistinct("doc_id").alias("document_count"), F.count(F.lit(1)).alias("utterance_count"), F.coalesce(F.sum(F.size("tokens") + F.size("provided")), F.lit(0)).alias("token_count")).first().asDict()
+            twice = rows.groupBy("utterance_id").count().where("count > 1").limit(1).collect()
+            error = "no utterances" if not counts["utterance_count"] else f"utterance id {twice[0][0]} occurs twice" if twice else None
+        except Exception as e:  # the state is kept, then the error goes on
+            self._record(**record, status="failed", error=str(e)[:500])
+            raise
+        fs, target = self._path(f"utterances/corpus_id={corpus_id}")
+        if error is None:
+            fs.delete(target, True)
+            fs.mkdirs(target.getParent())
+            fs.rename(self._path(f"staging/{corpus_id}")[1], target)
+        result = record | counts | {"status": "failed" if error else "ready", "error": error}
+        self._record(**result)
+        return result
+
+    def delete(self, corpus_id: str) -> None:
+        fs, target = self._path(f"utterances/corpus_id={corpus_id}")
+        fs.delete(target, True)
+        self._record(corpus_id=corpus_id, name="", source_path="", status="deleted")
+
+    def rebuild(self, corpus_id: str) -> dict:
+        old = self.catalog().where(F.col("corpus_id") == corpus_id).first()
+        return self.ingest(old["source_path"], corpus_id, old["name"])
+
+
+def without_repeated_sources(names: list[str]) -> list[str]:
+    """Drop messenger CSV files if there is messenger JSON, and newspaper CSV files if there is JSON of the same year."""
+    low = {n: n.lower() for n in names}
+    kind = lambda n, k, suffix: any(x in low[n] for x in k) and (suffix in low[n])
+    messenger, paper = ("messenger", "메신저"), ("newspaper", "신문")
+    year = lambda n: (re.search(r"20\d\d", n) or [""])[0]
+    has_messenger = any(kind(n, messenger, "json") for n in names)
+    years = {year(n) for n in names if kind(n, paper, "json")}
+    return [n for n in names if not (kind(n, messenger, "csv") and has_messenger) and not (kind(n, paper, "csv") and year(n) in years)]
