@@ -31,7 +31,9 @@ def test_odd(spark):
         assert stage(spark, docs, SF).columns == docs.columns
         assert stage(spark, no_documents(spark), SF).count() == 0
     left = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
-    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in left) == [-1, 0, 1, 2, 3, 4, 5, 6, 7]
+    # document 6 has 17 of the 21 shingles of document 0
+    want = {c for _, _, c in slow_components([(r["doc_id"], r["text"]) for r in docs.collect()])}
+    assert 6 not in want and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in left) == sorted(-1 if c is None else c for c in want)
 
 
 def test_run(spark):
