@@ -25,20 +25,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; so do documents without an id in a group without any."""
-    groups = jaccard_join.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("k")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
-    # texts are only grouped by id if an id occurs twice at all
-    return _one_each(rows) if groups.groupBy("doc_id").count().where("count > 1").limit(1).count() else rows
-
-
-def _one_each(rows: DataFrame) -> DataFrame:
-    """One row of each id, by the smallest text; rows without an id are told apart by their texts."""
-    other = [c for c in rows.columns if c != "doc_id"]
-    group = ["doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("__no_id")]
-    least = rows.groupBy(*group).agg(F.min(F.struct("text", *(c for c in other if c != "text"))).alias("__row"))
-    return least.select(*(F.col("doc_id") if c == "doc_id" else F.col(f"__row.{c}").alias(c) for c in rows.columns))
+    """Each group of near duplicates keeps exactly one row, of the smallest id in it; a group without any id keeps one too.
+
+    Rows of one id whose texts are not near duplicates are different groups. Rows without words are like no other and stay.
+    """
+    return jaccard_join.representatives(docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

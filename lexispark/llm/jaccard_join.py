@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from ._base import stored
+from ._base import SPACES, stored
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
@@ -81,13 +81,17 @@ def _class(d1: np.ndarray, d2: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _sizes(rows: DataFrame, seed: int) -> DataFrame:
-    """key, n, class and second digest of each document."""
+    """n, class and digests of each document, after the columns of ``rows`` but the text."""
+    kept = [c for c in rows.columns if c != "text"]
 
     def make(part: pa.RecordBatch, texts: pa.LargeStringArray) -> pa.RecordBatch:
         n, d1, d2 = digests(*shingle_sets(texts), len(texts))
-        return pa.RecordBatch.from_arrays([part.column("key"), pa.array(n, pa.int64()), pa.array(_class(d1, d2, seed)), pa.array(d1), pa.array(d2)], ["key", "n", "cls", "d1", "d2"])
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(_class(d1, d2, seed)), pa.array(d1), pa.array(d2)], [*kept, "n", "cls", "d1", "d2"])
 
-    return rows.mapInArrow(textkit.per_slice(make), f"key {rows.schema['key'].dataType.simpleString()}, n long, cls long, d1 long, d2 long")
+    schema = rows.select(*kept).schema
+    for c in ("n", "cls", "d1", "d2"):
+        schema = schema.add(c, "long")
+    return rows.mapInArrow(textkit.per_slice(make), schema)
 
 
 def _dealt(rows: DataFrame, seed: int, ranges: int) -> DataFrame:
@@ -250,15 +254,8 @@ def _candidates(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return x.join(y, on[0] & on[1] & on[2] & on[3] & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key``, n_shingles, component_id (the smallest key connected by links) and n_links.
-
-    n_links counts the other classes that were found to be linked directly before the class was connected, 0 if there is none.
-    Documents without words have no shingles and no links; they, like those alone, are their own component. Rows with
-    equal sets are always connected. Null keys count as no key: their component has the smallest other key, or null. An empty table
-    gives an empty table.
-    """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sizes of all rows (key, text, and columns that are carried along), the classes, their links, and the roots of linked classes."""
     seed = 0
     while True:  # a class is a 64-bit number; should two sets have the same one, all are numbered anew
         sizes = stored(_sizes(rows, seed), "sizes")
@@ -291,9 +288,46 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if more.limit(1).count():
         links = links.union(more)
         roots = components(links)
+    return sizes, classes, links, roots
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``key``, n_shingles, component_id (the smallest key connected by links) and n_links.
+
+    n_links counts the other classes that were found to be linked directly before the class was connected, 0 if there is none.
+    Documents without words have no shingles and no links; they, like those alone, are their own component. Rows with
+    equal sets are always connected. Null keys count as no key: their component has the smallest other key, or null. An empty table
+    gives an empty table.
+    """
+    sizes, classes, links, roots = _linked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
     degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(degree, "cls", "left")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     found = stored(rooted.join(least, "root").select(F.col("cls").alias("c"), "component_id", "n_links"), "components")
     out = sizes.join(found, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` per component, whole: the one with the smallest key, then the smallest digest of the row; null keys come last.
+
+    A component is known by its root class, so rows that share a key stay apart unless they are linked. Rows without words
+    are their own component and all stay. A row is known by two 64-bit digests of all its columns; equal rows count as one.
+    """
+    # nulls do not change a hash, so their places are hashed too
+    content = [*(F.col(c) for c in docs.columns), *(F.col(c).isNull() for c in docs.columns)]
+    marked = docs.select("*", F.xxhash64(*content).alias("__r1"), F.xxhash64(F.lit(1), *content).alias("__r2"))
+    rows = marked.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("__r1").alias("r1"), F.col("__r2").alias("r2"))
+    sizes, _, _, roots = _linked(rows)
+    sizes = sizes.where(F.col("n") > 0)
+    # by class before by root, so that a large group is never dealt as rows
+    least = sizes.groupBy("cls").agg(F.min(F.struct(F.col("key").isNull(), "key", "r1", "r2")).alias("row"))
+    least = least.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("row").alias("row"))
+    least = least.select(F.col("row.r1").alias("k1"), F.col("row.r2").alias("k2"))
+    blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)) == ""
+    worded = docs.where(~blank)
+    if sizes.groupBy("r1", "r2").count().where("count > 1").limit(1).count():
+        worded = worded.distinct()
+    worded = worded.select("*", F.xxhash64(*content).alias("__r1"), F.xxhash64(F.lit(1), *content).alias("__r2"))
+    worded = worded.join(least, (F.col("__r1") == F.col("k1")) & (F.col("__r2") == F.col("k2")), "left_semi")
+    return worded.select(*docs.columns).union(docs.where(blank))

@@ -39,3 +39,31 @@ def test_odd(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and out.where("n_tokens > 2048").count() == 0
+
+
+def test_shared_and_missing_ids(spark):
+    def words(name, n=40):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    lone = [(5, words(f"u{k}x"), "en", "a", 1) for k in range(6)]  # one id, unrelated texts
+    rows = [
+        *lone,
+        (3, words("copy"), "en", "a", 1),
+        (5, words("copy") + " more", "en", "a", 1),  # near copy of 3 under the shared id
+        (None, words("copy"), "en", "a", 1),  # copy of 3 without an id
+        (None, words("none"), "en", None, 1),  # a group without any id
+        (None, words("none") + " more", None, "en", 1),
+        (None, words("other"), "en", None, 1),  # equal but for the place of a null
+        (None, words("other"), None, "en", 1),
+        (9, words("same"), "en", "a", 1),
+        (9, words("same"), "en", "a", 1),
+        (8, "", "en", "a", 0),
+        (8, None, "en", "a", 0),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert all(r in rows for r in left)
+    assert [r for r in left if r[0] == 5 and r in lone] and sorted(r for r in left if r[0] == 5) == sorted(lone)
+    assert [r for r in left if r[1] and "copy0" in r[1]] == [rows[6]]
+    assert sum("none0" in (r[1] or "") for r in left) == sum("other0" in (r[1] or "") for r in left) == sum("same0" in (r[1] or "") for r in left) == 1
+    assert sum(r[0] == 8 for r in left) == 2 and len(left) == 12
