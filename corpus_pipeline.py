@@ -18,8 +18,13 @@ MIN_SCORE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: null texts, texts without letters, and scores under ``MIN_SCORE``."""
+    """Documents without a recognised language go: null texts, texts without letters, and scores under ``MIN_SCORE``.
+
+    If no training row has a language there is no model to judge by; then only null texts and texts without letters go.
+    """
     model = language_id.fit(docs.where(_learnt()))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language_id.predict(docs, model, lang="__lang", score="__score")
     return found.where((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
 

@@ -67,3 +67,10 @@ def test_shared_and_missing_ids(spark):
     assert [r for r in left if r[1] and "copy0" in r[1]] == [rows[6]]
     assert sum("none0" in (r[1] or "") for r in left) == sum("other0" in (r[1] or "") for r in left) == sum("same0" in (r[1] or "") for r in left) == 1
     assert sum(r[0] == 8 for r in left) == 2 and len(left) == 12
+
+
+def test_no_language_at_all(spark):
+    rows = [(k, t, None, "a", 1) for k, t in enumerate(["some words", "\u00e9t\u00e9", "12 34", "", None, "\u6f22 1"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.keep_known_languages(spark, docs, SF)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 1, 5]
