@@ -1,7 +1,7 @@
 """Pseudonyms for personal data by keyed, format-preserving Feistel permutations.
 
-Values are found by pattern, validated (Luhn, octet ranges, calendar, numbering plan), and replaced by a value of the same
-format under a keyed permutation of that format. The permutation depends on the key and the format only, so equal values
+Values are looked for at every place of a text, validated (Luhn, octet ranges, calendar, numbering plan), and replaced by a
+value of the same format; the first valid one wins where two overlap, and one that fails hides nothing inside it. This is done under a keyed permutation of that format. The permutation depends on the key and the format only, so equal values
 have equal pseudonyms in all documents, and different values have different ones. Only column expressions are used.
 """
 
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Groups of a card's digits; one separator is used throughout. Where a longer layout starts with a shorter one it comes first.
+CARD_GROUPS = [(4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 3, 3, 3), (6, 13)]
+CARD = "|".join([r"\d{13,19}", *(sep.join(rf"\d{{{n}}}" for n in groups) + r"(?!\d)" for groups in CARD_GROUPS for sep in " -")])
 #: Kind -> pattern. An earlier kind wins where two could start.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![\w@-])",
@@ -21,12 +24,14 @@ PATTERNS: dict[str, str] = {
     "secret": r"(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[0-9a-f]{12,128}(?![0-9A-Za-z])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "iso_date": r"(?<![\w/.-])\d{4}-\d{2}-\d{2}(?![\w/-]|\.\d)",
-    "dmy_date": r"(?<![\w/.-])\d{2}([./])\d{2}\1\d{4}(?![\w/-]|\.\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
+    "dmy_date": r"(?<![\w/.-])\d{2}(?:\.\d{2}\.|/\d{2}/)\d{4}(?![\w/-]|\.\d)",
+    "card": rf"(?<![\w.-])(?:{CARD})(?![\w-]|\.\d)",
     "phone": r"(?<![\w(+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])",
     "intl_phone": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\d{1,4}){2,5}(?![\w-])",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values()).replace(r"([./])\d{2}\1", r"(?:\.\d{2}\.|/\d{2}/)")
+ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: An empty match wherever a value could start, also inside another one; group 1 is the value.
+START = f"(?=({ANY}))"
 #: A 400-year cycle of the calendar has 146097 = 189 * 773 days.
 FIRST_DAY, DATE_HALVES = "1800-01-01", (189, 773)
 
@@ -187,19 +192,69 @@ def pseudonym(value: Column, key: str) -> Column:
     return out.otherwise(value)
 
 
+def _is_card(value: Column) -> Column:
+    return value.rlike(rf"\A(?:{CARD})\z") & (_luhn(F.regexp_replace(value, "[^0-9]", "")) % 10 == 0)
+
+
+def _card_alone(found: Column) -> Column:
+    """Of a card layout of 17 to 19 digits in groups the first 16, if they are valid: the others are a code or a date beside it."""
+    card = F.substr(found, F.lit(1), F.lit(19))
+    is_long = found.rlike(r"\A\d{4}(?: \d{4}){3} \d{1,3}\z|\A\d{4}(?:-\d{4}){3}-\d{1,3}\z")
+    return F.when(is_long & _is_card(card), card).otherwise(found)
+
+
+def _phones_alone(values: Column, lengths: Column) -> Column:
+    """International phone numbers end before a valid card, and at the last group that makes at most 15 digits; else they are empty."""
+    is_phone = lambda v: v.rlike(r"\A\+[2-9]")
+    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+
+    def cut(starts: Column) -> Column:
+        cards = F.filter(F.transform(values, lambda v, i: F.when(_is_card(v), F.get(starts, i))), lambda c: c.isNotNull())
+
+        def one(v: Column, i: Column) -> Column:
+            ahead = F.array_min(F.filter(F.transform(cards, lambda c: c - F.get(starts, i)), lambda d: d > 0))
+            whole = F.substr(v, F.lit(1), F.coalesce(ahead, F.length(v)))
+            return F.when(is_phone(v), F.regexp_extract(whole, r"\A\+\d(?:[ .-]?\d){7,14}(?=[ .-]|\z)", 0)).otherwise(v)
+
+        return F.transform(values, one)
+
+    return F.when(F.exists(values, is_phone), F.get(F.transform(F.array(starts), cut), F.lit(0))).otherwise(values)
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """Replace ``text`` by its pseudonymised form; if ``count`` is given, a column of that name has the number of changed values.
 
     All rows and all other columns stay. Null and empty texts, and texts without a value, stay as they are.
     """
     t = F.col(text)
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0)))
     columns = [c for c in docs.columns if c != count]
-    step = docs.select(*columns, found.alias("_found"))
-    step = step.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key))))
-    whole = F.array_join(F.zip_with(F.split(t, ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    changed = F.coalesce(F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"])), F.lit(0))
-    out = [F.when(F.col("_new").isNotNull(), whole).otherwise(t).alias(text) if c == text else F.col(c) for c in columns]
+    # a leading space is no part of any value; with it the text before the first start is never dropped
+    padded = F.when(t.rlike("[0-9@]"), F.concat(F.lit(" "), t))
+    step = docs.select(*columns, padded.alias("_padded"))
+    step = step.withColumn("_found", F.regexp_extract_all("_padded", F.lit(START), F.lit(1)))
+    some = F.size("_found") > 0
+    step = step.withColumn("_values", F.when(some, F.transform("_found", _card_alone))).withColumn("_pieces", F.when(some, F.split("_padded", START, -1)))
+    # length of the piece of text that each value starts
+    step = step.withColumn("_lengths", F.transform(F.slice("_pieces", 2, F.size("_found")), F.length))
+    step = step.withColumn("_values", _phones_alone(F.col("_values"), F.col("_lengths")))
+    step = step.withColumn("_new", F.when(some, F.transform("_values", lambda v: pseudonym(v, key))))
+    valid = F.zip_with("_values", "_new", lambda v, new: F.when(v != new, F.length(v)).otherwise(0))
+    step = step.withColumn("_valid", valid)
+    # signs of each piece that belong to a value which started before it
+    taken = F.aggregate(
+        F.arrays_zip("_valid", "_lengths"),
+        F.array(F.lit(0)),
+        lambda s, x: F.concat(s, F.array(F.greatest(F.lit(0), F.when(F.element_at(s, -1) > 0, F.element_at(s, -1)).otherwise(x["_valid"]) - x["_lengths"]))),
+    )
+    step = step.withColumn("_taken", F.when(some, taken))
+    rest = lambda x, n: F.substr(x["_piece"], n + 1, F.length(x["_piece"]))
+    parts = F.transform(
+        F.arrays_zip(F.slice("_pieces", 2, F.size("_found")).alias("_piece"), F.col("_new"), F.col("_valid"), F.slice("_taken", 1, F.size("_found")).alias("_before")),
+        lambda x: F.when(x["_before"] > 0, rest(x, x["_before"])).when(x["_valid"] > 0, F.concat(x["_new"], rest(x, x["_valid"]))).otherwise(x["_piece"]),
+    )
+    whole = F.concat(F.substr(F.get("_pieces", F.lit(0)), F.lit(2)), F.array_join(parts, ""))
+    out = [F.when(some, whole).otherwise(t).alias(text) if c == text else F.col(c) for c in columns]
     if count:
-        out.append(F.when(F.col("_new").isNotNull(), changed).otherwise(0).cast("long").alias(count))
+        changed = F.size(F.filter(F.arrays_zip("_valid", F.slice("_taken", 1, F.size("_found")).alias("_before")), lambda x: (x["_valid"] > 0) & (x["_before"] == 0)))
+        out.append(F.when(some, changed).otherwise(0).cast("long").alias(count))
     return step.select(*out)

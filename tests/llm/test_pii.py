@@ -94,3 +94,26 @@ def test_query(spark):
         assert [len(x) for x in re.split(found, r["text"])] == [len(x) for x in re.split(found, old)]
         if not re.search("[0-9]", old):
             assert r["text"] == old and r["n_changed"] == 0
+
+
+def test_values_beside_other_digits(spark):
+    card, phone = "4111 1111 1111 1111", "212-555-0100"
+    texts = {
+        f"{card} 12/27": [card], f"{card} 123": [card], f"1234567 {card}": [card], f"{card} {card}": [card, card],
+        "item 7 4111111111111111": ["4111111111111111"], f"NY 10001 {phone}": [phone], f"12345 {phone}": [phone],
+        f"4111 1111 1111 1112 {phone}": [phone], f"+44 20 7946 0958 {card}": ["+44 20 7946 0958", card],
+        f"+49 30 123456 {card} 12/27": ["+49 30 123456", card], "+44 20 7946 0958 2024 1999": ["+44 20 7946 0958"],
+        "+44 20 7946 0958 4111111111111111 x": ["+44 20 7946 0958", "4111111111111111"], f"{phone} {card} 1.2.3.4": [phone, card, "1.2.3.4"],
+        "3782 822463 10005": ["3782 822463 10005"], f"+1 ({phone[:3]}) 555-0100, a.b@x.org": ["+1 (212) 555-0100", "a.b@x.org"],
+    }
+    alone = {v: v for vs in texts.values() for v in vs}
+    rows = spark.createDataFrame(list(enumerate([*texts, *alone])), "doc_id long, text string")
+    got = [(r["text"], r["n"]) for r in sorted(pii.pseudonymise(rows, "k", count="n").collect())]
+    alone = dict(zip(alone, (t for t, _ in got[len(texts) :]), strict=True))
+    assert all(v != new for v, new in alone.items())
+    for (text, values), (new, n) in zip(texts.items(), got[: len(texts)], strict=True):
+        want, at = "", 0  # each value has the pseudonym that it has alone, and all else stays
+        for v in values:
+            k = text.index(v, at)
+            want, at = want + text[at:k] + alone[v], k + len(v)
+        assert (new, n) == (want + text[at:], len(values)), text
