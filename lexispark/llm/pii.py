@@ -23,7 +23,7 @@ PATTERNS: dict[str, str] = {
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[0-9a-f]{12,128}(?![0-9A-Za-z])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
-    "iso_date": r"(?<![\w/.-])\d{4}-\d{2}-\d{2}(?![\w/-]|\.\d)",
+    "iso_date": r"(?<![\w/.-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2}(?!\d{3}))|(?![\w/-]|\.\d))",
     "dmy_date": r"(?<![\w/.-])\d{2}(?:\.\d{2}\.|/\d{2}/)\d{4}(?![\w/-]|\.\d)",
     "card": rf"(?<![\w.-])(?:{CARD})(?![\w-]|\.\d)",
     "phone": r"(?<![\w(+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])",
@@ -34,6 +34,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 START = f"(?=({ANY}))"
 #: A 400-year cycle of the calendar has 146097 = 189 * 773 days.
 FIRST_DAY, DATE_HALVES = "1800-01-01", (189, 773)
+#: Without the first twelve days of its 4800 months it has 88497 = 9 * 9833.
+MONTH_FIRST_HALVES = (9, 9833)
 
 
 def _number(hex_digits: Column) -> Column:
@@ -140,6 +142,30 @@ def _date(v: Column, pattern: str, key: str) -> Column:
     return F.when((day >= 0) & (day < high * low), moved).otherwise(v)
 
 
+def _month_first(v: Column, key: str) -> Column:
+    """Slash dates that can only be read month first, so days 13 to 31; they are permuted among themselves, apart from day-first dates.
+
+    They are numbered from 1800 to 2199: the days before one, less the first twelve of its month and of each month before.
+    """
+    first, (high, low) = F.lit(FIRST_DAY).cast("date"), MONTH_FIRST_HALVES
+    date = F.try_to_date(v, "MM/dd/yyyy")
+    month = (F.year(date) - F.year(first)) * 12 + F.month(date) - 1
+    moved = _feistel_number((F.datediff(date, first) - 12 * (month + 1)).cast("long"), high, low, key, "month first")
+
+    def made(n: Column) -> Column:
+        # the month is within two of where months of equal length would put it
+        about = F.floor(n * 4800 / (high * low)).cast("int")
+        months = F.filter(F.sequence(about - 2, about + 2), lambda m: F.datediff(F.add_months(first, m), first) - 12 * m <= n)
+        return F.date_format(F.date_add(first, (n + 12 * (F.array_max(months) + 1)).cast("int")), "MM/dd/yyyy")
+
+    return F.when((F.dayofmonth(date) > 12) & F.year(date).between(1800, 2199), F.get(F.transform(F.array(moved), made), F.lit(0))).otherwise(v)
+
+
+def _dmy(v: Column, key: str) -> Column:
+    slashed = F.when(F.try_to_date(v, "dd/MM/yyyy").isNotNull(), _date(v, "dd/MM/yyyy", key)).otherwise(_month_first(v, key))
+    return F.when(v.contains("."), _date(v, "dd.MM.yyyy", key)).otherwise(slashed)
+
+
 def _phone(v: Column, key: str) -> Column:
     """Country code and separators stay; area and exchange codes still start with 2 to 9."""
     core = F.regexp_replace(v, r"^\+1[ .-]?", "")
@@ -176,7 +202,7 @@ HANDLERS: dict[str, Callable[[Column, str], Column]] = {
     "secret": _secret,
     "ip": _ip,
     "iso_date": lambda v, key: _date(v, "yyyy-MM-dd", key),
-    "dmy_date": lambda v, key: F.when(v.contains("."), _date(v, "dd.MM.yyyy", key)).otherwise(_date(v, "dd/MM/yyyy", key)),
+    "dmy_date": _dmy,
     "card": _card,
     "phone": _phone,
     "intl_phone": _intl_phone,

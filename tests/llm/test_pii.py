@@ -117,3 +117,15 @@ def test_values_beside_other_digits(spark):
             k = text.index(v, at)
             want, at = want + text[at:k] + alone[v], k + len(v)
         assert (new, n) == (want + text[at:], len(values)), text
+
+
+def test_timestamps_and_month_first(spark):
+    texts = ["at 1990-05-04T10:00:00", "1990-05-04T1000Z.", "12/31/1999", "1990-05-04Tx", "13/31/1999", "02/30/2000"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in sorted(pii.pseudonymise(rows, "k").collect())]
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:00:00", got[0]) and got[0][3:13] != "1990-05-04" and got[1] == f"{got[0][3:13]}T1000Z."
+    assert got[2] != texts[2] and got[3:] == texts[3:]
+    # all days after the twelfth from 1800 to 2199 are permuted among themselves
+    days = spark.range(0, 146097).select(F.expr("date_add(date'1800-01-01', cast(id as int))").alias("d")).where("day(d) > 12")
+    pairs = days.select(F.date_format("d", "MM/dd/yyyy").alias("v")).select("v", pii.pseudonym(F.col("v"), "k").alias("new")).collect()
+    assert len(pairs) == 88497 and {r["v"] for r in pairs} == {r["new"] for r in pairs}
