@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows.
 
 A window of a document has as many words as a benchmark item. Its fingerprint is the SimHash of its shingles (five words),
-each counted as often as it occurs. Fingerprints meet those of items of the same size through the 16 blocks of a
-multi-index, which by the pigeonhole principle finds every pair within a Hamming distance of 15; the exact weighted
-Jaccard similarity of the shingles decides.
+each counted as often as it occurs. Fingerprints meet those of items of the same size through the 24 blocks of a
+multi-index, which by the pigeonhole principle finds every pair within a Hamming distance of 23; the exact weighted
+Jaccard similarity of the shingles decides. At a similarity of 0.8 distances are about 9.7 with a deviation of 2.9, so hardly
+any similar window lies beyond the radius.
 
 A window can only be similar if nearly all of its shingles are the item's, so of any few adjacent shingles of such a window one
 is shared. It is therefore enough to look at every ``stride``-th shingle of a document to find all places where similar
@@ -21,9 +22,10 @@ from ._base import words
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
-BITS, BLOCKS = 64, 16
+BITS, BLOCKS = 64, 24
 RADIUS = BLOCKS - 1
-WIDTH = BITS // BLOCKS
+#: Where the blocks start; they have two or three bits.
+CUTS = [k * BITS // BLOCKS for k in range(BLOCKS + 1)]
 #: Benchmarks of up to so many shingles are broadcast (some 20 MB at most); larger ones are joined by shuffle.
 BROADCAST_SHINGLES = 500_000
 
@@ -87,7 +89,7 @@ def _shared(a: Column, b: Column) -> Column:
 
 
 def _block(fingerprint: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, k * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1).cast("long"))
+    return F.shiftrightunsigned(fingerprint, CUTS[k]).bitwiseAND(F.lit((1 << (CUTS[k + 1] - CUTS[k])) - 1).cast("long"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

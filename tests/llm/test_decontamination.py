@@ -93,3 +93,13 @@ def test_query(spark):
     want = slow_leaks(near, items)
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in queries.op2_decontamination(spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_edge_of_the_threshold(spark):
+    rnd = random.Random(8)
+    items = [(k, [f"i{k}w{rnd.randrange(10**6)}" for _ in range(50)]) for k in range(20)]
+    # one word in the middle leaves 41 of 46 shingles, a similarity of 0.804
+    docs = [(100 * k + at, " ".join([*w[:at], "new", *w[at + 1 :]])) for k, w in items for at in range(5, 45)]
+    items = [(k, " ".join(w)) for k, w in items]
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, d // 100) for d, _ in docs}
