@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: White space of the token definition, as a character class that Java and RE2 read alike.
 SPACE = r"\t-\r\x20\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-EDGE = rf"[\p{{P}}\p{{S}}{SPACE}]+"
 #: Legacy private-use letters and their jamo. The full table is a file of the user's.
 LEGACY = {"\ue57b": "\u1106\u11a1", "\uf537": "\u1112\u119e", "\ue285": "\u1102\u119e\u11ab", "\ue669": "\u1107\u11a1\u11a8"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,25 +33,39 @@ def looks_marked(value: Column) -> Column:
     return value.startswith("{") & value.endswith("}")
 
 
+_SIGNS = r"\p{P}\p{S}"
+#: Punctuation before and after the core of a token; tokens of mere punctuation have no core.
+_EDGES = rf"(?=[{_SIGNS}])(?:(?<![^{SPACE}])[{_SIGNS}]++(?=[^{SPACE}])|(?<=[^{_SIGNS}{SPACE}])[{_SIGNS}]++(?![^{SPACE}]))"
+#: The same for texts with a brace, as a marker is taken as it is, or with signs of two surrogates, which looking back would halve.
+_IN_TEXT = rf"(?<![^{SPACE}])(?:(\{{[^}}{SPACE}]+\}})|[{_SIGNS}]*+([^{_SIGNS}{SPACE}](?:[^{SPACE}]*[^{_SIGNS}{SPACE}])?)[{_SIGNS}]*)(?![^{SPACE}])"
+_ALONE = rf"(?s)\A(?:(\{{[^}}]+\}})|[{_SIGNS}{SPACE}]*+([^{_SIGNS}{SPACE}](?:.*[^{_SIGNS}{SPACE}])?)[{_SIGNS}{SPACE}]*)\z"
+_SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def normalized(surface: Column) -> Column:
     """The search form of a token: lower-cased without punctuation at its edges; markers and mere punctuation stay whole."""
-    t = trim(legacy_hangul(surface))
-    bare = F.lower(F.regexp_replace(F.regexp_replace(t, f"^{EDGE}", ""), rf"{EDGE}\z", ""))
-    return F.when(t.rlike(r"^\{[^}]+\}\z"), F.lower(t)).otherwise(F.when(bare != "", bare).otherwise(F.lower(t)))
+    return F.lower(F.regexp_replace(F.btrim(legacy_hangul(surface), F.lit(_SPACES)), _ALONE, "$1$2"))
+
+
+def _split(text: Column) -> Column:
+    # only the first and the last part can be blank
+    return F.array_remove(F.split(text, rf"[{SPACE}]+", -1), "")
 
 
 def surfaces(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), rf"[{SPACE}]+", -1), lambda x: x != "")
+    return _split(F.coalesce(text, F.lit("")))
 
 
-def tokens(text: Column) -> Column:
-    """``array<struct<surface, normalized>>`` of a text, in order."""
-    return F.filter(F.transform(surfaces(text), lambda s: F.struct(s.alias("surface"), normalized(s).alias("normalized"))), lambda t: t["normalized"] != "")
+def terms(text: Column) -> Column:
+    """The normalised tokens of a text: the whole text is rewritten by one expression and then cut, so no token is handled alone."""
+    t = legacy_hangul(F.coalesce(text, F.lit("")))
+    bare = F.when(t.rlike(r"[{\x{10000}-\x{10ffff}]"), F.regexp_replace(t, _IN_TEXT, "$1$2")).otherwise(F.regexp_replace(t, _EDGES, ""))
+    return _split(F.lower(bare))
 
 
-def normalize_word(word: str, spark) -> str:
-    """``normalized`` of one word, for plan-time constants such as a query's terms."""
-    return spark.range(1).select(normalized(F.lit(word)).alias("w")).first()["w"]
+def tokens(text: Column) -> Column:
+    """``array<struct<surface, normalized>>`` of a text, in order; no token is blank."""
+    return F.arrays_zip(surfaces(text).alias("surface"), terms(text).alias("normalized"))
 
 
 def folded_like(text: Column, query: str, around: bool = True) -> Column:
@@ -61,13 +74,30 @@ def folded_like(text: Column, query: str, around: bool = True) -> Column:
     return F.translate(text, UPPER, LOWER).like(f"%{pattern}%" if around else pattern)
 
 
+_ENTITY = "(?i)&(?:#x[0-9a-f]+|#[0-9]+|amp|lt|gt|quot|apos);"
+
+
+def entities(text: Column) -> Column:
+    """Named and numeric entities are decoded once, so ``&amp;lt;`` gives ``&lt;``; numbers that are no code point stay."""
+
+    def sign(e: Column) -> Column:
+        low = F.lower(e)
+        digits = F.regexp_extract(low, "[0-9a-f]+", 0)
+        code = F.when(low.startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        named = F.create_map(*(F.lit(x) for kv in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")) for x in kv))
+        return F.coalesce(F.when(low.startswith("&#"), number).otherwise(F.try_element_at(named, low)), e)
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)), sign)
+    whole = F.zip_with(F.split(text, _ENTITY, -1), found, lambda piece, e: F.concat(piece, F.coalesce(e, F.lit(""))))
+    return F.when(text.rlike(_ENTITY), F.array_join(whole, "")).otherwise(text)
+
+
 def strip_markup(text: Column) -> Column:
-    """Comments and tags become spaces, white space collapses, then named entities are decoded, ``&amp;`` last."""
-    out = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    out = trim(F.regexp_replace(out, rf"[{SPACE}]+", " "))
-    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(sign))
-    return out
+    """Comments and tags go, white space collapses, then entities are decoded."""
+    out = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]+>", "")
+    return legacy_hangul(entities(trim(F.regexp_replace(out, rf"[{SPACE}]+", " "))))
 
 
 def tag_text(markup: Column, tag: str) -> Column:

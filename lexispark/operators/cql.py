@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 
-_ITEM = re.compile(r"\s*\[(?P<body>[^\]]*)\](?:\{(?P<least>\d+)(?:,(?P<most>\d+))?\})?")
-_CONDITION = re.compile(r'(text|lemma|pos)\s*([=~])\s*"((?:\\"|[^"])*)"')
-
-
 @dataclass(frozen=True)
 class Element:
     least: int
@@ -25,9 +21,6 @@ class Element:
     op: str | None = None
     value: str | None = None
 
-    def meets(self, token: Column) -> Column:
-        return self.fits(token)
-
     def fits(self, token: Column, tagged: bool = True) -> Column:
         """Whether a token meets the condition; missing lemmas and tags, as of all raw tokens, are read as blank."""
         if self.field is None:
@@ -53,24 +46,91 @@ def java_regex(pattern: str) -> str:
     return out
 
 
+class _Reader:
+    """A pattern's signs from left to right."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.at = text, 0
+
+    def next(self) -> str:
+        return self.text[self.at : self.at + 1]
+
+    def skip_blank(self) -> None:
+        while self.next().isspace():
+            self.at += 1
+
+    def fail(self, what: str):
+        raise ValueError(f"not a token pattern: {what} at {self.at + 1} of {self.text!r}")
+
+    def take(self, sign: str) -> None:
+        if self.next() != sign:
+            self.fail(f"no {sign}")
+        self.at += 1
+
+    def number(self) -> int:
+        start = self.at
+        while self.next() in tuple("0123456789"):
+            self.at += 1
+        return int(self.text[start : self.at]) if self.at > start else self.fail("no number")
+
+    def word(self, options: tuple[str, ...]) -> str:
+        for option in options:
+            if self.text.startswith(option, self.at):
+                self.at += len(option)
+                return option
+        return self.fail(f"none of {', '.join(options)}")
+
+    def quoted(self, end: int) -> str:
+        """The value between quotes; a backslash before a quote makes it a part of the value."""
+        self.take('"')
+        out = ""
+        while self.at < end and self.next() != '"':
+            if self.text.startswith('\\"', self.at):
+                self.at += 1
+            out += self.next()
+            self.at += 1
+        self.take('"')
+        return out
+
+    def counts(self) -> tuple[int, int]:
+        if self.next() != "{":
+            return 1, 1
+        self.at += 1
+        least = most = self.number()
+        if self.next() == ",":
+            self.at += 1
+            most = self.number()
+        self.take("}")
+        return (least, most) if least <= most else self.fail("the second number is smaller")
+
+    def element(self) -> Element:
+        self.take("[")
+        end = self.text.find("]", self.at)  # no value can hold one
+        if end < 0:
+            self.fail("no ]")
+        self.skip_blank()
+        field = op = value = None
+        if self.at < end:
+            field = self.word(("text", "lemma", "pos"))
+            self.skip_blank()
+            op = self.word(("=", "~"))
+            self.skip_blank()
+            value = self.quoted(end)
+            self.skip_blank()
+        if self.at != end:
+            self.fail("no ]")
+        self.at = end + 1
+        return Element(*self.counts(), field, op, value)
+
+
 def parse(query: str) -> list[Element]:
-    found, at = [], 0
-    while m := _ITEM.match(query, at):
-        least = int(m["least"] or 1)
-        most = int(m["most"] or m["least"] or 1)
-        if most < least:
-            raise ValueError(f"{{{least},{most}}}: the second number is smaller")
-        body = m["body"].strip()
-        if not body:
-            found.append(Element(least, most))
-        elif c := _CONDITION.fullmatch(body):
-            found.append(Element(least, most, c[1], c[2], c[3].replace('\\"', '"')))
-        else:
-            raise ValueError(f"not a condition: [{body}]")
-        at = m.end()
-    if not found or query[at:].strip():
-        raise ValueError(f"not a token pattern: {query[at:].strip() or query}")
-    return found
+    """The elements of a pattern; raises ValueError if it is none."""
+    reader, found = _Reader(query), []
+    reader.skip_blank()
+    while reader.next():
+        found.append(reader.element())
+        reader.skip_blank()
+    return found or reader.fail("no element")
 
 
 def layer_of(elements: list[Element], source: str | None) -> str:
@@ -80,31 +140,45 @@ def layer_of(elements: list[Element], source: str | None) -> str:
     return "provided" if any(e.field in ("lemma", "pos") for e in elements) else "tokens"
 
 
-def _longer(element: Element, tokens: Column, n: Column, tagged: bool):
-    """All ways to lengthen a partial match by one element."""
+def _extended(state: Column, element: Element, tokens: Column, n: Column, tagged: bool) -> Column:
+    """All ways to lengthen the partial matches ``state`` by one element."""
+    to = lambda m, c: F.struct(m["s"].alias("s"), (m["e"] + c).alias("e"))
+    if (element.least, element.most) == (1, 1):
+        here = F.filter(state, lambda m: (m["e"] < n) & element.fits(F.get(tokens, m["e"]), tagged))
+        return F.transform(here, lambda m: to(m, 1))
+    counts = F.sequence(F.lit(element.least), F.lit(element.most))
 
     def longer(m: Column) -> Column:
-        fits = F.filter(F.sequence(F.lit(element.least), F.lit(element.most)), lambda c: (m["e"] + c <= n) & F.forall(F.slice(tokens, m["e"] + 1, c), lambda t: element.fits(t, tagged)))
-        return F.transform(fits, lambda c: F.struct(m["s"].alias("s"), (m["e"] + c).alias("e")))
+        if element.field is None:
+            fits = F.filter(counts, lambda c: m["e"] + c <= n)
+        else:
+            fits = F.filter(counts, lambda c: (m["e"] + c <= n) & F.forall(F.slice(tokens, m["e"] + 1, c), lambda t: element.fits(t, tagged)))
+        return F.transform(fits, lambda c: to(m, c))
 
-    return longer
+    return F.flatten(F.transform(state, longer))
 
 
 def matches(elements: list[Element], tokens: Column, tagged: bool) -> Column:
     """All ways to match, as ``array<struct<s, e>>``: by start, then by the elements' counts; overlaps and repeats stay."""
     n = F.size(tokens)
-    state = F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: F.struct(i.alias("s"), i.alias("e")))
+    starts = F.slice(F.sequence(F.lit(0), n), F.lit(1), n)
+    if (elements[0].least, elements[0].most) == (1, 1):  # only where the first element fits
+        starts = F.filter(starts, lambda i: elements[0].fits(F.get(tokens, i), tagged))
+        state, elements = F.transform(starts, lambda i: F.struct(i.alias("s"), (i + 1).alias("e"))), elements[1:]
+    else:
+        state = F.transform(starts, lambda i: F.struct(i.alias("s"), i.alias("e")))
     for element in elements:
-        state = F.flatten(F.transform(state, _longer(element, tokens, n, tagged)))
+        state = _extended(state, element, tokens, n, tagged)
     return state
 
 
-def anchors(elements: list[Element], tokens: Column) -> Column:
+def anchors(elements: list[Element], layer: str, tagged: bool) -> Column:
     """A necessary condition that is cheap: each exact element that must occur has a token."""
     out = F.lit(True)
     for e in elements:
-        if e.least > 0 and e.op == "=" and e.field == "text" and e.value:
-            out = out & F.exists(tokens, e.meets)
+        if e.least > 0 and e.op == "=" and e.value and (e.field == "text" or tagged):
+            value = normalized(F.lit(e.value)) if e.field == "text" else F.lit(e.value)
+            out = out & F.array_contains(f"{layer}.{'normalized' if e.field == 'text' else e.field}", value)
     return out
 
 
@@ -112,5 +186,8 @@ def search(utterances: DataFrame, query: str, source: str | None = None) -> Data
     """One row per match: all columns of ``utterances`` with ``ordinal`` (of the match in its utterance), ``s`` and ``e`` (token positions)."""
     elements = parse(query)
     layer = layer_of(elements, source)
-    found = utterances.where(anchors(elements, F.col(layer))).withColumn("_m", matches(elements, F.col(layer), layer == "provided"))
-    return found.select(*utterances.columns, F.posexplode_outer("_m").alias("ordinal", "_x")).where(F.col("_x").isNotNull()).select(*utterances.columns, "ordinal", "_x.s", "_x.e")
+    tagged = layer == "provided"
+    found = utterances.where(anchors(elements, layer, tagged)).withColumn("_m", matches(elements, F.col(layer), tagged))
+    # outer, as Spark would otherwise filter by the size of the array first, and compute it twice for that
+    found = found.select(*utterances.columns, F.posexplode_outer("_m").alias("ordinal", "_x")).where(F.col("_x").isNotNull())
+    return found.select(*utterances.columns, "ordinal", "_x.s", "_x.e")

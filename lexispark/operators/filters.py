@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
@@ -36,6 +36,10 @@ class Filters:
     def only_corpus(self) -> bool:
         return not any(v for f in self.FIELDS if f != "corpus_id" for v in getattr(self, f))
 
+    @property
+    def kind(self) -> str:
+        return "provided" if self.source == "provided" else "raw"
+
     @property
     def layer(self) -> str:
         return "provided" if self.source == "provided" else "tokens"
@@ -43,14 +47,21 @@ class Filters:
     def apply(self, utterances: DataFrame) -> DataFrame:
         return utterances.where(self.predicate())
 
-    def without_stopwords(self, column: Column, keep: str | None = None) -> Column:
-        words = sorted({w for w in self.stopwords.replace(",", " ").split() if w})
-        listed = reduce(lambda a, b: a | b, (column == normalized(F.lit(w)) for w in words), F.lit(False))
-        return ~listed if keep is None else ~listed | (column == keep)
+    def _words(self) -> list[str]:
+        return sorted({w for w in self.stopwords.replace(",", " ").split() if w})
+
+    def stopword_list(self, spark: SparkSession) -> list[str]:
+        """The stopwords as tokens."""
+        words = self._words()
+        return sorted({x for x in spark.range(1).select(*(normalized(F.lit(w)) for w in words)).first() if x}) if words else []
+
+    def without_stopwords(self, column: Column) -> Column:
+        words = self._words()
+        return ~column.isin(*(normalized(F.lit(w)) for w in words)) if words else F.lit(True)
 
 
 def filter_options(documents: DataFrame, speakers: DataFrame) -> DataFrame:
     """Distinct values that are not blank, of documents (year, category, topic) and speakers (sex, age, occupation)."""
-    pick = lambda df, kind, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("value")).where(F.col(c) != "")
-    parts = [pick(documents, c, c) for c in ("year", "category", "topic")] + [pick(speakers, k, f"speaker_{k}") for k in ("sex", "age", "occupation")]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    pick = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col(kind).alias("value")).where(F.col("value") != "").distinct()
+    parts = [pick(documents, c) for c in ("year", "category", "topic")] + [pick(speakers, c) for c in ("sex", "age", "occupation")]
+    return reduce(DataFrame.union, parts)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.text import folded_like, normalized, trim
+from ..functions.text import folded_like, normalized
+from ..scratch import filesystem, new_folder, remove
 from . import cql
 from .filters import Filters
 
-ORDER = ("corpus_id", "row_id")
-RESULT = ("corpus_id", "doc_id", "utterance_id", "speaker_id", "sequence", "form", "original_form", "topic", "category", "year", "speaker_age", "speaker_sex", "speaker_occupation")
+ORDER = ("corpus_id", "row_id", "ordinal")
+RESULT = ("corpus_id", "doc_id", "utterance_id", "speaker_id", "sequence", "form", "original_form", "topic", "category", "year", "time", "start", "end", "note", "speaker_age", "speaker_sex", "speaker_occupation")
+#: The columns of an exported file, and where they come from.
+CSV = {
+    "corpusName": "corpus_name", "corpusId": "corpus_id", "docId": "doc_id", "utteranceId": "utterance_id", "speakerId": "speaker_id", "sequence": "sequence", "year": "year", "category": "category", "topic": "topic",
+    "time": "time", "start": "start", "end": "end", "speakerSex": "speaker_sex", "speakerAge": "speaker_age", "speakerOccupation": "speaker_occupation", "kwicLeft": "left", "kwicHit": "hit", "kwicRight": "right",
+    "form": "form", "originalForm": "original_form", "note": "note",
+}
 
 
 @dataclass(frozen=True)
@@ -26,8 +33,36 @@ class Request:
     filters: Filters = Filters()
 
 
+@dataclass
+class Page:
+    """One page of results, whether there are more, and warnings."""
+
+    rows: DataFrame | None
+    has_more: bool = False
+    warnings: list[str] = field(default_factory=list)
+
+
+@dataclass
+class Hits:
+    """All rows that a request finds, in no order, and how their contexts are cut; that is done for the rows of a page only."""
+
+    rows: DataFrame
+    layer: str
+    #: Whether a token is the one that is shown; None where the rows have the span (s, e) already.
+    shown: object
+    context: int
+
+    def in_context(self, rows: DataFrame) -> DataFrame:
+        """Append left, hit and right (arrays of surfaces); without a token to show the whole form is the hit."""
+        tokens = F.col(self.layer)
+        if self.shown is not None:
+            at = F.array_position(F.transform(tokens, lambda t: F.coalesce(self.shown(t), F.lit(False))), True).cast("int")
+            rows = rows.withColumn("_at", at)
+            rows = rows.withColumns({"s": F.when(F.col("_at") > 0, F.col("_at") - 1).otherwise(0), "e": F.when(F.col("_at") > 0, F.col("_at")).otherwise(F.greatest(F.size(tokens), F.lit(1)))})
+        return kwic(rows, tokens, F.col("s"), F.col("e"), self.context)
+
+
 def kwic(rows: DataFrame, tokens: Column, s: Column, e: Column, context: int) -> DataFrame:
-    """Append left, hit and right (arrays of surfaces); without a hit the whole form is the hit."""
     words = F.transform(tokens, lambda t: t["surface"])
     real = (F.size(tokens) > 0) & (s < e)
     none = F.array().cast("array<string>")
@@ -38,75 +73,116 @@ def kwic(rows: DataFrame, tokens: Column, s: Column, e: Column, context: int) ->
     )
 
 
-def _first(rows: DataFrame, layer: str, test, context: int) -> DataFrame:
-    """kwic around the first token that passes ``test``, or around the whole utterance."""
-    at = F.array_position(F.transform(F.col(layer), lambda t: F.coalesce(test(t), F.lit(False))), True).cast("int")
-    rows = rows.withColumn("_at", at).withColumn("_n", F.greatest(F.size(layer), F.lit(1)))
-    s, e = F.when(F.col("_at") > 0, F.col("_at") - 1).otherwise(0), F.when(F.col("_at") > 0, F.col("_at")).otherwise(F.col("_n"))
-    return kwic(rows, F.col(layer), s, e, context)
-
-
-def term_exists(utterances: DataFrame, word: Column) -> bool:
-    """Whether any token, lemma or tag of either layer equals the term; stops at the first."""
-    provided = F.exists("provided", lambda t: (t["normalized"] == word) | (t["lemma"] == word) | (t["pos"] == word))
-    return bool(utterances.where(F.exists("tokens", lambda t: t["normalized"] == word) | provided).limit(1).count())
+def term_exists(token_stats: DataFrame, word: Column) -> bool:
+    """Whether any token, lemma or tag of any corpus equals the term: one look at the counted terms."""
+    return bool(token_stats.where(F.col("term") == word).limit(1).count())
 
 
-def matched(utterances: DataFrame, request: Request) -> tuple[DataFrame | None, list[str]]:
-    """All results in order columns (with ``ordinal``), not paged, and warnings. None: nothing was searched."""
+def matched(utterances: DataFrame, token_stats: DataFrame, request: Request) -> tuple[Hits | None, list[str]]:
+    """What a request finds, not paged, with ``ordinal`` (of a match in its utterance), and warnings. None: nothing was searched."""
     query, f = request.query.strip(), request.filters
     if not query:
         return None, ["the query is blank"]
     rows = f.apply(utterances)
+    one = lambda found, shown: Hits(found.withColumn("ordinal", F.lit(0)), f.layer, shown, request.context)
     if request.mode == "cql":
         try:
             elements = cql.parse(query)
         except ValueError as e:
             return None, [str(e)]
         layer = cql.layer_of(elements, None if f.source == "raw" and any(x.field in ("lemma", "pos") for x in elements) else f.source)
-        found = cql.search(rows, query, layer if layer == "provided" else "raw")
-        return kwic(found, F.col(layer), F.col("s"), F.col("e"), request.context), []
+        return Hits(cql.search(rows, query, layer if layer == "provided" else "raw"), layer, None, request.context), []
     if request.mode == "regex":
         try:
             pattern = cql.java_regex(query)
         except ValueError as e:
             return None, [str(e)]
-        found = rows.where(F.col(request.field).rlike(pattern))
-        test = lambda t: t["surface"].rlike(pattern) | t["normalized"].rlike(pattern)
-        return _first(found, f.layer, test, request.context).withColumn("ordinal", F.lit(0)), []
+        return one(rows.where(F.col(request.field).rlike(pattern)), lambda t: t["surface"].rlike(pattern) | t["normalized"].rlike(pattern)), []
     word = normalized(F.lit(query))
-    contains = lambda t: t["normalized"].contains(word)
-    if term_exists(utterances, word):
-        found = rows.where(F.exists(f.layer, lambda t: t["normalized"] == word))
+    if term_exists(token_stats, word):
+        found = rows.where(F.array_contains(f"{f.layer}.normalized", word))
     elif len(query) < 3:
         return None, ["the query is shorter than three characters and no token"]
     else:
         found = rows.where(folded_like(F.col(request.field), query))
-    return _first(found, f.layer, contains, request.context).withColumn("ordinal", F.lit(0)), []
-
-
-def search(utterances: DataFrame, request: Request) -> tuple[DataFrame | None, bool, list[str]]:
-    """One page of results, whether there are more, and warnings."""
-    found, warnings = matched(utterances, request)
-    if found is None:
-        return None, False, warnings
-    ordered = found.select(*ORDER[1:], *RESULT, "ordinal", "left", "hit", "right").orderBy(*ORDER, "ordinal")
-    page = ordered.offset(request.offset).limit(request.limit + 1)
-    return page.limit(request.limit), page.count() > request.limit, warnings
-
-
-def export_rows(found: DataFrame) -> DataFrame:
-    """Results as flat text columns, the contexts joined by spaces."""
-    return found.select(*RESULT, *(F.concat_ws(" ", c).alias(c) for c in ("left", "hit", "right")))
-
-
-def export_csv(found: DataFrame, path: str) -> int:
-    """Write all results, in order, as CSV parts with a header, CRLF line ends and a byte-order mark in the first column's name; returns the rows."""
-    rows = export_rows(found.orderBy(*ORDER, "ordinal"))
-    rows = rows.withColumnRenamed(RESULT[0], "\ufeff" + RESULT[0])
-    rows.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("quote", '"').option("escape", '"').csv(path)
-    return found.count()
-
-
-def blank(text: Column) -> Column:
-    return trim(F.coalesce(text, F.lit(""))) == ""
+    return one(found, lambda t: t["normalized"].contains(word)), []
+
+
+#: Rows of a page up to which its keys come to the driver, some 50 bytes each.
+KEYED_ROWS = 20_000
+
+
+def page(utterances: DataFrame, token_stats: DataFrame, request: Request) -> tuple[Hits | None, DataFrame | None, list[str]]:
+    """The rows of a request's page and one more, in order, with contexts that are cut after the page was chosen.
+
+    The page is chosen by keys alone, so the scan reads just what the request looks at; the rows themselves are then read by their
+    ids, which lie close together in the files.
+    """
+    hits, warnings = matched(utterances, token_stats, request)
+    if hits is None:
+        return None, None, warnings
+    span = [c for c in ("s", "e") if hits.shown is None]
+    chosen = hits.rows.select(*ORDER, *span).orderBy(*ORDER).offset(request.offset).limit(request.limit + 1)
+    if request.limit < KEYED_ROWS:
+        found = chosen.collect()
+        chosen = utterances.sparkSession.createDataFrame(found, chosen.schema)
+        corpora, ids = sorted({r["corpus_id"] for r in found}), sorted({r["row_id"] for r in found})
+        utterances = utterances.where(F.col("corpus_id").isin(*corpora) & F.col("row_id").isin(*ids)) if found else utterances.limit(0)
+        chosen = F.broadcast(chosen)
+    rows = hits.in_context(utterances.join(chosen, ["corpus_id", "row_id"]))
+    return hits, rows.select("row_id", *RESULT, "ordinal", "left", "hit", "right").orderBy(*ORDER), warnings
+
+
+def search(utterances: DataFrame, token_stats: DataFrame, request: Request) -> Page:
+    """One page of results. A page is what its reader sees, so its rows (``limit`` and one more) come to the driver."""
+    hits, rows, warnings = page(utterances, token_stats, request)
+    if hits is None:
+        return Page(None, False, warnings)
+    found = rows.collect()
+    return Page(utterances.sparkSession.createDataFrame(found[: request.limit], rows.schema), len(found) > request.limit, warnings)
+
+
+def export_rows(hits: Hits, corpora: DataFrame) -> DataFrame:
+    """All results as the columns of an export, with the contexts joined by spaces, and the columns of their order.
+
+    ``corpora`` (corpus_id, name) is the catalog, which has one row for each corpus.
+    """
+    named = hits.in_context(hits.rows).join(F.broadcast(corpora.select(F.col("corpus_id").alias("_id"), F.col("name").alias("corpus_name"))), F.col("corpus_id") == F.col("_id"), "left")
+    value = lambda c: F.concat_ws(" ", c) if c in ("left", "hit", "right") else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    numbers = {c: F.when(F.col(c) == F.floor(c), F.floor(c).cast("string")).otherwise(F.col(c).cast("string")) for c in ("start", "end")}
+    return named.select(*ORDER, *(F.coalesce(numbers[c], F.lit("")).alias(k) if c in numbers else value(c).alias(k) for k, c in CSV.items()))
+
+
+def csv_field(text: Column) -> Column:
+    return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def export_csv(hits: Hits, corpora: DataFrame, path: str) -> int:
+    """Write all results, in order, as one CSV file with a byte-order mark, a header and CRLF line ends; returns the rows.
+
+    The executors sort and write the lines in parts; the parts are then put together as bytes, so the driver holds none of them.
+    """
+    spark = hits.rows.sparkSession
+    rows = export_rows(hits, corpora)
+    seen = Observation()
+    # counted after the sort, which looks at its input twice
+    lines = rows.orderBy(*ORDER).observe(seen, F.count(F.lit(1)).alias("n")).select(F.concat(F.concat_ws(",", *(csv_field(F.col(f"`{k}`")) for k in CSV)), F.lit("\r")).alias("value"))
+    folder = new_folder(spark)
+    lines.write.mode("overwrite").text(f"{folder}/lines")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs, target = filesystem(spark, path)
+    source, at = filesystem(spark, f"{folder}/lines")
+    parts = sorted(s.getPath().toString() for s in source.listStatus(at) if s.getPath().getName().startswith("part-"))
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(("﻿" + ",".join(CSV) + "\r\n").encode()))
+        for part in parts:
+            stream = source.open(jvm.org.apache.hadoop.fs.Path(part))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+    remove(spark, folder)
+    return int(seen.get["n"])

@@ -1,4 +1,8 @@
-"""Corpus statistics: counts, frequencies and distributions."""
+"""Corpus statistics: counts, frequencies and distributions.
+
+Where at most corpora are chosen the counted tables answer (``token_stats``, ``value_stats``), which are as large as the vocabulary;
+with any other filter the utterances are counted.
+"""
 
 from __future__ import annotations
 
@@ -6,63 +10,74 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import looks_marked
+from ..sources.tables import speaker_label
 from .filters import Filters
 
-UNKNOWN = "\ubbf8\uc0c1"
-
 
 def occurrences(utterances: DataFrame, layer: str = "tokens") -> DataFrame:
     """One row per token: corpus_id, row_id, token_index, term."""
-    rows = utterances.select("corpus_id", "row_id", F.posexplode_outer(F.transform(layer, lambda t: t["normalized"])).alias("token_index", "term"))
-    return rows.where(F.col("term").isNotNull())
+    return utterances.select("corpus_id", "row_id", F.posexplode(f"{layer}.normalized").alias("token_index", "term"))
+
+
+def terms(utterances: DataFrame, layer: str = "tokens") -> DataFrame:
+    return utterances.select(F.explode(f"{layer}.normalized").alias("term"))
 
 
-def top(rows: DataFrame, value: Column, n: int) -> DataFrame:
+def top(rows: DataFrame, value: Column, n: int, count: Column | None = None) -> DataFrame:
     """The n most frequent values; ties by value."""
-    return rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "value").limit(n)
+    number = F.count(F.lit(1)) if count is None else F.sum(count)
+    return rows.groupBy(value.alias("value")).agg(number.alias("count")).orderBy(F.desc("count"), "value").limit(n)
 
 
-def token_frequency(utterances: DataFrame, filters: Filters = Filters(), n: int = 100) -> DataFrame:
-    rows = occurrences(filters.apply(utterances), filters.layer)
+def _counted(stats: DataFrame, filters: Filters, kind: str) -> DataFrame:
+    return stats.where(filters.predicate(("corpus_id",)) & (F.col("kind") == kind))
+
+
+def token_frequency(utterances: DataFrame, token_stats: DataFrame, filters: Filters = Filters(), n: int = 100) -> DataFrame:
+    if filters.only_corpus:
+        rows = _counted(token_stats, filters, filters.kind)
+        return top(rows.where(filters.without_stopwords(F.col("term"))), F.col("term"), n, F.col("count"))
+    rows = terms(filters.apply(utterances), filters.layer)
     return top(rows.where(filters.without_stopwords(F.col("term"))), F.col("term"), n)
 
 
 def summary(utterances: DataFrame, filters: Filters = Filters()) -> DataFrame:
-    """One row of counts; documents and speakers are counted within their corpus and document."""
-    layer = F.col(filters.layer)
-    rows = filters.apply(utterances)
+    """One row of counts; documents and speakers are counted within their corpus and document.
+
+    Counts go up from speakers to documents to corpora, so nothing is counted by distinct values and each step only shuffles sums.
+    """
+    words = F.col(f"{filters.layer}.normalized")
+    total = lambda c: F.sum(c).alias(c)
+    rows = filters.apply(utterances).select("corpus_id", "doc_id", "speaker_id", F.size(words).alias("tokens"), F.size(F.filter(words, looks_marked)).alias("marks"))
+    rows = rows.groupBy("corpus_id", "doc_id", "speaker_id").agg(F.count(F.lit(1)).alias("n"), total("tokens"), total("marks"))
+    rows = rows.groupBy("corpus_id", "doc_id").agg(F.count("speaker_id").alias("speakers"), total("n"), total("tokens"), total("marks"))
+    rows = rows.groupBy("corpus_id").agg(F.count("doc_id").alias("documents"), *(total(c) for c in ("speakers", "n", "tokens", "marks")))
+    whole = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     return rows.agg(
-        F.countDistinct("corpus_id").alias("corpus_count"),
-        F.countDistinct("corpus_id", "doc_id").alias("document_count"),
-        F.count(F.lit(1)).alias("utterance_count"),
-        F.countDistinct("corpus_id", "doc_id", "speaker_id").alias("speaker_count"),
-        F.coalesce(F.sum(F.size(layer)), F.lit(0)).cast("long").alias("token_count"),
-        F.coalesce(F.sum(F.size(F.filter(layer, lambda t: looks_marked(t["normalized"])))), F.lit(0)).cast("long").alias("non_speech_count"),
+        F.count("corpus_id").alias("corpus_count"),
+        whole("documents", "document_count"),
+        whole("n", "utterance_count"),
+        whole("speakers", "speaker_count"),
+        whole("tokens", "token_count"),
+        whole("marks", "non_speech_count"),
     )
 
 
-def speaker_label() -> Column:
-    part = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.lit(UNKNOWN))
-    return F.concat(part("speaker_sex"), F.lit(" / "), part("speaker_age"))
-
-
-def distribution(utterances: DataFrame, documents: DataFrame, field: str, filters: Filters = Filters()) -> DataFrame:
+def distribution(utterances: DataFrame, value_stats: DataFrame, field: str, filters: Filters = Filters()) -> DataFrame:
     """Topics or categories: of documents (top 100, no blanks) if at most corpora are chosen, else of utterances (top 50)."""
     if filters.only_corpus:
-        return top(documents.where(filters.predicate(("corpus_id",))).where(F.col(field) != ""), F.col(field), 100)
+        return top(_counted(value_stats, filters, field), F.col("value"), 100, F.col("count"))
     return top(filters.apply(utterances), F.col(field), 50)
 
 
-def speaker_distribution(utterances: DataFrame, filters: Filters = Filters()) -> DataFrame:
-    return top(filters.apply(utterances), speaker_label(), 100 if filters.only_corpus else 50)
+def speaker_distribution(utterances: DataFrame, value_stats: DataFrame, filters: Filters = Filters()) -> DataFrame:
+    if filters.only_corpus:
+        return top(_counted(value_stats, filters, "speaker"), F.col("value"), 100, F.col("count"))
+    return top(filters.apply(utterances), speaker_label(), 50)
 
 
-def marker_distribution(utterances: DataFrame, filters: Filters = Filters()) -> DataFrame:
+def marker_distribution(utterances: DataFrame, value_stats: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """Non-speech markers; of the raw layer if at most corpora are chosen, else of the chosen layer."""
-    layer = "tokens" if filters.only_corpus else filters.layer
-    rows = occurrences(filters.apply(utterances), layer)
-    return top(rows.where(looks_marked(F.col("term"))), F.col("term"), 100 if filters.only_corpus else 50)
-
-
-def document_stats(utterances: DataFrame) -> DataFrame:
-    return utterances.groupBy("corpus_id", "doc_id").agg(F.count(F.lit(1)).alias("utterance_count"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"))
+    if filters.only_corpus:
+        return top(_counted(value_stats, filters, "marker"), F.col("value"), 100, F.col("count"))
+    return top(terms(filters.apply(utterances), filters.layer).where(looks_marked(F.col("term"))), F.col("term"), 50)

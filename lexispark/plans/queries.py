@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, short_hash, strip_markup, tag_text
+from ..engine import Engine
+from ..functions.text import SPACE, entities, strip_markup, tag_text
 from ..operators import collocation, cql, explore, merge, search, stats
 from ..operators.filters import Filters, filter_options
 from ..operators.segments import display_segments
-from .adapter import documents, utterances
+from ..scratch import new_folder
+from .adapter import corpus, utterances
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -24,7 +25,7 @@ _EDGE = rf"[\p{{P}}\p{{S}}{SPACE}]+"
 _NORMAL = f"""CASE WHEN regexp_matches(surface, '^\\{{[^}}]+\\}}$') THEN lower(surface)
   ELSE coalesce(nullif(lower(regexp_replace(regexp_replace(surface, '^{_EDGE}', ''), '{_EDGE}\\z', '')), ''), lower(surface)) END"""
 #: The adapter's views in DuckDB's SQL.
-VIEWS = f"""WITH utt AS (
+VIEWS = f"""WITH RECURSIVE utt AS (
   SELECT 'conv' AS corpus_id, CAST(conv_id AS VARCHAR) AS doc_id, conv_id * 1000000 + turn + 1 AS row_id, conv_id || '.' || turn AS utterance_id, role AS speaker_id,
     CAST(turn + 1 AS BIGINT) AS sequence, '{{' || role || '}} ' || text AS form, text AS original_form,
     CASE conv_id % 3 WHEN 0 THEN 'daily' WHEN 1 THEN 'service' ELSE 'news' END AS category, 'topic' || (conv_id % 5) AS topic, CAST(2010 + conv_id % 4 AS VARCHAR) AS year,
@@ -62,23 +63,27 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _t(spark, d, name):
+    return corpus(spark, d).table(name)
+
+
 def _top(value: str, rows: str, n: int) -> str:
     return f"SELECT {value} AS value, count(*) AS count FROM {rows} GROUP BY 1 ORDER BY count DESC, value LIMIT {n}"
 
 
 @register("token_frequency", _top("term", "tok", 100))
 def token_frequency(spark, d):
-    return stats.token_frequency(utterances(spark, d))
+    return stats.token_frequency(utterances(spark, d), _t(spark, d, "token_stats"))
 
 
 @register("token_frequency_stopwords", _top("term", "tok WHERE term NOT IN ('the', 'and', 'of')", 100))
 def token_frequency_stopwords(spark, d):
-    return stats.token_frequency(utterances(spark, d), Filters(stopwords=STOPWORDS))
+    return stats.token_frequency(utterances(spark, d), _t(spark, d, "token_stats"), Filters(stopwords=STOPWORDS))
 
 
 @register("token_frequency_provided", _top("term", "prov WHERE category = 'news' AND year IN ('2010', '2011')", 100))
 def token_frequency_provided(spark, d):
-    return stats.token_frequency(utterances(spark, d), Filters(category=("news",), year=("2010", "2011"), source="provided"))
+    return stats.token_frequency(utterances(spark, d), _t(spark, d, "token_stats"), Filters(category=("news",), year=("2010", "2011"), source="provided"))
 
 
 _SUMMARY = """SELECT count(DISTINCT corpus_id) AS corpus_count, count(DISTINCT corpus_id || '::' || doc_id) AS document_count, count(*) AS utterance_count,
@@ -98,32 +103,32 @@ def stats_summary_filtered(spark, d):
 
 @register("topic_distribution_docs", _top("topic", "doc WHERE topic <> ''", 100))
 def topic_distribution_docs(spark, d):
-    return stats.distribution(utterances(spark, d), documents(spark, d), "topic")
+    return stats.distribution(utterances(spark, d), _t(spark, d, "value_stats"), "topic")
 
 
 @register("topic_distribution_filtered", _top("topic", "utt WHERE category = 'news' AND year IN ('2010', '2011')", 50))
 def topic_distribution_filtered(spark, d):
-    return stats.distribution(utterances(spark, d), documents(spark, d), "topic", NEWS)
+    return stats.distribution(utterances(spark, d), _t(spark, d, "value_stats"), "topic", NEWS)
 
 
 @register("category_distribution", _top("category", "doc WHERE corpus_id = 'docs' AND category <> ''", 100))
 def category_distribution(spark, d):
-    return stats.distribution(utterances(spark, d), documents(spark, d), "category", Filters(corpus_id=("docs",)))
+    return stats.distribution(utterances(spark, d), _t(spark, d, "value_stats"), "category", Filters(corpus_id=("docs",)))
 
 
 @register("speaker_distribution", _top("coalesce(nullif(speaker_sex, ''), '미상') || ' / ' || coalesce(nullif(speaker_age, ''), '미상')", "utt", 100))
 def speaker_distribution(spark, d):
-    return stats.speaker_distribution(utterances(spark, d))
+    return stats.speaker_distribution(utterances(spark, d), _t(spark, d, "value_stats"))
 
 
 @register("marker_distribution", _top("term", "tok WHERE term LIKE '{%' AND term LIKE '%}'", 100))
 def marker_distribution(spark, d):
-    return stats.marker_distribution(utterances(spark, d))
+    return stats.marker_distribution(utterances(spark, d), _t(spark, d, "value_stats"))
 
 
 @register("document_stats", "SELECT corpus_id, doc_id, count(*) AS utterance_count, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM utt GROUP BY ALL")
 def document_stats(spark, d):
-    return stats.document_stats(utterances(spark, d))
+    return _t(spark, d, "document_stats")
 
 
 @register(
@@ -131,12 +136,12 @@ def document_stats(spark, d):
     " UNION ".join(f"SELECT '{c}' AS kind, {c} AS value FROM doc WHERE {c} <> ''" for c in ("year", "category", "topic")) + "".join(f" UNION SELECT '{k}', speaker_{k} FROM utt WHERE speaker_{k} <> ''" for k in ("sex", "age")),
 )
 def options(spark, d):
-    return filter_options(documents(spark, d), utterances(spark, d))
+    return filter_options(_t(spark, d, "documents"), _t(spark, d, "speakers"))
 
 
 def _page(spark, d, request):
-    found, _ = search.matched(utterances(spark, d), request)
-    keyed = found.select("corpus_id", "row_id", "doc_id", "utterance_id", "sequence", *(F.concat_ws(" ", c).alias(c) for c in ("left", "hit", "right")))
+    _, rows, _ = search.page(utterances(spark, d), _t(spark, d, "token_stats"), request)
+    keyed = rows.select("corpus_id", "row_id", "doc_id", "utterance_id", "sequence", *(F.concat_ws(" ", c).alias(c) for c in ("left", "hit", "right")))
     return keyed.orderBy("corpus_id", "row_id").limit(request.limit).drop("row_id")
 
 
@@ -166,7 +171,7 @@ def search_regex(spark, d):
     return _page(spark, d, search.Request("tion[a-z]{3}s", mode="regex"))
 
 
-def _cql(spark, d, query, source=None, corpora=("conv", "docs")):
+def _cql(spark, d, query, source=None, corpora=()):
     return cql.search(utterances(spark, d, corpora), query, source).select("corpus_id", "doc_id", "utterance_id", "s", "e")
 
 
@@ -213,28 +218,28 @@ scored AS (SELECT *, (SELECT count(*) FROM tok WHERE term = '{node}' {where}) *
 SELECT token, side, frequency, round(log2(frequency / expected), 6) AS mi, round((frequency - expected) / sqrt(frequency), 6) AS t_score FROM scored ORDER BY frequency DESC, token, side {limit}"""
 
 
-def _rounded(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({c: F.round(c, 6) for c in ("mi", "t_score")})
+def _rounded(found: collocation.Collocations) -> DataFrame:
+    return found.rows.withColumns({c: F.round(c, 6) for c in ("mi", "t_score")})
 
 
 @register("collocation_raw", _COLLOCATION.format(node="here", where="", cap="", w=5, stop="true", least=2, limit=""))
 def collocation_raw(spark, d):
-    return _rounded(collocation.collocations(utterances(spark, d), "here"))
+    return _rounded(collocation.collocations(utterances(spark, d), _t(spark, d, "token_stats"), "here"))
 
 
 @register("collocation_filtered", _COLLOCATION.format(node="the", where="AND category = 'news' AND year IN ('2010', '2011')", cap="", w=3, stop="c.term NOT IN ('and', 'of')", least=2, limit="LIMIT 200"))
 def collocation_filtered(spark, d):
-    return _rounded(collocation.collocations(utterances(spark, d), "the", 3, 2, 200, filters=Filters(category=("news",), year=("2010", "2011"), stopwords="and, of")))
+    return _rounded(collocation.collocations(utterances(spark, d), _t(spark, d, "token_stats"), "the", 3, 2, 200, filters=Filters(category=("news",), year=("2010", "2011"), stopwords="and, of")))
 
 
 @register("collocation_capped", _COLLOCATION.format(node="the", where="", cap="LIMIT 500", w=2, stop="true", least=3, limit=""))
 def collocation_capped(spark, d):
-    return _rounded(collocation.collocations(utterances(spark, d), "the", 2, 3, max_occurrences=500))
+    return _rounded(collocation.collocations(utterances(spark, d), _t(spark, d, "token_stats"), "the", 2, 3, max_occurrences=500))
 
 
 @register("explore_tree_categories", "SELECT corpus_id, category, count(*) AS count FROM doc GROUP BY ALL")
 def explore_tree_categories(spark, d):
-    return explore.category_counts(documents(spark, d))
+    return explore.category_counts(_t(spark, d, "topic_stats"))
 
 
 @register(
@@ -242,7 +247,7 @@ def explore_tree_categories(spark, d):
     "SELECT *, CAST(row_number() OVER (PARTITION BY corpus_id, category ORDER BY count DESC, topic) AS INT) AS rank FROM (SELECT corpus_id, category, topic, count(*) AS count FROM doc GROUP BY ALL) QUALIFY rank <= 100",
 )
 def explore_topics_top100(spark, d):
-    return explore.topic_counts(documents(spark, d))
+    return explore.topic_counts(_t(spark, d, "topic_stats"))
 
 
 @register(
@@ -251,7 +256,7 @@ def explore_topics_top100(spark, d):
 SELECT doc_id, any_value(title) AS title, any_value(topic) AS topic, count(row_id) AS utterance_count, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM page LEFT JOIN (SELECT doc_id, row_id, sequence FROM utt WHERE corpus_id = 'docs') USING (doc_id) GROUP BY doc_id""",
 )
 def list_documents(spark, d):
-    rows = explore.list_documents(documents(spark, d), utterances(spark, d), "docs", category="en", query="Document 1", limit=50, offset=10)
+    rows = explore.list_documents(_t(spark, d, "documents"), _t(spark, d, "document_stats"), "docs", category="en", query="Document 1", limit=50, offset=10)
     return rows.select("doc_id", "title", "topic", "utterance_count", "first_sequence", "last_sequence")
 
 
@@ -265,33 +270,64 @@ def speaker_pivot(spark, d):
     return explore.speaker_columns(utterances(spark, d, ("conv",)), ["user", "assistant"]).drop("corpus_id")
 
 
-_MERGED = rf""", base AS (SELECT *, trim(form, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t FROM utt WHERE trim(form) <> ''),
-f AS (SELECT *, coalesce(lag(speaker_id) OVER o <> speaker_id, true) AS changed, regexp_matches(t, '^[.!?{SPACE}]+$') AS short, regexp_matches(t, '[.!?]+["'')\]}}]*$') AS ends FROM base WINDOW o AS (PARTITION BY corpus_id, doc_id ORDER BY sequence)),
-i AS (SELECT *, sum(CASE WHEN changed OR NOT short THEN 1 ELSE 0 END) OVER (PARTITION BY corpus_id, doc_id ORDER BY sequence) AS island FROM f),
-c AS (SELECT *, max(ends::INT) OVER (PARTITION BY corpus_id, doc_id, island) AS closed FROM i),
-l AS (SELECT *, lag(closed) OVER (PARTITION BY corpus_id, doc_id ORDER BY sequence) AS before FROM c),
-g AS (SELECT *, sum(CASE WHEN changed OR (NOT short AND before = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY corpus_id, doc_id ORDER BY sequence) AS grp FROM l)
-SELECT corpus_id, doc_id, CAST(grp AS BIGINT) AS "group", arg_min(speaker_id, sequence) AS speaker_id, min(sequence) AS start_sequence, max(sequence) AS end_sequence, count(*) AS utterance_count,
-  trim(regexp_replace(string_agg(CASE WHEN short AND NOT changed THEN '' ELSE ' ' END || t, '' ORDER BY sequence), '[{SPACE}]+', ' ', 'g')) AS text FROM g GROUP BY corpus_id, doc_id, grp"""
+#: One utterance after the other: the group it belongs to, whether that is still open, and whether it came after it was closed.
+_FOLDED = rf""", base AS (
+  SELECT *, trim(form, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t, row_number() OVER (PARTITION BY corpus_id, doc_id ORDER BY sequence, row_id) AS n FROM utt WHERE trim(form) <> ''
+), marked AS (
+  SELECT corpus_id, doc_id, n, utterance_id, speaker_id, sequence, t, regexp_matches(t, '^[.!?。？！ㅋㅎㅜㅠ{SPACE}]+$') AS short, regexp_matches(t, '^[.!?。？！]+[ㅋㅎㅜㅠ]*$') AS glue,
+    regexp_matches(t, '[.!?。？！]+(?:[{SPACE}]*[ㅋㅎㅜㅠ]+)?["'')\]}}”’]*$') AS ends FROM base
+), fold AS (
+  SELECT *, CAST(1 AS BIGINT) AS grp, NOT ends AS open, false AS late, '' AS sep FROM marked WHERE n = 1
+  UNION ALL
+  SELECT x.*, f.grp + CASE WHEN f.speaker_id = x.speaker_id AND (f.open OR x.short) THEN 0 ELSE 1 END,
+    CASE WHEN f.speaker_id = x.speaker_id AND x.short AND NOT f.open THEN false ELSE NOT x.ends END, f.speaker_id = x.speaker_id AND x.short AND NOT f.open,
+    CASE WHEN f.speaker_id = x.speaker_id AND x.short AND x.glue THEN '' ELSE ' ' END
+  FROM fold f JOIN marked x ON x.corpus_id = f.corpus_id AND x.doc_id = f.doc_id AND x.n = f.n + 1
+), merged AS (
+  SELECT corpus_id, doc_id, grp AS "group", any_value(speaker_id) AS speaker_id, min(sequence) AS start_sequence, max(sequence) AS end_sequence, count(*) AS utterance_count,
+    trim(regexp_replace(string_agg(sep || t, '' ORDER BY n), '[{SPACE}]+', ' ', 'g')) AS text, '' AS time_label,
+    any_value(speaker_id) || ':' || min(sequence) || CASE WHEN min(sequence) = max(sequence) FILTER (NOT late) THEN '' ELSE '-' || max(sequence) FILTER (NOT late) END || ':' || string_agg(utterance_id, '|' ORDER BY n) AS id
+  FROM fold GROUP BY corpus_id, doc_id, grp
+)"""
+_PACKED = """, sized AS (
+  SELECT *, length(text) AS chars, text <> '' AND (length(text) <= 35 OR len(string_split(text, ' ')) <= 7) AS short FROM merged
+), packed AS (
+  SELECT *, CAST(1 AS BIGINT) AS bundle, utterance_count AS us, chars AS cs FROM sized WHERE "group" = 1
+  UNION ALL
+  SELECT x.*, p.bundle + j.new, CASE WHEN j.new = 0 THEN p.us ELSE 0 END + x.utterance_count, CASE WHEN j.new = 0 THEN p.cs + 1 ELSE 0 END + x.chars
+  FROM packed p JOIN sized x ON x.corpus_id = p.corpus_id AND x.doc_id = p.doc_id AND x."group" = p."group" + 1,
+    LATERAL (SELECT CASE WHEN x.short AND p.short AND x.speaker_id = p.speaker_id AND p.us + x.utterance_count <= 6 AND p.cs + 1 + x.chars <= 180 THEN 0 ELSE 1 END AS new) j
+)
+SELECT corpus_id, doc_id, bundle, any_value(speaker_id) AS speaker_id, min(start_sequence) AS start_sequence, max(end_sequence) AS end_sequence, CAST(sum(utterance_count) AS BIGINT) AS utterance_count, count(*) AS sentence_count,
+  string_agg(text, ' ' ORDER BY "group") AS text, '' AS time_label, CASE WHEN count(*) > 1 THEN 'bundle:' ELSE '' END || string_agg(id, '|' ORDER BY "group") AS id FROM packed GROUP BY corpus_id, doc_id, bundle"""
 
 
-@register("sentence_merge", _MERGED)
+@register("sentence_merge", _FOLDED + " SELECT * FROM merged")
 def sentence_merge(spark, d):
     return merge.sentences(utterances(spark, d))
 
 
-@register("bundle_merge")
+@register("bundle_merge", _FOLDED + _PACKED)
 def bundle_merge(spark, d):
     return merge.bundles(merge.sentences(utterances(spark, d)))
 
 
+@register(
+    "speaker_view_sentences",
+    _FOLDED + """ SELECT doc_id, "group", start_sequence, any_value(CASE WHEN speaker_id <> 'assistant' THEN text END) AS "user", any_value(CASE WHEN speaker_id = 'assistant' THEN text END) AS assistant FROM merged WHERE corpus_id = 'conv' GROUP BY ALL""",
+)
+def speaker_view_sentences(spark, d):
+    rows = merge.sentences(utterances(spark, d, ("conv",)))
+    return explore.speaker_columns(rows, ["user", "assistant"], "text", ("doc_id", "group", "start_sequence"))
+
+
 @register("display_segments")
 def segments(spark, d):
-    rows = utterances(spark, d, ("conv",)).select("utterance_id", display_segments(F.col("form")).alias("parts"))
-    return rows.select("utterance_id", F.size("parts").cast("long").alias("n_segments"), F.array_join("parts", " | ").alias("segments"))
+    rows = utterances(spark, d).select("corpus_id", "utterance_id", display_segments(F.col("form")).alias("parts"))
+    return rows.select("corpus_id", "utterance_id", F.size("parts").cast("long").alias("n_segments"), F.array_join("parts", " | ").alias("segments"))
 
 
-_STRIP = rf"trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '[{SPACE}]+', ' ', 'g'))"
+_STRIP = rf"trim(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]+>', '', 'gs'), '[{SPACE}]+', ' ', 'g'))"
 _DECODED = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&')"
 
 
@@ -302,35 +338,73 @@ def strip_html_text(spark, d):
 
 
 @register(
-    "annotation_islands",
-    """, m AS (SELECT corpus_id, doc_id, sequence, speaker_id, CASE WHEN lag(speaker_id) OVER o = speaker_id THEN 0 ELSE 1 END AS new FROM utt WHERE corpus_id = 'conv' WINDOW o AS (PARTITION BY doc_id ORDER BY sequence)),
-n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY sequence) AS island FROM m) SELECT doc_id, CAST(island AS BIGINT) AS island, any_value(speaker_id) AS key, count(*) AS n_rows FROM n GROUP BY doc_id, island""",
+    "entity_decode",
+    # each item's text with its signs written as entities of all kinds, which decode to the text again
+    "SELECT item_id, text AS plain, text || ' &lt; & < ''é' AS decoded FROM benchmark",
+)
+def entity_decode(spark, d):
+    rows = spark.read.parquet(f"{d}/benchmark.parquet")
+    coded = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("e"), F.lit("&#101;")), F.lit("a"), F.lit("&#x61;"))
+    return rows.select("item_id", entities(coded).alias("plain"), entities(F.concat(F.col("text"), F.lit(" &amp;lt; &AMP; &lt; &apos;&#xE9;"))).alias("decoded"))
+
+
+@register(
+    "explore_tree",
+    """, n AS (SELECT corpus_id, category, topic, count(*) AS n FROM doc GROUP BY corpus_id, category, topic), t AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, category ORDER BY n DESC, topic) AS r FROM n),
+c AS (SELECT corpus_id, category, sum(n)::BIGINT AS n, string_agg(topic || '=' || n, ',' ORDER BY r) FILTER (r <= 100) AS topics FROM t GROUP BY corpus_id, category)
+SELECT corpus_id, corpus_id AS corpus_name, '문장' AS unit_label, CAST(sum(n) AS BIGINT) AS count, string_agg(category || ':' || n || '(' || topics || ')', ';' ORDER BY n DESC, category) AS tree FROM c GROUP BY corpus_id""",
+)
+def explore_tree(spark, d):
+    rows = Engine(spark, corpus(spark, d).folder).explore_tree()
+    number = lambda x: x["count"].cast("string")
+    node = lambda c: F.concat(c["category"], F.lit(":"), number(c), F.lit("("), F.array_join(F.transform(c["topics"], lambda t: F.concat(t["topic"], F.lit("="), number(t))), ","), F.lit(")"))
+    return rows.select("corpus_id", "corpus_name", "unit_label", "count", F.array_join(F.transform("categories", node), ";").alias("tree"))
+
+
+@register("token_stats", "SELECT corpus_id, 'raw' AS kind, term, count(*) AS count FROM tok GROUP BY ALL UNION ALL SELECT corpus_id, k, t, count(*) FROM (SELECT corpus_id, unnest(['provided', 'lemma', 'pos']) AS k, unnest([term, lemma, pos]) AS t FROM prov) GROUP BY ALL")
+def token_stats(spark, d):
+    return _t(spark, d, "token_stats").select("corpus_id", "kind", "term", "count")
+
+
+@register(
+    "value_stats",
+    """SELECT corpus_id, 'topic' AS kind, topic AS value, count(*) AS count FROM doc WHERE topic <> '' GROUP BY ALL UNION ALL SELECT corpus_id, 'category', category, count(*) FROM doc WHERE category <> '' GROUP BY ALL
+UNION ALL SELECT corpus_id, 'speaker', coalesce(nullif(speaker_sex, ''), '미상') || ' / ' || coalesce(nullif(speaker_age, ''), '미상') AS v, count(*) FROM utt GROUP BY corpus_id, v
+UNION ALL SELECT corpus_id, 'marker', term, count(*) FROM tok WHERE term LIKE '{%' AND term LIKE '%}' GROUP BY corpus_id, term""",
 )
-def annotation_islands(spark, d):
-    order = W.partitionBy("doc_id").orderBy("sequence")
-    rows = utterances(spark, d, ("conv",)).select("doc_id", "sequence", "speaker_id")
-    new = F.when(F.lag("speaker_id").over(order) == F.col("speaker_id"), 0).otherwise(1)
-    rows = rows.withColumn("new", new).withColumn("island", F.sum("new").over(order).cast("long"))
-    return rows.groupBy("doc_id", "island").agg(F.min("speaker_id").alias("key"), F.count(F.lit(1)).alias("n_rows"))
+def value_stats(spark, d):
+    return _t(spark, d, "value_stats").select("corpus_id", "kind", "value", "count")
+
+
+@register("corpus_records", "SELECT u.corpus_id, u.n AS utterance_count, d.n AS document_count, t.n + coalesce(p.n, 0) AS token_count FROM (SELECT corpus_id, count(*) AS n FROM utt GROUP BY 1) u JOIN (SELECT corpus_id, count(*) AS n FROM doc GROUP BY 1) d USING (corpus_id) JOIN (SELECT corpus_id, count(*) AS n FROM tok GROUP BY 1) t USING (corpus_id) LEFT JOIN (SELECT corpus_id, count(*) AS n FROM prov GROUP BY 1) p USING (corpus_id)")
+def corpus_records(spark, d):
+    return corpus(spark, d).catalog().select("corpus_id", "utterance_count", "document_count", "token_count")
 
 
 @register(
-    "source_dedupe",
-    "SELECT doc_id, substring(sha1(doc_id), 1, 10) AS hash FROM doc d WHERE corpus_id = 'conv' AND NOT EXISTS (SELECT 1 FROM doc x WHERE x.corpus_id = 'docs' AND x.doc_id = d.doc_id AND x.category = 'en')",
+    "utterances_with_corpus",
+    "SELECT corpus_id, corpus_id AS corpus_name, doc_id, utterance_id, row_id, year FROM utt",
 )
-def source_dedupe(spark, d):
-    """A corpus's documents that another source has in one language are dropped: an anti join on the source key."""
-    docs = documents(spark, d)
-    other = docs.where((F.col("corpus_id") == "docs") & (F.col("category") == "en")).select("doc_id")
-    return docs.where(F.col("corpus_id") == "conv").join(other, "doc_id", "left_anti").select("doc_id", short_hash(F.col("doc_id")).alias("hash"))
+def utterances_with_corpus(spark, d):
+    return Engine(spark, corpus(spark, d).folder).utterances().select("corpus_id", "corpus_name", "doc_id", "utterance_id", "row_id", "year")
+
+
+_CSV = """, p AS (SELECT a.*, b.token_index AS e FROM tok a JOIN tok b ON a.corpus_id = b.corpus_id AND a.row_id = b.row_id AND b.token_index = a.token_index + 1 WHERE a.term = 'of' AND b.term = 'the'),
+x AS (SELECT p.*, array_to_string(list_slice(w, greatest(token_index - 1, 1), token_index), ' ') AS l, array_to_string(list_slice(w, token_index + 1, token_index + 2), ' ') AS h, array_to_string(list_slice(w, token_index + 3, token_index + 4), ' ') AS r FROM p JOIN words u ON p.corpus_id = u.corpus_id AND p.row_id = u.row_id)
+"""
 
 
 @register(
-    "csv_export_projection",
-    """, p AS (SELECT a.*, b.token_index AS e FROM tok a JOIN tok b ON a.corpus_id = b.corpus_id AND a.row_id = b.row_id AND b.token_index = a.token_index + 1 WHERE a.term = 'of' AND b.term = 'the')
-SELECT p.corpus_id, p.doc_id, p.utterance_id, p.form, array_to_string(list_slice(w, greatest(token_index - 1, 1), token_index), ' ') AS "left", array_to_string(list_slice(w, token_index + 1, token_index + 2), ' ') AS hit,
-  array_to_string(list_slice(w, token_index + 3, token_index + 4), ' ') AS "right" FROM p JOIN words u ON p.corpus_id = u.corpus_id AND p.row_id = u.row_id""",
+    "csv_export",
+    # every field as it is quoted in the file, the file's lines numbered in order
+    _CSV
+    + """SELECT n AS line, array_to_string(list_transform(f, lambda v: CASE WHEN regexp_matches(v, '[",\\r\\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END), ',') AS text FROM (
+  SELECT row_number() OVER (ORDER BY corpus_id, row_id, token_index) AS n, [corpus_id, corpus_id, doc_id, utterance_id, speaker_id, CAST(sequence AS VARCHAR), year, category, topic, '', '', '', speaker_sex, speaker_age, '', l, h, r, form, original_form, ''] AS f FROM x)""",
 )
-def csv_export_projection(spark, d):
-    found, _ = search.matched(utterances(spark, d), search.Request('[text="of"] [text="the"]', mode="cql", context=2))
-    return search.export_rows(found).select("corpus_id", "doc_id", "utterance_id", "form", "left", "hit", "right")
+def csv_export(spark, d):
+    """The lines of an exported file, read again as they stand in it."""
+    engine = Engine(spark, corpus(spark, d).folder)
+    path = f"{new_folder(spark)}/found.csv"
+    engine.export_csv(search.Request('[text="of"] [text="the"]', mode="cql", context=2), path)
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n", -1)).alias("line", "text"))
+    return whole.where((F.col("line") > 0) & (F.col("text") != "")).select(F.col("line").cast("long").alias("line"), "text")
