@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import new_folder, remove
+
 #: ASCII white space, the only separators of words.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -27,26 +26,30 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='lexispark-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+def free_prefix(*frames: DataFrame) -> str:
+    """A start of column names that no column of the frames has, whatever its case, so that working columns clash with none."""
+    taken, prefix = {c.lower() for f in frames for c in f.columns}, "w_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix = "w" + prefix
+    return prefix
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
 
-    The files live in the folder of ``spark.checkpoint.dir``, so they outlast any executor; the driver's
-    file system deletes them when the application ends.
+    The files live in the folder of ``spark.checkpoint.dir``, so they outlast any executor; they are deleted when the application
+    ends, or before by ``dropped``.
     """
     spark = df.sparkSession
-    path = f"{_shared_dir(spark)}/lexispark-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(spark)}/{name}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_in = path.rsplit("/", 1)[0]
+    return back
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of frames from ``stored`` that nothing reads any more."""
+    for df in frames:
+        if where := getattr(df, "stored_in", None):
+            remove(df.sparkSession, where)

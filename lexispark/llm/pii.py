@@ -1,8 +1,9 @@
 """Pseudonyms for personal data by keyed, format-preserving Feistel permutations.
 
-Values are looked for at every place of a text, validated (Luhn, octet ranges, calendar, numbering plan), and replaced by a
-value of the same format; the first valid one wins where two overlap, and one that fails hides nothing inside it. This is done under a keyed permutation of that format. The permutation depends on the key and the format only, so equal values
-have equal pseudonyms in all documents, and different values have different ones. Only column expressions are used.
+Values are looked for at every place of a text, validated (Luhn, mod 97, octet ranges, calendar, number ranges), and replaced by a
+value of the same format; the first valid one wins where two overlap, and one that fails hides nothing inside it. A value moves
+under a keyed permutation of its format, which depends on the key and the format only, so equal values have equal pseudonyms in all
+documents, and different values have different ones. Only column expressions are used.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._base import free_prefix
+
 ROUNDS = 8
 
 #: Groups of a card's digits; one separator is used throughout. Where a longer layout starts with a shorter one it comes first.
@@ -22,11 +25,14 @@ PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![\w@-])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[0-9a-f]{12,128}(?![0-9A-Za-z])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
     "iso_date": r"(?<![\w/.-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2}(?!\d{3}))|(?![\w/-]|\.\d))",
     "dmy_date": r"(?<![\w/.-])\d{2}(?:\.\d{2}\.|/\d{2}/)\d{4}(?![\w/-]|\.\d)",
     "card": rf"(?<![\w.-])(?:{CARD})(?![\w-]|\.\d)",
-    "phone": r"(?<![\w(+])(?:\+1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\w-])",
+    "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)",
+    "phone": r"(?<![\w(+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
     "intl_phone": r"(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\d{1,4}){2,5}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -61,7 +67,7 @@ def _feistel_number(x: Column, high: int, low: int, key: str, kind: str) -> Colu
 
 
 #: Alphabet of each layout sign; other signs keep their place.
-ALPHABETS = {"d": "0123456789", "N": "23456789", "h": "0123456789abcdef", "X": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+ALPHABETS = {"d": "0123456789", "N": "23456789", "B": "01", "H": "0123456789ABCDEF", "h": "0123456789abcdef", "X": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
 def _feistel_text(value: Column, layout: Column, key: str, kind: str) -> Column:
@@ -167,12 +173,66 @@ def _dmy(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    """Country code and separators stay; area and exchange codes still start with 2 to 9."""
+    """Country code and separators stay; the first digits of area and exchange code stay among 2 to 9, or among 0 and 1."""
     core = F.regexp_replace(v, r"^\+1[ .-]?", "")
-    layout = F.regexp_replace(F.regexp_replace(core, r"\d", "d"), r"d(?=dd(?!d))", "N")
+    layout = core
+    for start in (r"(?<=\A\(?)", r"(?<=[) .-])"):  # the area code starts the number, the exchange code has a separator on both sides
+        end = r"(?=\d\d[) .-])"
+        layout = F.regexp_replace(F.regexp_replace(layout, f"{start}[2-9]{end}", "N"), f"{start}[01]{end}", "B")
+    layout = F.regexp_replace(layout, r"\d", "d")
     return F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(core)), _feistel_text(core, layout, key, "phone"))
 
 
+#: Social security numbers: area 001 to 899 but for 666, group 01 to 99, serial 0001 to 9999.
+SSN_HALVES = (898 * 99, 9999)
+
+
+def _ssn(v: Column, key: str) -> Column:
+    """Moved within all valid numbers; an invalid one stays."""
+    area, group, serial = (F.substring(v, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    number = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * SSN_HALVES[1] + serial - 1
+    moved = _feistel_number(number.cast("long"), *SSN_HALVES, key, "ssn")
+
+    def made(n: Column) -> Column:
+        front = F.floor(n / SSN_HALVES[1])
+        at = F.floor(front / 99)
+        return F.format_string("%03d-%02d-%04d", at + F.when(at >= 665, 2).otherwise(1), front % 99 + 1, n % SSN_HALVES[1] + 1)
+
+    return F.when(valid, F.get(F.transform(F.array(moved), made), F.lit(0))).otherwise(v)
+
+
+def _mod97(signs: Column) -> Column:
+    """The remainder by 97 of digits and letters read as one number, A as 10 to Z as 35."""
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    return F.aggregate(F.transform(F.split(signs, ""), value), F.lit(0), lambda a, x: (a * F.when(x < 10, 10).otherwise(100) + x) % 97)
+
+
+def _iban(v: Column, key: str) -> Column:
+    """Country, letters and digits keep their places, the check digits are made anew; without valid check digits the value stays."""
+    signs = F.replace(v, F.lit(" "), F.lit(""))
+    body = F.substr(signs, F.lit(5), F.length(signs))
+    layout = F.regexp_replace(F.regexp_replace(body, "[A-Z]", "A"), "[0-9]", "d")
+    moved = _feistel_text(body, layout, key, "iban")
+    country = F.substring(signs, 1, 2)
+
+    def made(m: Column) -> Column:
+        new = F.concat(country, F.lpad((98 - _mod97(F.concat(m, country, F.lit("00")))).cast("string"), 2, "0"), m)
+        places = F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.when(F.substr(v, i, F.lit(1)) == " ", " ").otherwise(F.substr(new, i - F.length(F.regexp_replace(F.substr(v, F.lit(1), i), "[^ ]", "")), F.lit(1))))
+        return F.array_join(places, "")
+
+    valid = (_mod97(F.concat(body, F.substring(signs, 1, 4))) == 1) & F.substring(signs, 3, 2).cast("int").between(2, 98)
+    return F.when(valid, F.get(F.transform(F.array(moved), made), F.lit(0))).otherwise(v)
+
+
+def _ipv6(v: Column, key: str) -> Column:
+    """Hexadecimal digits keep their places and case; values without a digit, or of both cases, stay."""
+    upper, lower = v.rlike("[A-F]"), v.rlike("[a-f]")
+    layout = F.when(upper, F.regexp_replace(v, "[0-9A-F]", "H")).otherwise(F.regexp_replace(v, "[0-9a-f]", "h"))
+    # equal layouts of both cases are told apart by their sign; digits alone count as lower case
+    return F.when(v.rlike("[0-9]") & ~(upper & lower), _feistel_text(v, layout, key, "ipv6")).otherwise(v)
+
+
 def _intl_phone(v: Column, key: str) -> Column:
     """The first two digits stay; values of fewer than 8 or more than 15 digits stay whole."""
     n = F.length(F.regexp_replace(v, r"\D", ""))
@@ -200,10 +260,13 @@ HANDLERS: dict[str, Callable[[Column, str], Column]] = {
     "email": _email,
     "access_key": _access_key,
     "secret": _secret,
+    "iban": _iban,
+    "ipv6": _ipv6,
     "ip": _ip,
     "iso_date": lambda v, key: _date(v, "yyyy-MM-dd", key),
     "dmy_date": _dmy,
     "card": _card,
+    "ssn": _ssn,
     "phone": _phone,
     "intl_phone": _intl_phone,
 }
@@ -250,37 +313,39 @@ def _phones_alone(values: Column, lengths: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """Replace ``text`` by its pseudonymised form; if ``count`` is given, a column of that name has the number of changed values.
 
-    All rows and all other columns stay. Null and empty texts, and texts without a value, stay as they are.
+    All rows and all other columns stay, whatever their names, repeated rows too; a column of the name ``count`` is replaced. Null and
+    empty texts, and texts without a value, stay as they are. An empty table gives an empty table.
     """
-    t = F.col(text)
-    columns = [c for c in docs.columns if c != count]
+    t, w = F.col(text), free_prefix(docs)
+    columns = [c for c in docs.columns if c.lower() != (count or "").lower()]
+    padded_, found_, values_, pieces_, lengths_, new_, valid_, taken_ = (w + n for n in ("padded", "found", "values", "pieces", "lengths", "new", "valid", "taken"))
     # a leading space is no part of any value; with it the text before the first start is never dropped
     padded = F.when(t.rlike("[0-9@]"), F.concat(F.lit(" "), t))
-    step = docs.select(*columns, padded.alias("_padded"))
-    step = step.withColumn("_found", F.regexp_extract_all("_padded", F.lit(START), F.lit(1)))
-    some = F.size("_found") > 0
-    step = step.withColumn("_values", F.when(some, F.transform("_found", _card_alone))).withColumn("_pieces", F.when(some, F.split("_padded", START, -1)))
+    step = docs.select(*(F.col(f"`{c}`") for c in columns), padded.alias(padded_))
+    step = step.withColumn(found_, F.regexp_extract_all(padded_, F.lit(START), F.lit(1)))
+    some = F.size(found_) > 0
+    step = step.withColumn(values_, F.when(some, F.transform(found_, _card_alone))).withColumn(pieces_, F.when(some, F.split(padded_, START, -1)))
     # length of the piece of text that each value starts
-    step = step.withColumn("_lengths", F.transform(F.slice("_pieces", 2, F.size("_found")), F.length))
-    step = step.withColumn("_values", _phones_alone(F.col("_values"), F.col("_lengths")))
-    step = step.withColumn("_new", F.when(some, F.transform("_values", lambda v: pseudonym(v, key))))
-    valid = F.zip_with("_values", "_new", lambda v, new: F.when(v != new, F.length(v)).otherwise(0))
-    step = step.withColumn("_valid", valid)
+    step = step.withColumn(lengths_, F.transform(F.slice(pieces_, 2, F.size(found_)), F.length))
+    step = step.withColumn(values_, _phones_alone(F.col(values_), F.col(lengths_)))
+    step = step.withColumn(new_, F.when(some, F.transform(values_, lambda v: pseudonym(v, key))))
+    valid = F.zip_with(values_, new_, lambda v, new: F.when(v != new, F.length(v)).otherwise(0))
+    step = step.withColumn(valid_, valid)
     # signs of each piece that belong to a value which started before it
     taken = F.aggregate(
-        F.arrays_zip("_valid", "_lengths"),
+        F.arrays_zip(F.col(valid_).alias("v"), F.col(lengths_).alias("n")),
         F.array(F.lit(0)),
-        lambda s, x: F.concat(s, F.array(F.greatest(F.lit(0), F.when(F.element_at(s, -1) > 0, F.element_at(s, -1)).otherwise(x["_valid"]) - x["_lengths"]))),
+        lambda s, x: F.concat(s, F.array(F.greatest(F.lit(0), F.when(F.element_at(s, -1) > 0, F.element_at(s, -1)).otherwise(x["v"]) - x["n"]))),
     )
-    step = step.withColumn("_taken", F.when(some, taken))
-    rest = lambda x, n: F.substr(x["_piece"], n + 1, F.length(x["_piece"]))
+    step = step.withColumn(taken_, F.when(some, taken))
+    rest = lambda x, n: F.substr(x["piece"], n + 1, F.length(x["piece"]))
     parts = F.transform(
-        F.arrays_zip(F.slice("_pieces", 2, F.size("_found")).alias("_piece"), F.col("_new"), F.col("_valid"), F.slice("_taken", 1, F.size("_found")).alias("_before")),
-        lambda x: F.when(x["_before"] > 0, rest(x, x["_before"])).when(x["_valid"] > 0, F.concat(x["_new"], rest(x, x["_valid"]))).otherwise(x["_piece"]),
+        F.arrays_zip(F.slice(pieces_, 2, F.size(found_)).alias("piece"), F.col(new_).alias("new"), F.col(valid_).alias("v"), F.slice(taken_, 1, F.size(found_)).alias("before")),
+        lambda x: F.when(x["before"] > 0, rest(x, x["before"])).when(x["v"] > 0, F.concat(x["new"], rest(x, x["v"]))).otherwise(x["piece"]),
     )
-    whole = F.concat(F.substr(F.get("_pieces", F.lit(0)), F.lit(2)), F.array_join(parts, ""))
-    out = [F.when(some, whole).otherwise(t).alias(text) if c == text else F.col(c) for c in columns]
+    whole = F.concat(F.substr(F.get(pieces_, F.lit(0)), F.lit(2)), F.array_join(parts, ""))
+    out = [F.when(some, whole).otherwise(t).alias(c) if c.lower() == text.lower() else F.col(f"`{c}`") for c in columns]
     if count:
-        changed = F.size(F.filter(F.arrays_zip("_valid", F.slice("_taken", 1, F.size("_found")).alias("_before")), lambda x: (x["_valid"] > 0) & (x["_before"] == 0)))
+        changed = F.size(F.filter(F.arrays_zip(F.col(valid_).alias("v"), F.slice(taken_, 1, F.size(found_)).alias("before")), lambda x: (x["v"] > 0) & (x["before"] == 0)))
         out.append(F.when(some, changed).otherwise(0).cast("long").alias(count))
     return step.select(*out)
