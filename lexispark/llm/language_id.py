@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from ._base import free_prefix
 
 FEATURES = 1 << 14
 ORDERS = (1, 2, 3)
 PER_CLASS = 500
+#: Languages that are learnt at most, the most frequent ones; a label column with more values is dirty, and weights are kept for each.
+LANGUAGES = 256
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 UNKNOWN = "und"
@@ -117,7 +120,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mo
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_class: int = PER_CLASS) -> Model | None:
     """A model from all rows of ``docs``; None if no row has a language and a letter.
 
-    Null languages and texts without letters are left out. Other columns are not read.
+    Null languages and texts without letters are left out; of more than ``LANGUAGES`` languages the most frequent are learnt. Repeated
+    rows and null keys are rows like any other. Other columns are not read.
     """
     rows = docs.select(F.col(language).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("at")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
@@ -138,7 +142,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
         return None
     idf = np.log((1 + n) / (1 + np.array([df.get(k, 0) for k in range(FEATURES)]))) + 1
     # each language gives the share of its rows that makes about per_class of them
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     share = rows.sparkSession.createDataFrame([(k, min(1.0, per_class / v)) for k, v in counts.items()], "s_lang string, share double")
     chosen = rows.join(F.broadcast(share), F.col("lang") == F.col("s_lang")).where(F.pmod("at", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text", "at")
 
@@ -161,14 +165,15 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
 def predict(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """Append the predicted language and its calibrated probability to every row of ``docs``.
 
-    Null texts and texts without a letter (or a null model) get ``und`` with score 0. Columns with the new names are replaced.
+    Null texts and texts without a letter (or a null model) get ``und`` with score 0. All rows stay, repeated ones too; columns with
+    the new names, in whatever case, are replaced, all others stay. An empty table gives an empty table.
     """
-    kept = [c for c in docs.columns if c not in (lang, score)]
-    rows = docs.select(*(F.col(c) for c in kept), F.col(text).alias("__text"))
+    kept, text_ = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower())], free_prefix(docs) + "text"
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias(text_))
 
     def run(batches):
         for batch in batches:
-            for part, texts in textkit.slices(batch, "__text"):
+            for part, texts in textkit.slices(batch, text_):
                 found = []
                 for counts in _counts(texts):
                     if counts is None or model is None:
@@ -179,5 +184,5 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", lang: str
                 arrays = [part.column(i) for i in range(len(kept))] + [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays(arrays, [*kept, lang, score])
 
-    schema = rows.select(*kept).schema.add(lang, "string").add(score, "double")
+    schema = rows.drop(text_).schema.add(lang, "string").add(score, "double")
     return rows.mapInArrow(run, schema)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import SPACE_RUN, words
+from ._base import SPACE_RUN, free_prefix, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -54,19 +54,22 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n_words, word_chars (code points in words), n_symbols (characters of ``#*$%&|<>``), n_dup_lines (lines with a word that
     equal an earlier line), n_repeat_words (words in 8-word windows found twice or more in the text, the first included),
-    n_lines (lines with a word), n_upper (A-Z). Null and empty texts measure 0 throughout. Columns that are named like a
-    measurement are replaced.
+    n_lines (lines with a word), n_upper (A-Z). Null and empty texts measure 0 throughout. All rows stay, repeated ones and those
+    with null keys too; columns that are named like a measurement, in whatever case, are replaced, all others stay. An empty table
+    gives an empty table.
     """
-    kept = [c for c in docs.columns if c not in MEASURES]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in MEASURES]
+    w = free_prefix(docs)
+    text_, words_, lines_, h2_, h4_, h8_, sorted_, twice_ = (w + n for n in ("text", "words", "lines", "h2", "h4", "h8", "sorted", "twice"))
     t = F.coalesce(F.col(text), F.lit(""))
-    step = docs.select(*kept, t.alias("_text"), words(F.col(text)).alias("_words"))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.regexp_replace(x, SPACE_RUN, "") != "")
+    step = docs.select(*kept, t.alias(text_), words(F.col(text)).alias(words_))
+    lines = F.filter(F.split(text_, "\n", -1), lambda x: F.regexp_replace(x, SPACE_RUN, "") != "")
     step = step.select(
         *kept,
-        "_words",
-        lines.alias("_lines"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length("_text") - F.length(F.translate("_text", UPPER, ""))).cast("long").alias("n_upper"),
+        words_,
+        lines.alias(lines_),
+        (F.length(text_) - F.length(F.translate(text_, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length(text_) - F.length(F.translate(text_, UPPER, ""))).cast("long").alias("n_upper"),
     )
 
     def widen(name: str, by: int) -> Column:
@@ -77,35 +80,39 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         *kept,
         "n_symbols",
         "n_upper",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        widen("_words", 1).alias("_h2"),
+        F.size(words_).cast("long").alias("n_words"),
+        F.length(F.array_join(words_, "")).cast("long").alias("word_chars"),
+        F.size(lines_).cast("long").alias("n_lines"),
+        (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long").alias("n_dup_lines"),
+        widen(words_, 1).alias(h2_),
     )
-    step = step.withColumn("_h4", widen("_h2", 2)).drop("_h2")
-    step = step.withColumn("_h8", widen("_h4", 4)).drop("_h4")
-    repeats = F.size(F.array_distinct("_h8")) < F.size("_h8")
-    step = step.withColumn("_sorted", F.when(repeats, F.array_sort(F.transform("_h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = F.col("_sorted")
+    step = step.withColumn(h4_, widen(h2_, 2)).drop(h2_)
+    step = step.withColumn(h8_, widen(h4_, 4)).drop(h4_)
+    repeats = F.size(F.array_distinct(h8_)) < F.size(h8_)
+    step = step.withColumn(sorted_, F.when(repeats, F.array_sort(F.transform(h8_, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    s = F.col(sorted_)
     twice = F.array_sort(
         F.filter(
             F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"])),
             lambda i: i.isNotNull(),
         )
     )
-    step = step.withColumn("_twice", F.when(s.isNotNull(), twice)).drop("_sorted", "_h8")
-    p = F.col("_twice")
+    step = step.withColumn(twice_, F.when(s.isNotNull(), twice)).drop(sorted_, h8_)
+    p = F.col(twice_)
     covered = F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get(p, k + 1) - i, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
     return step.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).select(*kept, *MEASURES)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``measure`` plus ``fail_bits``: the bit of every rule that the document fails."""
+    """``measure`` plus ``fail_bits``: the bit of every rule that the document fails; a column of that name is replaced.
+
+    Nulls, repeated rows, clashing names and empty tables are treated as by ``measure``.
+    """
     bits = None
     for name, fails in RULES.items():
         bit = F.when(F.expr(fails), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long")
         bits = bit if bits is None else bits.bitwiseOR(bit)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "fail_bits"))
     return measure(docs, text).withColumn("fail_bits", bits)
 
 

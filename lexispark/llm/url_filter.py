@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import ascii_lower
+from ._base import ascii_lower, free_prefix
 
 #: Hexadecimal digits of a digest by which expressions and rules are joined.
 SHORT = 8
@@ -57,7 +57,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"),
         F.collect_set(F.length("r_path")).alias("lengths"),
     ).first()
-    kept = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict"}]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict"}]
+    w = free_prefix(pages)
+    id_, key_, best_ = w + "id", w + "key", w + "best"
     out = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     if not shape["n"]:
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
@@ -78,8 +80,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     found = urls.join(keyed, F.col("x_short") == F.col("r_short")).where((F.col("x_digest") == F.col("r_digest")) & fits)
     text = F.concat("r_host", "r_path")
     best = found.groupBy("host", "path").agg(F.max(F.struct(F.length(text).alias("n"), F.length("r_host").alias("h"), text.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
-    # The join goes by a digest of its own, so that both sides are exchanged for it and Spark can split a hot url.
-    best = best.select(F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias("u_key"), "best")
-    out = out.withColumn("u_id", F.sha2(F.concat("host", F.lit("\n"), "path"), 256))
-    joined = out.join(best, F.col("u_id") == F.col("u_key"), "left")
-    return joined.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+    # The join goes by a digest of its own, so that both sides are exchanged for it and Spark can split a hot url; that is a part of
+    # adaptive execution, which must be on, as it is by default.
+    best = best.select(F.sha2(F.concat("host", F.lit("\n"), "path"), 256).alias(key_), F.col("best").alias(best_))
+    out = out.withColumn(id_, F.sha2(F.concat("host", F.lit("\n"), "path"), 256))
+    joined = out.join(best, F.col(id_) == F.col(key_), "left")
+    return joined.select(*kept, "host", "path", F.col(f"{best_}.rule").alias("rule"), F.coalesce(F.col(f"{best_}.verdict"), F.lit(default)).alias("verdict"))

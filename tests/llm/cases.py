@@ -20,7 +20,7 @@ def odd_documents(spark, extra: bool = False):
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        for name in ("key", "size", "rows", "digest", "bin", "piece", "kept", "n_words", "_words", "_text", "cluster", "score", "set", "host", "path", "rule", "u_id", "best"):
+        for name in ("key", "size", "rows", "digest", "bin", "piece", "kept", "n_words", "_words", "_text", "cluster", "score", "set", "host", "path", "rule", "u_id", "best", "w_id", "W_TEXT", "w_words", "N_LINES", "b_key", "k", "r1", "cls"):
             df = df.selectExpr("*", f"'x' as {name}")
     return df
 
