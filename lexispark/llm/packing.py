@@ -1,6 +1,6 @@
 """Packing of token sequences into fixed-size bins by conflict-constrained best fit.
 
-Documents longer than a bin are cut into pieces. Pieces are dealt by hash into packing groups of bounded size, and each
+Documents longer than a bin are cut into pieces. Pieces are dealt by hash into packing groups of about ``GROUP_ROWS``, and each
 group is packed on its own, longest piece first. Open bins are ordered by residual; each carries a bitmap of the
 duplicate clusters and bitmaps of the sources that it holds. The search starts at the smallest residual that holds the
 piece and goes on to the next larger one until a bin is found that the piece does not conflict with.
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import ascii_lower, words
+from ._base import ascii_lower, stored, words
 
 CAPACITY = 2048
 PER_SOURCE = 2
@@ -90,7 +90,8 @@ def pack(
     """One row per piece: ``key``, piece (from 0), start (first token), n_tokens, source, bin (unique over all), offset in the bin.
 
     No bin holds more than ``capacity`` tokens, more than ``per_source`` pieces of a source, or two pieces of a duplicate
-    cluster (by default texts that are equal but for A-Z case; pieces of one document count as one cluster too). Token counts are words unless ``n_tokens`` is given. Null and blank texts have 0 tokens
+    cluster (by default texts that are equal but for A-Z case; pieces of one document count as one cluster too; near copies only
+    count as one where ``cluster`` says so). Token counts are words unless ``n_tokens`` is given. Null and blank texts have 0 tokens
     and give no row. A null source is a source of its own; null and repeated keys are rows like any other. Other columns
     are not read. An empty table gives an empty table.
     """
@@ -101,9 +102,9 @@ def pack(
         (n_tokens if n_tokens is not None else F.size(words(t))).cast("int").alias("total"),
         (cluster if cluster is not None else F.xxhash64(ascii_lower(t))).cast("long").alias("cluster"),
     ).where(F.col("total") > 0)
-    # The number of groups follows the rows; counting reads no column.
-    groups = max(1, math.ceil(docs.count() / group_rows))
+    rows = stored(rows, "lengths")  # texts are read once; the number of groups follows the pieces
     last = F.floor((F.col("total") - 1) / capacity).cast("int")
+    groups = max(1, math.ceil((rows.agg(F.sum(last.cast("long") + 1)).first()[0] or 0) / group_rows))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("n_tokens", F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity))
     rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("key", "cluster", "source", "piece"), F.lit(groups)).cast("long")).drop("total")
     kind = rows.schema["key"].dataType.simpleString()

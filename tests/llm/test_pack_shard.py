@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from cases import no_documents, odd_documents
@@ -44,6 +45,37 @@ def test_shards_hot_group(spark):
     assert max(sizes) - min(sizes) < 0.03 * sum(sizes) / 4
 
 
+def test_equal_texts_stay_together_unless_larger_than_a_shard(spark):
+    """15 per cent of the rows are null and more than a shard by rows, not by bytes."""
+    texts = [None if k % 20 < 3 else f"number {k} " * (3 + k % 9) for k in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shard(docs, 24).collect()
+    sizes = check_shards(got, docs.collect(), 24)
+    assert len({r["shard"] for r in got if texts[r["doc_id"]] is None}) == 1
+    assert max(sizes) - min(sizes) <= max(len(t or "") for t in texts) + 16
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pack_vectors_replayed(seed):
+    rnd = np.random.default_rng(seed)
+    vectors = np.vstack([rnd.integers(1, 50, (200, 3)), [[10, 10, 900], [700, 5, 5]]]).astype(float)
+    bins = sharding.pack_vectors(vectors, 5)
+    share = vectors.sum(axis=0) / 5
+    held = np.zeros((5, 3))
+    for k in sorted(range(len(vectors)), key=lambda k: (-max(vectors[k] / share), k)):
+        v = vectors[k] / share
+        left = 1 - held
+        room = [b for b in range(5) if left[b][0] >= v[0] - 1e-9]
+        whole = [b for b in room if (left[b] >= v - 1e-9).all()]
+        if room:
+            best = max(whole or room, key=lambda b: (round(float(left[b] @ v), 9), -b))
+            assert round(float(left[bins[k]] @ v), 9) == round(float(left[best] @ v), 9) and bins[k] in (whole or room)
+        else:
+            assert left[bins[k]][0] == max(left[:, 0])
+        held[bins[k]] += v
+    assert abs(held[:, 0] - 1).max() < 0.2
+
+
 def test_shard_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = queries.op5_sharding(spark, SF).collect()
@@ -88,6 +120,13 @@ def test_pack_odd(spark, extra):
     assert packing.pack(no_documents(spark)).count() == 0
 
 
+def test_pack_groups_follow_pieces(spark):
+    """Many pieces of few documents are dealt to many groups."""
+    docs = spark.createDataFrame([(k, "w " * 5000, "s") for k in range(4)], "doc_id long, text string, source string")
+    got = packing.pack(docs, capacity=50, group_rows=100).collect()
+    assert len(got) == 400 and len({r["bin"] >> 32 for r in got}) > 1
+
+
 def test_pack_query(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     tokens, bins = Counter(), defaultdict(list)
