@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import words
+from ._base import free_prefix, stored, words
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
@@ -26,7 +26,8 @@ BITS, BLOCKS = 64, 24
 RADIUS = BLOCKS - 1
 #: Where the blocks start; they have two or three bits.
 CUTS = [k * BITS // BLOCKS for k in range(BLOCKS + 1)]
-#: Benchmarks of up to so many shingles are broadcast (some 20 MB at most); larger ones are joined by shuffle.
+#: Benchmarks of up to so many shingles are broadcast: 16 bytes for a shingle, its item's size and overhead in the table of shingles, and
+#: 8 in its item's, which some 40 bytes a block and item join; larger benchmarks are joined by shuffle.
 BROADCAST_SHINGLES = 500_000
 
 
@@ -92,6 +93,12 @@ def _block(fingerprint: Column, k: int) -> Column:
     return F.shiftrightunsigned(fingerprint, CUTS[k]).bitwiseAND(F.lit((1 << (CUTS[k + 1] - CUTS[k])) - 1).cast("long"))
 
 
+def _with_words(places: DataFrame, base: DataFrame) -> DataFrame:
+    """Places with the words of their documents, of which those of one key and text count once."""
+    texts = base.select(F.col("key").alias("b_key"), F.col("digest").alias("b_digest"), "w").dropDuplicates(["b_key", "b_digest"])
+    return places.join(texts, F.col("key").eqNullSafe(F.col("b_key")) & (F.col("digest") == F.col("b_digest"))).drop("b_key", "b_digest")
+
+
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that a window of the document is similar to.
 
@@ -119,28 +126,40 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     found = None
     for width in sorted({min(k, SHINGLE) for k, _ in sizes}):
         stride = min(sure_run(k - width + 1) for k, _ in sizes if min(k, SHINGLE) == width)
-        its = wanted.where(F.col("width") == width).select("item", "n", _shingles(F.col("w"), width).alias("i_shingles"))
+        its = wanted.where(F.col("width") == width).select("item", "n", F.xxhash64("item", "w").alias("i_id"), _shingles(F.col("w"), width).alias("i_shingles"))
         its = its.withColumn("i_print", simhash(F.col("i_shingles"), planes))
         grams = its.select(F.explode("i_shingles").alias("h"), "n").distinct()
-        index = its.select("item", F.col("n").alias("i_n"), "i_shingles", "i_print", F.posexplode(F.array(*(_block(F.col("i_print"), k) for k in range(BLOCKS)))).alias("i_k", "i_block"))
+        # an item's fingerprint goes by each block; its shingles are sent once
+        index = its.select("i_id", F.col("n").alias("i_n"), "i_print", F.posexplode(F.array(*(_block(F.col("i_print"), k) for k in range(BLOCKS)))).alias("i_k", "i_block"))
 
         # outer, as Spark would otherwise filter by the size of the array first, and compute it twice for that
-        places = base.withColumn("hs", _shingles(F.col("w"), width, stride)).select("key", "digest", "w", F.posexplode_outer("hs").alias("nth", "h"))
-        places = places.join(hint(grams), "h").select("key", "digest", "w", "n", (F.col("nth") * stride).alias("at"))
+        held = ["w"] if small else []
+        places = base.withColumn("hs", _shingles(F.col("w"), width, stride)).select("key", "digest", *held, F.posexplode_outer("hs").alias("nth", "h"))
+        places = places.join(hint(grams), "h").select("key", "digest", *held, "n", (F.col("nth") * stride).alias("at"))
+        if not small:  # only the places are dealt by shingle; the words come back by document
+            places = _with_words(places.distinct(), base)
         # the starts of all windows that hold this shingle, and the words that they span
         first = F.greatest(F.lit(0), F.col("at") - F.col("n") + width)
         last = F.greatest(first, F.least(F.col("at"), F.size("w") - F.col("n")))
         places = places.select("key", "digest", "n", first.alias("first"), last.alias("last"), F.slice("w", first + 1, last - first + F.col("n")).alias("span"))
         places = places.withColumn("hs", _shingles(F.col("span"), width)).withColumn("start", F.explode_outer(F.sequence("first", "last")))
         windows = places.select("key", "digest", "n", "start", F.least(F.col("n"), F.size("span")).alias("n_words"), F.slice("hs", F.col("start") - F.col("first") + 1, F.col("n") - width + 1).alias("shingles"))
+        if not small:  # fingerprints are met apart from the shingles, so a window is made once
+            windows = stored(windows.dropDuplicates(["key", "digest", "n", "start"]), "windows")
         windows = windows.withColumn("print", simhash(F.col("shingles"), planes))
 
-        probes = windows.select("*", F.posexplode(F.array(*(_block(F.col("print"), k) for k in range(BLOCKS)))).alias("k", "block"))
+        held = ["n_words", "shingles"] if small else []
+        probes = windows.select("key", "digest", "n", "start", *held, "print", F.posexplode(F.array(*(_block(F.col("print"), k) for k in range(BLOCKS)))).alias("k", "block"))
         distance = F.bit_count(F.col("print").bitwiseXOR(F.col("i_print")))
         agree = F.coalesce(*(F.when(_block(F.col("print"), k) == _block(F.col("i_print"), k), F.lit(k)) for k in range(BLOCKS)))
         pairs = probes.join(hint(index), (F.col("n") == F.col("i_n")) & (F.col("k") == F.col("i_k")) & (F.col("block") == F.col("i_block")))
         pairs = pairs.where((distance <= RADIUS) & (agree == F.col("k")))  # a pair is taken up in the first block that agrees
-        pairs = pairs.select("key", "digest", "item", "start", "n_words", distance.alias("hamming"), _shared(F.col("shingles"), F.col("i_shingles")).alias("shared"), (F.size("shingles") + F.size("i_shingles")).alias("both"))
+        pairs = pairs.select("key", "digest", "n", "start", *held, "i_id", distance.alias("hamming"))
+        if not small:
+            same = [F.col(f"p.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("key", "digest", "n", "start")]
+            pairs = pairs.alias("p").join(windows.alias("v"), same[0] & same[1] & same[2] & same[3]).select("p.*", "v.n_words", "v.shingles")
+        pairs = pairs.join(hint(its.select(F.col("i_id").alias("of"), "item", "i_shingles")), F.col("i_id") == F.col("of"))
+        pairs = pairs.select("key", "digest", "item", "start", "n_words", "hamming", _shared(F.col("shingles"), F.col("i_shingles")).alias("shared"), (F.size("shingles") + F.size("i_shingles")).alias("both"))
         pairs = pairs.where((100 + SIMILARITY) * F.col("shared") >= SIMILARITY * F.col("both"))
         found = pairs if found is None else found.unionByName(pairs)
 
@@ -150,6 +169,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a leaked item, all columns; repeated and null keys are told apart by their texts."""
-    bad = leaks(docs, items, key, text, item, item_text).select(F.col(key).alias("b_key"), F.col("digest").alias("b_digest")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("b_key")) & (F.xxhash64(text) == F.col("b_digest")), "left_anti")
+    """The rows of ``docs`` without a leaked item, all columns, whatever their names; repeated and null keys are told apart by their texts.
+
+    Null and empty texts have no item and stay; repeated rows stay or go together; an empty table, or no items, change nothing.
+    """
+    w = free_prefix(docs)
+    bad = leaks(docs, items, key, text, item, item_text).select(F.col(key).alias(w + "key"), F.col("digest").alias(w + "digest")).distinct()
+    return docs.join(bad, F.col(key).eqNullSafe(F.col(w + "key")) & (F.xxhash64(text) == F.col(w + "digest")), "left_anti")

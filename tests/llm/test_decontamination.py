@@ -33,7 +33,10 @@ def slow_leaks(docs, items):
     return out
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_against_brute_force(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
     rnd = random.Random(5)
     vocabulary = [f"w{k}" for k in range(400)]
     text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
@@ -58,9 +61,9 @@ def test_against_brute_force(spark):
     got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in got}
     assert set(got) <= set(want)
-    # a fingerprint may lie beyond the radius though its window is similar, at the edge of the threshold only
+    # a fingerprint of few shingles may lie beyond the radius though its window is similar, at the edge of the threshold only
     missed = set(want) - set(got)
-    assert all(want[k] < 0.9 for k in missed) and len(missed) <= 0.02 * len(want)
+    assert all(want[k] < 0.9 for k in missed) and len(missed) <= 0.005 * len(want)
     assert all(abs(got[k] - want[k]) < 1e-9 or want[k] < 0.95 for k in got)
 
 
