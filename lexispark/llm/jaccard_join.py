@@ -2,7 +2,9 @@
 
 1. A document's set is its distinct shingles (hashes of five words). Equal sets are one *class*; only classes are joined.
 2. Shingles are dealt by hash range, packed as byte strings, to count in how many classes each occurs. Shingles of one class
-   alone cannot be shared and are left out. The others, rarest first, are the class's ordered set.
+   alone cannot be shared and are left out. The others, rarest first, are the class's ordered set. Shingles that a sample shows to
+   be in very many classes would make their range larger than a task: they are not counted, but stand last in all ordered sets,
+   in an order of their own, and are dealt by classes.
 3. Two similar classes share one of the first ``n - ceil(0.8 n) + 1`` shingles of either; classes whose lone shingles fill
    that prefix have no partner. The others meet in the postings of their prefix shingles.
 4. In each posting all classes are first compared with the one that has the smallest share of lone shingles, as the source
@@ -24,16 +26,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit
-from ._base import SPACES, stored
+from ._base import SPACES, dropped, free_prefix, stored
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
 #: Shingles that one task counts; it holds some 30 bytes for each and sorts them in PARTS parts.
 RANGE_SHINGLES, PARTS = 3_000_000, 8
+#: Classes of a shingle from which it is not counted in a range, how often such a one is in the sample at the mean, and the part of that
+#: from which one is taken for such. At most HEAVY_SHINGLES of them are broadcast, 8 bytes each; others are counted, in larger ranges.
+HEAVY, HEAVY_SAMPLE, HEAVY_SHINGLES = 750_000, 32, 1_000_000
+#: What stands for the range and the number of classes of a heavy shingle.
+HEAVY_RANGE, HEAVY_COUNT = -1, (1 << 31) - 1
+#: Ranges up to which each is given a task of its own.
+EVEN_RANGES = 100_000
 #: Classes of one posting that are compared in one block.
 BLOCK = 2000
 LOW48 = np.uint64((1 << 48) - 1)
@@ -94,8 +103,43 @@ def _sizes(rows: DataFrame, seed: int) -> DataFrame:
     return rows.mapInArrow(textkit.per_slice(make), schema)
 
 
-def _dealt(rows: DataFrame, seed: int, ranges: int) -> DataFrame:
-    """Shingles of each class by hash range, as byte strings; each partition gives a class once."""
+def _even_keys(spark: SparkSession, n: int) -> np.ndarray:
+    """n different numbers that Spark's hash partitioning deals to n different tasks."""
+    if n > EVEN_RANGES:
+        return np.arange(n, dtype=np.int32)
+    rows, span = [], 16
+    while len(rows) < n:  # every task is hit by some number among n * ln(n) and more
+        span *= 2
+        rows = spark.range(n * span).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()
+    return np.array([r["k"] for r in sorted(rows)], dtype=np.int32)
+
+
+def _heavy(rows: DataFrame, seed: int, classes: int) -> np.ndarray:
+    """Hashes of the shingles that a sample of the classes shows to be in more than about ``HEAVY`` of them, sorted."""
+    if classes < HEAVY:
+        return np.zeros(0, np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in textkit.slices(batch):
+                of, h = shingle_sets(texts)
+                _, d1, d2 = digests(of, h, len(texts))
+                yield pa.RecordBatch.from_arrays([pa.array(_class(d1, d2, seed)[of]), pa.array(h.view(np.int64))], ["cls", "h"])
+
+    sample = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(HEAVY)) < HEAVY_SAMPLE)
+    seen = sample.mapInArrow(run, "cls long, h long").distinct().groupBy("h").count().where(F.col("count") >= max(2, HEAVY_SAMPLE // 4))
+    found = seen.orderBy(F.desc("count"), "h").limit(HEAVY_SHINGLES).select("h").toPandas()["h"].to_numpy(dtype=np.int64)
+    return np.sort(found.view(np.uint64))
+
+
+def _dealt(rows: DataFrame, seed: int, keys: np.ndarray, heavy: np.ndarray) -> DataFrame:
+    """Shingles of each class by hash range, as byte strings; each partition gives a class once. Heavy ones, by their place in
+    ``heavy``, are dealt by class, under negative keys."""
+    ranges = len(keys)
+
+    def packed(key: int, cls: np.ndarray, of: np.ndarray, t: np.ndarray) -> tuple:
+        who, times = np.unique(of, return_counts=True)
+        return key, cls[who].tobytes(), times.astype(np.uint32).tobytes(), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (t >> np.uint64(32)).astype(np.uint16).tobytes()
 
     def run(batches):
         seen: set[int] = set()
@@ -111,22 +155,29 @@ def _dealt(rows: DataFrame, seed: int, ranges: int) -> DataFrame:
                         fresh[i] = True
                 keep = fresh[of]
                 of, h = of[keep], h[keep]
+                out = []
+                if len(heavy):
+                    place = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                    here = heavy[place] == h
+                    at = (cls.view(np.uint64) % np.uint64(ranges)).astype(np.int64)[of]
+                    for k in np.unique(at[here]).tolist():
+                        part = here & (at == k)
+                        out.append(packed(-1 - k, cls, of[part], place[part].astype(np.uint64)))
+                    of, h = of[~here], h[~here]
                 at = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(at * len(texts) + of, kind="stable")
                 of, h, at = of[order], h[order] & LOW48, at[order]
                 cuts = np.searchsorted(at, np.arange(ranges + 1))
-                out = []
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    o, t = of[cuts[k] : cuts[k + 1]], h[cuts[k] : cuts[k + 1]]
-                    who, times = np.unique(o, return_counts=True)
-                    out.append((k, cls[who].tobytes(), times.astype(np.uint32).tobytes(), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (t >> np.uint64(32)).astype(np.uint16).tobytes()))
+                    here = slice(cuts[k], cuts[k + 1])
+                    out.append(packed(int(keys[k]), cls, of[here], h[here]))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["range", "who", "times", "low", "high"])
 
     return rows.select("text").mapInArrow(run, "range int, who binary, times binary, low binary, high binary")
 
 
-def _common(dealt: DataFrame, buckets: int) -> DataFrame:
+def _common(dealt: DataFrame, keys: np.ndarray) -> DataFrame:
     """For each class the shingles that other classes have too, as (number of classes, range, token), in that order.
 
     What a range finds is packed by buckets of classes, so neither step makes a row for each class and range.
@@ -134,6 +185,7 @@ def _common(dealt: DataFrame, buckets: int) -> DataFrame:
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         joined = lambda c, t: np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), dtype=t)
+        is_heavy = key[0].as_py() < 0
         whole_cls = np.repeat(joined("who", np.int64), joined("times", np.uint32))
         low, high = joined("low", np.uint32), joined("high", np.uint16)
         found = []
@@ -147,17 +199,17 @@ def _common(dealt: DataFrame, buckets: int) -> DataFrame:
             cls, token = cls[new], token[new]
             starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]]))
             sizes = np.diff(np.append(starts, len(token)))
-            df = np.repeat(sizes, sizes)
+            df = np.full(len(token), HEAVY_COUNT) if is_heavy else np.repeat(sizes, sizes)
             shared = df >= 2
             found.append((cls[shared], token[shared], df[shared]))
         cls, token, df = (np.concatenate(x) for x in zip(*found, strict=True))
-        bucket = (cls.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        bucket = keys[(cls.view(np.uint64) % np.uint64(len(keys))).astype(np.int64)]
         order = np.argsort(bucket, kind="stable")
         bucket, cls, token, df = bucket[order], cls[order], token[order], df[order].astype(np.int32)
         there, first = np.unique(bucket, return_index=True)
         cuts = np.append(first, len(bucket))
         packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (cls, token, df)]
-        return pa.Table.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), key[0].as_py()), pa.int32()), *packed], ["bucket", "range", "cls", "tokens", "df"])
+        return pa.Table.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), HEAVY_RANGE if is_heavy else key[0].as_py()), pa.int32()), *packed], ["bucket", "range", "cls", "tokens", "df"])
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         joined = lambda c, t: np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), dtype=t)
@@ -168,8 +220,9 @@ def _common(dealt: DataFrame, buckets: int) -> DataFrame:
         parts = pa.StructArray.from_arrays([pa.array(df[order]), pa.array(place[order]), pa.array(token[order])], ["df", "range", "token"])
         return pa.Table.from_arrays([pa.array(who), pa.ListArray.from_arrays(pa.array(np.append(first, len(cls)), pa.int32()), parts)], ["cls", "ordered"])
 
-    packed = dealt.groupBy("range").applyInArrow(count, "bucket int, range int, cls binary, tokens binary, df binary")
-    return packed.groupBy("bucket").applyInArrow(gather, "cls long, ordered array<struct<df:int,range:int,token:bigint>>")
+    even = lambda df, c: df.repartition(len(keys), c) if len(keys) <= EVEN_RANGES else df
+    packed = even(dealt, "range").groupBy("range").applyInArrow(count, "bucket int, range int, cls binary, tokens binary, df binary")
+    return even(packed, "bucket").groupBy("bucket").applyInArrow(gather, "cls long, ordered array<struct<df:int,range:int,token:bigint>>")
 
 
 def required(a: Column, b: Column) -> Column:
@@ -228,19 +281,22 @@ def components(links: DataFrame) -> DataFrame:
     changes; roots are written to the shared folder after each round.
     """
     edges = stored(links.union(links.select("b", "a")).distinct(), "edges")
-    roots = stored(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("root")), "roots")
+    step = stored(edges.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("root")), "roots")
     while True:
+        roots = step.select("cls", "root")
         near = edges.join(roots, edges["b"] == roots["cls"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, roots["cls"] == near["a"]).select("cls", F.col("root").alias("old"), F.least("root", "near").alias("r"))
+        least = roots.join(near, roots["cls"] == near["a"]).select("cls", F.col("root").alias("old"), F.least("root", "near").alias("r"))
         jump = roots.select(F.col("cls").alias("j_cls"), F.col("root").alias("j_root"))
-        step = stored(step.join(jump, step["r"] == jump["j_cls"], "left").select("cls", "old", F.least("r", "j_root").alias("root")), "roots")
-        roots = step.select("cls", "root")
+        after = stored(least.join(jump, least["r"] == jump["j_cls"], "left").select("cls", "old", F.least("r", "j_root").alias("root")), "roots")
+        dropped(step)
+        step = after
         if not step.where(F.col("old") != F.col("root")).limit(1).count():
-            return roots
+            dropped(edges)
+            return step.select("cls", "root")
 
 
 def _candidates(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of a posting that are not connected yet and whose lengths allow a link."""
+    """All pairs of a posting that are not connected by ``roots`` and whose lengths allow a link."""
     known = postings.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = known.groupBy("range", "token").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
     known = known.join(mixed.select("range", "token", "size"), ["range", "token"])
@@ -254,8 +310,11 @@ def _candidates(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return x.join(y, on[0] & on[1] & on[2] & on[3] & fits).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The sizes of all rows (key, text, and columns that are carried along), the classes, their links, and the roots of linked classes."""
+def _linked(rows: DataFrame, every_link: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The sizes of all rows (key, text, and columns that are carried along), the classes, their links, and the roots of linked classes.
+
+    With ``every_link`` all candidate pairs are compared; else those that are connected already are not, as components need no more.
+    """
     seed = 0
     while True:  # a class is a 64-bit number; should two sets have the same one, all are numbered anew
         sizes = stored(_sizes(rows, seed), "sizes")
@@ -265,9 +324,9 @@ def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
             break
         seed += 1
     classes = classes.select("cls", "n", "first")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, math.ceil(total / RANGE_SHINGLES))
-    common = _common(_dealt(rows, seed, ranges), ranges)
+    total, count = classes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    keys = _even_keys(rows.sparkSession, max(1, math.ceil((total or 0) / RANGE_SHINGLES)))
+    common = _common(_dealt(rows, seed, keys, _heavy(rows, seed, count)), keys)
 
     # the ordered set: rarest first; what is missing from n are lone shingles, which come before all others
     m = F.size("ordered").cast("long")
@@ -279,6 +338,10 @@ def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     postings = postings.select("cls", "n", (F.col("m") - F.col("nth")).alias("left"), ((F.col("n") - F.col("m")) / F.col("n")).alias("lone"), "t.range", "t.token")
     sets = sets.select("cls", "n", F.transform("ordered", lambda x: F.xxhash64(x["df"], x["range"], x["token"])).alias("tokens"))
 
+    if every_link:
+        none = classes.select("cls", F.col("cls").alias("root")).limit(0)
+        links = stored(_verified(_candidates(postings, none), sets), "links")
+        return sizes, classes, links, components(links)
     hubs = postings.groupBy("range", "token").agg(F.min(F.struct("lone", "cls", "n", "left")).alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("range", "token", "hub")
     fits = (100 + SIMILARITY) * F.least("left", "hub.left") >= required(F.col("n"), F.col("hub.n"))
     star = postings.join(hubs, ["range", "token"]).where((F.col("cls") != F.col("hub.cls")) & fits).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
@@ -291,21 +354,25 @@ def _linked(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     return sizes, classes, links, roots
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``key``, n_shingles, component_id (the smallest key connected by links) and n_links.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", count_links: bool = False) -> DataFrame:
+    """One row per document: ``key``, n_shingles and component_id (the smallest key connected by links).
 
-    n_links counts the other classes that were found to be linked directly before the class was connected, 0 if there is none.
-    Documents without words have no shingles and no links; they, like those alone, are their own component. Rows with
-    equal sets are always connected. Null keys count as no key: their component has the smallest other key, or null. An empty table
-    gives an empty table.
+    With ``count_links`` there is also n_links, the number of different sets that the document's set is linked with directly; all
+    candidate pairs are compared for that. Documents without words have no shingles and no links; they, like those alone, are their own component. Rows with
+    equal sets are always connected. Null keys count as no key: their component has the smallest other key, or null. Other columns are not
+    read, whatever their names. An empty table gives an empty table.
     """
-    sizes, classes, links, roots = _linked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    degree = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(degree, "cls", "left")
+    sizes, classes, links, roots = _linked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), count_links)
+    rooted = classes.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = stored(rooted.join(least, "root").select(F.col("cls").alias("c"), "component_id", "n_links"), "components")
+    found = rooted.join(least, "root").select(F.col("cls").alias("c"), "component_id")
+    if count_links:
+        degree = links.select(F.col("a").alias("of")).union(links.select("b")).groupBy("of").agg(F.count(F.lit(1)).alias("n_links"))
+        found = found.join(degree, F.col("c") == F.col("of"), "left").drop("of")
+    found = stored(found, "components")
     out = sizes.join(found, (F.col("cls") == F.col("c")) & (F.col("n") > 0), "left")
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    more = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *more)
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -314,20 +381,23 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A component is known by its root class, so rows that share a key stay apart unless they are linked. Rows without words
     are their own component and all stay. A row is known by two 64-bit digests of all its columns; equal rows count as one.
     """
+    w = free_prefix(docs)
+    r1_, r2_, k1_, k2_ = (w + n for n in ("r1", "r2", "k1", "k2"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
     # nulls do not change a hash, so their places are hashed too
-    content = [*(F.col(c) for c in docs.columns), *(F.col(c).isNull() for c in docs.columns)]
-    marked = docs.select("*", F.xxhash64(*content).alias("__r1"), F.xxhash64(F.lit(1), *content).alias("__r2"))
-    rows = marked.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col("__r1").alias("r1"), F.col("__r2").alias("r2"))
+    content = [*own, *(c.isNull() for c in own)]
+    marks = [F.xxhash64(*content).alias(r1_), F.xxhash64(F.lit(1), *content).alias(r2_)]
+    marked = docs.select("*", *marks)
+    rows = marked.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(r1_).alias("r1"), F.col(r2_).alias("r2"))
     sizes, _, _, roots = _linked(rows)
     sizes = sizes.where(F.col("n") > 0)
     # by class before by root, so that a large group is never dealt as rows
     least = sizes.groupBy("cls").agg(F.min(F.struct(F.col("key").isNull(), "key", "r1", "r2")).alias("row"))
     least = least.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("row").alias("row"))
-    least = least.select(F.col("row.r1").alias("k1"), F.col("row.r2").alias("k2"))
+    least = least.select(F.col("row.r1").alias(k1_), F.col("row.r2").alias(k2_))
     blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)) == ""
     worded = docs.where(~blank)
     if sizes.groupBy("r1", "r2").count().where("count > 1").limit(1).count():
         worded = worded.distinct()
-    worded = worded.select("*", F.xxhash64(*content).alias("__r1"), F.xxhash64(F.lit(1), *content).alias("__r2"))
-    worded = worded.join(least, (F.col("__r1") == F.col("k1")) & (F.col("__r2") == F.col("k2")), "left_semi")
-    return worded.select(*docs.columns).union(docs.where(blank))
+    worded = worded.select("*", *marks).join(least, (F.col(r1_) == F.col(k1_)) & (F.col(r2_) == F.col(k2_)), "left_semi")
+    return worded.select(*own).union(docs.where(blank))

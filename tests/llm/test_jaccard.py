@@ -47,9 +47,10 @@ def check(spark, rows):
     assert sorted(got, key=order) == sorted(slow_components(rows), key=order)
 
 
-@pytest.mark.parametrize("block", [2000, 3])
-def test_near_copies(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "heavy"), [(2000, 750_000), (3, 750_000), (2000, 32)])
+def test_near_copies(spark, monkeypatch, block, heavy):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "HEAVY", heavy)  # with 32 all classes are in the sample, and shingles of 8 classes are heavy
     monkeypatch.setattr(jaccard_join, "RANGE_SHINGLES", 500)
     rnd = random.Random(3)
     vocabulary = [f"v{k}" for k in range(300)]
@@ -67,6 +68,34 @@ def test_near_copies(spark, monkeypatch, block):
     check(spark, rows)
 
 
+def test_heavy_shingles_and_even_keys(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HEAVY", 32)
+    texts = [f"all share this line here x{k} y{k}" for k in range(10)] + [f"two of them do z{k // 2}" for k in range(26)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = jaccard_join._heavy(rows, 0, 36)
+    common = {int(h) for h in jaccard_join.shingle_sets(pa.array(["all share this line here"], pa.large_string()))[1]}
+    assert {int(h) for h in found} == common and len(jaccard_join._heavy(rows, 0, 31)) == 0
+    for n in (1, 7, 40):
+        keys = jaccard_join._even_keys(spark, n)
+        where = spark.createDataFrame([(int(k),) for k in keys], "k int").selectExpr(f"pmod(hash(k), {n}) as p").collect()
+        assert sorted(r["p"] for r in where) == list(range(n))
+
+
+def test_count_of_links(spark):
+    rnd = random.Random(9)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for k in range(14):
+        w = list(base)
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(60)] = f"x{rnd.randrange(99)}"
+        rows.append((k, " ".join(w)))
+    rows += [(20, rows[0][1]), (21, "all alone here with these words"), (22, None)]
+    sets = {k: frozenset(shingles(t)) for k, t in rows}
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect()}
+    assert got == {k: sum(1 for x in set(sets.values()) if x and s and x != s and near(s, x)) for k, s in sets.items()}
+
+
 def test_thresholds(spark):
     words = [f"t{k}" for k in range(40)]
     check(spark, [(k, " ".join(words[: n + 4])) for k, n in enumerate((8, 10, 11, 12, 13, 15, 16, 20, 25, 26))])
