@@ -36,6 +36,19 @@ def test_odd(spark):
     assert 6 not in want and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in left) == sorted(-1 if c is None else c for c in want)
 
 
+def test_odd_with_clashing_columns(spark):
+    plain, docs = odd_documents(spark), odd_documents(spark, True)
+    marked = docs.selectExpr("*", "'y' as w_lang", "'y' as __lang", "'y' as __r1", "'y' as w_r1", "'y' as w_digest", "'y' as piece_", "'y' as total", "'y' as W_Found")
+    own = lambda rows: sorted((str(r["doc_id"]), str(r["text"])) for r in rows.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, marked, SF)
+        assert got.columns == marked.columns and own(got) == own(stage(spark, plain, SF)), name
+        assert {v for r in got.collect() for v in r[len(docs.columns) :]} == {"y"}, name
+        assert stage(spark, marked.limit(0), SF).count() == 0, name
+    pieces = lambda d: sorted((str(r["doc_id"]), r["piece"], r["n_tokens"]) for r in corpus_pipeline.pack(spark, d, SF).collect())
+    assert pieces(marked) == pieces(plain)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and out.where("n_tokens > 2048").count() == 0
