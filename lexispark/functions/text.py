@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the token definition, as a character class that Java and RE2 read alike.
@@ -14,12 +14,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def legacy_hangul(text: Column, table: dict[str, str] | None = None) -> Column:
     """Replace legacy private-use letters by Unicode jamo; texts without any are not touched."""
-    out = text
-    for old, new in (LEGACY if table is None else table).items():
-        out = F.replace(out, F.lit(old), F.lit(new))
+    table = LEGACY if table is None else table
+    if len(table) > 16:  # one look at each sign instead of one at the text for each letter
+        signs = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
+        out = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(signs, c), c)), "")
+    else:
+        out = text
+        for old, new in table.items():
+            out = F.replace(out, F.lit(old), F.lit(new))
     return F.when(text.rlike("[\ue000-\uf8ff]"), out).otherwise(text)
 
 
+def read_legacy_table(spark: SparkSession, path: str) -> dict[str, str]:
+    """A table of legacy letters from a file: in each line the letter's code point and those of its jamo, in hexadecimal, by blanks."""
+    rows = (r[0].split("#")[0].split() for r in spark.read.text(path).collect())
+    return {chr(int(r[0], 16)): "".join(chr(int(x, 16)) for x in r[1:]) for r in rows if len(r) > 1}
+
+
+def use_legacy_table(table: dict[str, str]) -> None:
+    """Use more legacy letters than the four known ones, in all that follows."""
+    LEGACY.update(table)
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import new_folder
+from ..scratch import filesystem, new_folder
 from ..sources import names
 from ..sources.loose import parse_loose
 from ..sources.store import Store
@@ -265,3 +265,35 @@ def loose_objects(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet")
     loose = F.concat(F.regexp_replace(F.col("props"), r'"(\w+)":', "$1 : "), F.lit(" // props"))
     return events.select("event_id", F.regexp_replace(loose, r"\}", ",}").alias("loose")).mapInPandas(read, "event_id long, k long")
+
+
+@register(
+    "ingest_zip",
+    f"SELECT 'Z' || item_id AS doc_id, {_CLEAN} AS form, '신문 말뭉치' AS category FROM benchmark WHERE item_id % 3 <> 2",
+)
+def ingest_zip(spark, d):
+    """An archive with a table, an archive that is opened by its path, one that is not, and a file of no kind."""
+    import io
+    import zipfile
+
+    def table(rows) -> bytes:
+        return ("sentence_id,doc_id,sentence\n" + "".join(f'Z{r[0]}.s,Z{r[0]},"{r[1].replace(chr(34), chr(34) * 2)}"\n' for r in rows)).encode()
+
+    def pack(files: dict[str, bytes]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in files.items():
+                z.writestr(name, data)
+        return out.getvalue()
+
+    rows = sorted((r[0], r[1]) for r in items(spark, d).select("item_id", "text").collect())  # the benchmark has some hundred items
+    part = lambda k: table([r for r in rows if r[0] % 3 == k])
+    data = pack({"a.csv": part(0), "02_more/1. news.zip": pack({"b.csv": part(1)}), "other/1. news.zip": pack({"c.csv": part(2)}), "notes.md": b"x"})
+    folder = new_folder(spark)
+    fs, path = filesystem(spark, f"{folder}/NEWSPAPER.zip")
+    out = fs.create(path, True)
+    out.write(bytearray(data))
+    out.close()
+    store = Store(spark, f"{folder}/store")
+    store.ingest(f"{folder}/NEWSPAPER.zip")
+    return store.table("utterances").select("doc_id", "form", "category")

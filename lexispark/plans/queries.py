@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
-from ..functions.text import SPACE, entities, strip_markup, tag_text
+from ..functions.text import SPACE, document_of_sentence, entities, is_marker, short_hash, strip_markup, tag_text, year_of
 from ..operators import collocation, cql, explore, merge, search, stats
 from ..operators.filters import Filters, filter_options
 from ..operators.segments import display_segments
@@ -408,3 +408,36 @@ def csv_export(spark, d):
     engine.export_csv(search.Request('[text="of"] [text="the"]', mode="cql", context=2), path)
     whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n", -1)).alias("line", "text"))
     return whole.where((F.col("line") > 0) & (F.col("text") != "")).select(F.col("line").cast("long").alias("line"), "text")
+
+
+@register(
+    "text_functions",
+    """SELECT page_id, coalesce(nullif(regexp_extract(url, '[0-9]{3,4}'), ''), trim(url)) AS year, CASE WHEN len(p) > 2 THEN array_to_string(p[1 : len(p) - 1], '.') ELSE u END AS document, substring(sha1(url), 1, 10) AS hash, page_id % 2 = 0 AS marker
+FROM (SELECT page_id, url, split_part(url, '/', 3) AS u, string_split(split_part(url, '/', 3), '.') AS p FROM pages WHERE url IS NOT NULL AND contains(url, '://'))""",
+)
+def text_functions(spark, d):
+    rows = spark.read.parquet(f"{d}/pages.parquet").where("url is not null and contains(url, '://')")
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    mark = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" {"), host, F.lit("}"))).otherwise(F.concat(F.lit("{"), host, F.lit("} x")))
+    return rows.select("page_id", year_of(F.col("url")).alias("year"), document_of_sentence(host).alias("document"), short_hash(F.col("url")).alias("hash"), is_marker(mark).alias("marker"))
+
+
+@register(
+    "document_detail",
+    """SELECT 'conversation 7' AS title, any_value(topic) AS topic, any_value(category) AS category, '발화' AS unit_label, count(*) AS total, count(*) > 2 AS has_more, string_agg(DISTINCT speaker_id, ',' ORDER BY speaker_id) AS speakers FROM utt WHERE corpus_id = 'conv' AND doc_id = '7'""",
+)
+def document_detail(spark, d):
+    engine = Engine(spark, corpus(spark, d).folder)
+    doc = engine.document("conv", "7", limit=2)
+    row = {k: doc.row[k] for k in ("title", "topic", "category")} | {"unit_label": doc.unit_label, "total": doc.total, "has_more": doc.has_more, "speakers": ",".join(sorted(engine.speakers_of(doc)))}
+    return spark.createDataFrame([row], "title string, topic string, category string, unit_label string, total long, has_more boolean, speakers string")
+
+
+@register(
+    "search_page",
+    """, hits AS (SELECT corpus_id, row_id, min(token_index) AS at FROM tok WHERE contains(term, 'of') AND (corpus_id, row_id) IN (SELECT corpus_id, row_id FROM tok WHERE term = 'of') GROUP BY ALL)
+SELECT corpus_id, utterance_id, (SELECT count(*) FROM hits) > 47 AS has_more FROM hits JOIN utt USING (corpus_id, row_id) ORDER BY corpus_id, row_id LIMIT 7 OFFSET 40""",
+)
+def search_page(spark, d):
+    page = Engine(spark, corpus(spark, d).folder).search(search.Request("of", limit=7, offset=40))
+    return page.rows.select("corpus_id", "utterance_id", F.lit(page.has_more).alias("has_more"))

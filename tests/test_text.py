@@ -58,3 +58,11 @@ def test_years_and_ids(spark):
     assert [one(spark, X.year_of(F.lit(t))) for t in ("spring 987", " none ", "17201")] == ["987", "none", "1720"]
     assert [one(spark, X.document_of_sentence(F.lit(t))) for t in ("w.x.y.7", "w.x", "", "w")] == ["w.x.y", "w.x", "document", "w"]
     assert one(spark, X.short_hash(F.lit("q"))) == "22ea1c649c"
+
+
+def test_legacy_letters(spark, tmp_path):
+    assert one(spark, X.legacy_hangul(F.lit("a\ue57b\uf537b"))) == "a\u1106\u11a1\u1112\u119eb" and one(spark, X.legacy_hangul(F.lit("\ue001"))) == "\ue001"
+    (tmp_path / "letters.txt").write_text("# letter jamo\n" + "".join(f"{0xE100 + k:X} 1100 {0x1161 + k % 20:X}\n" for k in range(40)) + "E285 1102 119E 11AB # known\n")
+    table = X.read_legacy_table(spark, f"file://{tmp_path}/letters.txt")
+    assert len(table) == 41 and table["\ue285"] == X.LEGACY["\ue285"]
+    assert one(spark, X.legacy_hangul(F.lit("x\ue103\ue285\ue0ff y"), table)) == "x\u1100\u1164\u1102\u119e\u11ab\ue0ff y"
