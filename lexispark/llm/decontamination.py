@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows.
 
 A window of a document has as many words as a benchmark item. Its fingerprint is the SimHash of its shingles (five words),
-each counted as often as it occurs. Fingerprints meet those of items of the same size through the 24 blocks of a
-multi-index, which by the pigeonhole principle finds every pair within a Hamming distance of 23; the exact weighted
-Jaccard similarity of the shingles decides. At a similarity of 0.8 distances are about 9.7 with a deviation of 2.9, so hardly
-any similar window lies beyond the radius.
+each counted as often as it occurs. Fingerprints meet those of items of the same size through the blocks of a
+multi-index (24 by default), which by the pigeonhole principle finds every pair within a Hamming distance of one less; the exact
+weighted Jaccard similarity of the shingles decides. At a similarity of 0.8 distances are about 9.7 with a deviation of 2.9, so hardly
+any similar window lies beyond a radius of 23; with 64 blocks of one bit all but opposite fingerprints meet, and none is lost.
 
 A window can only be similar if nearly all of its shingles are the item's, so of any few adjacent shingles of such a window one
 is shared. It is therefore enough to look at every ``stride``-th shingle of a document to find all places where similar
@@ -23,9 +23,6 @@ from ._base import free_prefix, stored, words
 SHINGLE = 5
 SIMILARITY = 80  # per cent
 BITS, BLOCKS = 64, 24
-RADIUS = BLOCKS - 1
-#: Where the blocks start; they have two or three bits.
-CUTS = [k * BITS // BLOCKS for k in range(BLOCKS + 1)]
 #: Benchmarks of up to so many shingles are broadcast: 16 bytes for a shingle, its item's size and overhead in the table of shingles, and
 #: 8 in its item's, which some 40 bytes a block and item join; larger benchmarks are joined by shuffle.
 BROADCAST_SHINGLES = 500_000
@@ -89,8 +86,10 @@ def _shared(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(slow)
 
 
-def _block(fingerprint: Column, k: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, CUTS[k]).bitwiseAND(F.lit((1 << (CUTS[k + 1] - CUTS[k])) - 1).cast("long"))
+def _blocks(fingerprint: Column, blocks: int) -> list[Column]:
+    """A fingerprint in blocks of nearly equal numbers of bits."""
+    cuts = [k * BITS // blocks for k in range(blocks + 1)]
+    return [F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _with_words(places: DataFrame, base: DataFrame) -> DataFrame:
@@ -99,14 +98,14 @@ def _with_words(places: DataFrame, base: DataFrame) -> DataFrame:
     return places.join(texts, F.col("key").eqNullSafe(F.col("b_key")) & (F.col("digest") == F.col("b_digest"))).drop("b_key", "b_digest")
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", blocks: int = BLOCKS) -> DataFrame:
     """One row for each document and item that a window of the document is similar to.
 
     Returns ``key``, ``item``, digest (xxhash64 of the text, to tell rows without or with the same key apart), similarity of
     the best window, its start (in words from 0), n_words and hamming distance. Words are lower-cased and separated by
     ASCII white space. An item of fewer than five words is one shingle; items without words and null texts match nothing. A
     document shorter than an item is one window. Repeated documents of one key and text give one row; repeated item ids are
-    one item each text. Empty tables give an empty result.
+    one item each text. Empty tables give an empty result. The radius of the fingerprints is one less than ``blocks`` (1 to 64).
     """
     n = F.size("w")
     wanted = items.select(F.col(item).alias("item"), words(F.lower(F.col(item_text))).alias("w")).where(n > 0).distinct()
@@ -130,7 +129,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         its = its.withColumn("i_print", simhash(F.col("i_shingles"), planes))
         grams = its.select(F.explode("i_shingles").alias("h"), "n").distinct()
         # an item's fingerprint goes by each block; its shingles are sent once
-        index = its.select("i_id", F.col("n").alias("i_n"), "i_print", F.posexplode(F.array(*(_block(F.col("i_print"), k) for k in range(BLOCKS)))).alias("i_k", "i_block"))
+        index = its.select("i_id", F.col("n").alias("i_n"), "i_print", F.posexplode(F.array(*_blocks(F.col("i_print"), blocks))).alias("i_k", "i_block"))
 
         # outer, as Spark would otherwise filter by the size of the array first, and compute it twice for that
         held = ["w"] if small else []
@@ -149,11 +148,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         windows = windows.withColumn("print", simhash(F.col("shingles"), planes))
 
         held = ["n_words", "shingles"] if small else []
-        probes = windows.select("key", "digest", "n", "start", *held, "print", F.posexplode(F.array(*(_block(F.col("print"), k) for k in range(BLOCKS)))).alias("k", "block"))
+        probes = windows.select("key", "digest", "n", "start", *held, "print", F.posexplode(F.array(*_blocks(F.col("print"), blocks))).alias("k", "block"))
         distance = F.bit_count(F.col("print").bitwiseXOR(F.col("i_print")))
-        agree = F.coalesce(*(F.when(_block(F.col("print"), k) == _block(F.col("i_print"), k), F.lit(k)) for k in range(BLOCKS)))
+        agree = F.coalesce(*(F.when(x == y, F.lit(k)) for k, (x, y) in enumerate(zip(_blocks(F.col("print"), blocks), _blocks(F.col("i_print"), blocks), strict=True))))
         pairs = probes.join(hint(index), (F.col("n") == F.col("i_n")) & (F.col("k") == F.col("i_k")) & (F.col("block") == F.col("i_block")))
-        pairs = pairs.where((distance <= RADIUS) & (agree == F.col("k")))  # a pair is taken up in the first block that agrees
+        pairs = pairs.where((distance < blocks) & (agree == F.col("k")))  # a pair is taken up in the first block that agrees
         pairs = pairs.select("key", "digest", "n", "start", *held, "i_id", distance.alias("hamming"))
         if not small:
             same = [F.col(f"p.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("key", "digest", "n", "start")]
@@ -168,11 +167,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     return found.select("key", "digest", "item", "b.similarity", (-F.col("b.start")).alias("start"), "b.n_words", (-F.col("b.hamming")).alias("hamming")).select(*out)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", blocks: int = BLOCKS) -> DataFrame:
     """The rows of ``docs`` without a leaked item, all columns, whatever their names; repeated and null keys are told apart by their texts.
 
     Null and empty texts have no item and stay; repeated rows stay or go together; an empty table, or no items, change nothing.
     """
     w = free_prefix(docs)
-    bad = leaks(docs, items, key, text, item, item_text).select(F.col(key).alias(w + "key"), F.col("digest").alias(w + "digest")).distinct()
+    bad = leaks(docs, items, key, text, item, item_text, blocks).select(F.col(key).alias(w + "key"), F.col("digest").alias(w + "digest")).distinct()
     return docs.join(bad, F.col(key).eqNullSafe(F.col(w + "key")) & (F.xxhash64(text) == F.col(w + "digest")), "left_anti")

@@ -33,10 +33,9 @@ def slow_leaks(docs, items):
     return out
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_against_brute_force(spark, monkeypatch, small):
-    if not small:
-        monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+@pytest.fixture(scope="module")
+def planted():
+    """Documents with changed items in them, the items, and what brute force finds."""
     rnd = random.Random(5)
     vocabulary = [f"w{k}" for k in range(400)]
     text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
@@ -58,9 +57,17 @@ def test_against_brute_force(spark, monkeypatch, small):
     items = [(k, " ".join(w)) for k, w in enumerate(items)]
     want = slow_leaks(docs, items)
     assert len(want) > 150
-    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return docs, items, want
+
+
+@pytest.mark.parametrize(("small", "blocks"), [(True, 24), (False, 24), (True, 64)])
+def test_against_brute_force(spark, monkeypatch, planted, small, blocks):
+    if not small:
+        monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    docs, items, want = planted
+    got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), blocks=blocks).collect()
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in got}
-    assert set(got) <= set(want)
+    assert set(got) <= set(want) and (blocks < 64 or set(got) == set(want))
     # a fingerprint of few shingles may lie beyond the radius though its window is similar, at the edge of the threshold only
     missed = set(want) - set(got)
     assert all(want[k] < 0.9 for k in missed) and len(missed) <= 0.005 * len(want)
