@@ -72,7 +72,10 @@ def statistics(texts: pa.LargeStringArray) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``stats`` (array of the transformed statistics) of every row; null texts count as empty."""
+    """``key`` and ``stats`` (array of the transformed statistics) of every row; null texts count as empty.
+
+    Null and repeated keys are rows like any other; other columns are not read, whatever their names. An empty table gives an empty one.
+    """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def make(part: pa.RecordBatch, texts: pa.LargeStringArray) -> pa.RecordBatch:
@@ -137,7 +140,10 @@ def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "
 
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
-    """``key`` and ``score`` (posterior of label 1) of every row of ``stats``."""
+    """``key`` and ``score`` (posterior of label 1, 0 to 1) of every row of ``stats``.
+
+    All rows stay, repeated ones and those without a key too; empty texts have statistics and so a score. An empty table gives an empty one.
+    """
 
     def run(batches):
         for b in batches:
