@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import folded_like, normalized
@@ -160,15 +160,15 @@ def csv_field(text: Column) -> Column:
 def export_csv(hits: Hits, corpora: DataFrame, path: str) -> int:
     """Write all results, in order, as one CSV file with a byte-order mark, a header and CRLF line ends; returns the rows.
 
-    The executors sort and write the lines in parts; the parts are then put together as bytes, so the driver holds none of them.
+    What is found is written once, so that the corpus is searched once; a sort looks at its input twice. The executors write the lines
+    in parts, which are then put together as bytes, so the driver holds none of them.
     """
     spark = hits.rows.sparkSession
-    rows = export_rows(hits, corpora)
-    seen = Observation()
-    # counted after the sort, which looks at its input twice
-    lines = rows.orderBy(*ORDER).observe(seen, F.count(F.lit(1)).alias("n")).select(F.concat(F.concat_ws(",", *(csv_field(F.col(f"`{k}`")) for k in CSV)), F.lit("\r")).alias("value"))
     folder = new_folder(spark)
-    lines.write.mode("overwrite").text(f"{folder}/lines")
+    line = F.concat(F.concat_ws(",", *(csv_field(F.col(f"`{k}`")) for k in CSV)), F.lit("\r"))
+    export_rows(hits, corpora).select(*ORDER, line.alias("value")).write.parquet(f"{folder}/found")
+    found = spark.read.parquet(f"{folder}/found")
+    found.orderBy(*ORDER).select("value").write.text(f"{folder}/lines")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     fs, target = filesystem(spark, path)
     source, at = filesystem(spark, f"{folder}/lines")
@@ -184,5 +184,6 @@ def export_csv(hits: Hits, corpora: DataFrame, path: str) -> int:
                 stream.close()
     finally:
         out.close()
+    n = found.count()
     remove(spark, folder)
-    return int(seen.get["n"])
+    return n
