@@ -322,6 +322,7 @@ def _linked(rows: DataFrame, every_link: bool = False) -> tuple[DataFrame, DataF
         classes = stored(classes, "classes")
         if not classes.where((F.col("l1") != F.col("h1")) | (F.col("l2") != F.col("h2"))).limit(1).count():
             break
+        dropped(sizes, classes)
         seed += 1
     classes = classes.select("cls", "n", "first")
     total, count = classes.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -332,7 +333,7 @@ def _linked(rows: DataFrame, every_link: bool = False) -> tuple[DataFrame, DataF
     m = F.size("ordered").cast("long")
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1
     sets = common.join(classes.select("cls", "n"), "cls").select("cls", "n", m.alias("m"), (prefix - (F.col("n") - m)).cast("int").alias("reach"), "ordered")
-    sets = stored(sets.where(F.col("reach") > 0), "sets")
+    written = sets = stored(sets.where(F.col("reach") > 0), "sets")
     # left: shingles of the set from this one on, the most that can be shared if this one is the first shared
     postings = sets.select("cls", "n", "m", F.posexplode_outer(F.slice("ordered", F.lit(1), F.col("reach"))).alias("nth", "t"))
     postings = postings.select("cls", "n", (F.col("m") - F.col("nth")).alias("left"), ((F.col("n") - F.col("m")) / F.col("n")).alias("lone"), "t.range", "t.token")
@@ -341,6 +342,7 @@ def _linked(rows: DataFrame, every_link: bool = False) -> tuple[DataFrame, DataF
     if every_link:
         none = classes.select("cls", F.col("cls").alias("root")).limit(0)
         links = stored(_verified(_candidates(postings, none), sets), "links")
+        dropped(written)
         return sizes, classes, links, components(links)
     hubs = postings.groupBy("range", "token").agg(F.min(F.struct("lone", "cls", "n", "left")).alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1).select("range", "token", "hub")
     fits = (100 + SIMILARITY) * F.least("left", "hub.left") >= required(F.col("n"), F.col("hub.n"))
@@ -348,6 +350,7 @@ def _linked(rows: DataFrame, every_link: bool = False) -> tuple[DataFrame, DataF
     links = stored(_verified(star, sets), "links")
     roots = components(links)
     more = stored(_verified(_candidates(postings, roots), sets), "links")
+    dropped(written)
     if more.limit(1).count():
         links = links.union(more)
         roots = components(links)
