@@ -11,8 +11,10 @@ import re
 import time
 import unicodedata
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -154,6 +156,11 @@ class Store:
         rows.select(*fields).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(SCHEMAS[table]).parquet(path)
 
+    def _together(self, *calls):
+        """Results of calls that run beside each other, as many of them are too small to keep a cluster busy; they belong to the caller's job."""
+        with ThreadPoolExecutor(len(calls)) as pool:
+            return [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(c)) for c in calls]]
+
     def write(self, corpus_id: str, version: str, utterances: DataFrame, documents: DataFrame, speakers: DataFrame) -> dict:
         """Write a version of a corpus with its counted tables; returns counts and the error, if it cannot be published.
 
@@ -163,14 +170,19 @@ class Store:
             documents = documents.withColumn(c, legacy_hangul(F.col(c)))
         for c in ("topic", "category"):
             utterances = utterances.withColumn(c, legacy_hangul(F.col(c)))
-        rows = self._write(tokenised(utterances), "utterances", corpus_id, version)
-        docs = self._write(documents, "documents", corpus_id, version)
-        self._write(speakers, "speakers", corpus_id, version)
-        for name, table in derived(rows, docs).items():
-            self._write(table, name, corpus_id, version)
-        counts = rows.agg(F.count(F.lit(1)).alias("utterance_count"), F.coalesce(F.sum(F.size("tokens.normalized") + F.size("provided.normalized")), F.lit(0)).alias("token_count")).first().asDict()
-        counts["document_count"] = docs.count()
-        twice = rows.groupBy("utterance_id").count().where("count > 1").limit(1).collect()
+        rows, docs, _ = self._together(
+            lambda: self._write(tokenised(utterances), "utterances", corpus_id, version),
+            lambda: self._write(documents, "documents", corpus_id, version),
+            lambda: self._write(speakers, "speakers", corpus_id, version),
+        )
+        total = F.coalesce(F.sum(F.size("tokens.normalized") + F.size("provided.normalized")), F.lit(0)).alias("token_count")
+        counts, documents, twice, *_ = self._together(
+            lambda: rows.agg(F.count(F.lit(1)).alias("utterance_count"), total).first().asDict(),
+            docs.count,
+            rows.groupBy("utterance_id").count().where("count > 1").limit(1).collect,
+            *(lambda n=n, t=t: self._write(t, n, corpus_id, version) for n, t in derived(rows, docs).items()),
+        )
+        counts["document_count"] = documents
         error = f"{counts['document_count']} documents without any utterance" if counts["document_count"] and not counts["utterance_count"] else None
         return counts | {"error": f"utterance id {twice[0][0]!r} occurs twice" if twice else error}
 
@@ -284,8 +296,7 @@ class Store:
         version = f"v{time.time_ns()}"
         for name in ("utterances", "documents", "speakers"):
             self._write(self.table(name, at), name, corpus_id, version)
-        for name, table in derived(utterances, documents).items():
-            self._write(table, name, corpus_id, version)
+        self._together(*(lambda n=n, t=t: self._write(t, n, corpus_id, version) for n, t in derived(utterances, documents).items()))
         self.note(**{k: old[k] for k in ("corpus_id", "name", "source_path", "file_count", "document_count", "utterance_count", "token_count")}, status="ready", version=version)
         self._drop(corpus_id, [old["version"]])
 
