@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space of the token definition, as a character class that Java and RE2 read alike.
 SPACE = r"\t-\r\x20\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 #: Legacy private-use letters and their jamo. The full table is a file of the user's.
 LEGACY = {"\ue57b": "\u1106\u11a1", "\uf537": "\u1112\u119e", "\ue285": "\u1102\u119e\u11ab", "\ue669": "\u1107\u11a1\u11a8"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,7 +38,9 @@ def use_legacy_table(table: dict[str, str]) -> None:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    """A text without white space at its ends; only one that has some is looked at sign by sign."""
+    ends = F.substring(text, 1, 1).isin(*_SPACES) | F.substring(text, -1, 1).isin(*_SPACES)
+    return F.when(ends, F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")).otherwise(text)
 
 
 def is_marker(token: Column) -> Column:
@@ -55,7 +58,6 @@ _EDGES = rf"(?=[{_SIGNS}])(?:(?<![^{SPACE}])[{_SIGNS}]++(?=[^{SPACE}])|(?<=[^{_S
 #: The same for texts with a brace, as a marker is taken as it is, or with signs of two surrogates, which looking back would halve.
 _IN_TEXT = rf"(?<![^{SPACE}])(?:(\{{[^}}{SPACE}]+\}})|[{_SIGNS}]*+([^{_SIGNS}{SPACE}](?:[^{SPACE}]*[^{_SIGNS}{SPACE}])?)[{_SIGNS}]*)(?![^{SPACE}])"
 _ALONE = rf"(?s)\A(?:(\{{[^}}]+\}})|[{_SIGNS}{SPACE}]*+([^{_SIGNS}{SPACE}](?:.*[^{_SIGNS}{SPACE}])?)[{_SIGNS}{SPACE}]*)\z"
-_SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 def normalized(surface: Column) -> Column:
@@ -137,16 +139,19 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha1(text.cast("binary")), 1, 10)
 
 
+_ENDS, _LAUGHS = r".!?\x{3002}\x{ff1f}\x{ff01}", r"\x{314b}\x{314e}\x{315c}\x{3160}"
+
+
 def terminal(text: Column) -> Column:
     """Whether a sentence ends here: punctuation, then perhaps reaction letters, then perhaps closing signs."""
-    return trim(text).rlike(rf"[.!?\x{{3002}}\x{{ff1f}}\x{{ff01}}]+(?:[{SPACE}]*[\x{{314b}}\x{{314e}}\x{{315c}}\x{{3160}}]+)?[\"')\]}}\x{{201d}}\x{{2019}}]*\z")
+    return text.rlike(rf"[{_ENDS}](?:[{SPACE}]*[{_LAUGHS}]+)?[\"')\]}}\x{{201d}}\x{{2019}}]*+[{SPACE}]*+\z")
 
 
 def reaction(text: Column) -> Column:
     """Whether a text is nothing but punctuation and reaction letters."""
-    return trim(text).rlike(rf"^[.!?\x{{3002}}\x{{ff1f}}\x{{ff01}}\x{{314b}}\x{{314e}}\x{{315c}}\x{{3160}}{SPACE}]+\z")
+    return text.rlike(rf"\A[{SPACE}]*+[{_ENDS}{_LAUGHS}][{_ENDS}{_LAUGHS}{SPACE}]*+\z")
 
 
 def glued(text: Column) -> Column:
     """Whether a reaction joins the text before it without a space."""
-    return trim(text).rlike(r"^[.!?\x{3002}\x{ff1f}\x{ff01}]+[\x{314b}\x{314e}\x{315c}\x{3160}]*\z")
+    return text.rlike(rf"\A[{SPACE}]*+[{_ENDS}]++[{_LAUGHS}]*+[{SPACE}]*+\z")
