@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
+from . import alignment, decontamination, jaccard_join, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
 from ._base import stored, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -85,6 +85,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = alignment.linked(table(spark, sf_dir, "documents"))
+    return alignment.with_counts(links, alignment.pair_counts(links)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -96,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_model": op9_quality_model,
     "op10_url_filter": op10_url_filter,
+    "op11_token_alignment": op11_token_alignment,
 }
