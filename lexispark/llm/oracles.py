@@ -53,4 +53,18 @@ COMPONENTS = rf"""WITH RECURSIVE d AS (
 )
 SELECT doc_id, CAST(n_shingles AS BIGINT) AS n_shingles, component_id FROM l"""
 
-ORACLES = {"op6_quality_rules": RULES, "op8_jaccard_join": COMPONENTS, "op10_url_filter": URLS}
+NEGATIVES = """WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS (
+  SELECT id, label, unnest(q) AS x, unnest(range(len(q))) AS i FROM v
+), s AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(sum(a.x * b.x) AS BIGINT) AS s FROM c a JOIN c b USING (i) WHERE a.id % 100 = 0 AND a.id <> b.id GROUP BY ALL
+), p AS (
+  SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+), n AS (
+  SELECT p.a, p.p, p.ps, s.b, s.s, row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.s DESC, s.b) AS k FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.ps <= 100 * s.s AND s.s <= p.ps
+)
+SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, b AS negative_id, ps AS positive_score, s AS negative_score FROM n WHERE k <= 5"""
+
+ORACLES = {"op6_quality_rules": RULES, "op8_jaccard_join": COMPONENTS, "op10_url_filter": URLS, "op12_hard_negatives": NEGATIVES}

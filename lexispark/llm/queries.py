@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, jaccard_join, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
+from . import alignment, decontamination, hard_negatives, jaccard_join, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
 from ._base import stored, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -90,6 +90,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.with_counts(links, alignment.pair_counts(links)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(hard_negatives.index(hard_negatives.quantised(rows)), F.col("key") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -102,4 +107,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_model": op9_quality_model,
     "op10_url_filter": op10_url_filter,
     "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
 }
