@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, hard_negatives, jaccard_join, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
+from . import alignment, class_lm, decontamination, hard_negatives, jaccard_join, language_id, packing, pii, quality_model, quality_rules, sharding, toxicity, url_filter
 from ._base import stored, table
 from .oracles import ORACLES  # noqa: F401
 
@@ -95,6 +95,14 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(hard_negatives.index(hard_negatives.quantised(rows)), F.col("key") % 100 == 0)
 
 
+def op13_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = class_lm.fit(docs.where(class_lm.learnt_from(F.col("doc_id"))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    out = class_lm.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -108,4 +116,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_token_alignment": op11_token_alignment,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_class_lm": op13_class_lm,
 }
