@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Trained by follow-the-regularised-leader with elastic-net penalties, then calibrated by a temperature. Document
-frequencies are counted over all training rows; the weights are fitted on a sample of at most about ``PER_CLASS`` training
-documents a language (whole texts), which bounds what reaches the driver.
+frequencies are counted over all training rows; the weights are fitted on a sample of about ``PER_CLASS`` different training
+texts a language (whole texts), and about ``SAMPLE`` in all, which bounds what reaches the driver.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from ._base import free_prefix
 
 FEATURES = 1 << 14
 ORDERS = (1, 2, 3)
-PER_CLASS = 500
-#: Languages that are learnt at most, the most frequent ones; a label column with more values is dirty, and weights are kept for each.
-LANGUAGES = 256
-EPOCHS = 3
+PER_CLASS, SAMPLE = 500, 20_000
+#: Weights are kept for each language, so a label column with more values than this is an error.
+LANGUAGES = 1024
+EPOCHS, UPDATES = 3, 4000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 UNKNOWN = "und"
 
@@ -77,7 +77,7 @@ class Model:
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
-    """FTRL-proximal over (language, features, values); every fifth row is kept for the temperature."""
+    """FTRL-proximal over (language, features, values); every fifth row is kept for the temperature, unless a language would have no other."""
     languages = sorted({r[0] for r in rows})
     index = {x: k for k, x in enumerate(languages)}
     k = len(languages)
@@ -87,9 +87,11 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mo
         zz = z[at]
         return np.where(np.abs(zz) <= L1, 0.0, -(zz - np.sign(zz) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    held, used = rows[::5], [r for i, r in enumerate(rows) if i % 5] or rows
+    held, used = rows[::5], [r for i, r in enumerate(rows) if i % 5]
+    if {r[0] for r in used} != set(languages):
+        used = rows  # too few rows to spare any
     order = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, min(30, UPDATES // max(1, len(used))))):  # few rows are seen more often
         for i in order.permutation(len(used)):
             language, at, x = used[i]
             at, x = np.append(at, FEATURES), np.append(x, 1.0)
@@ -117,13 +119,15 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray) -> Mo
     return model
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_class: int = PER_CLASS) -> Model | None:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang", per_class: int = PER_CLASS, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model | None:
     """A model from all rows of ``docs``; None if no row has a language and a letter.
 
-    Null languages and texts without letters are left out; of more than ``LANGUAGES`` languages the most frequent are learnt. Repeated
-    rows and null keys are rows like any other. Other columns are not read.
+    Null languages and texts without letters are left out. The weights are fitted on a sample of the different texts of each language, one at
+    least: about ``per_class``, or less where all would be more than ``sample``. So repeated rows neither crowd the sample nor vanish from
+    it. More than ``languages`` languages are an error. Null keys are rows like any other, other columns are not read.
     """
-    rows = docs.select(F.col(language).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("at")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select(F.col(language).cast("string").alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("at", F.xxhash64("text"))
 
     def frequencies(batches):
         total, n = np.zeros(FEATURES, dtype=np.int64), 0
@@ -141,10 +145,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
     if not n:
         return None
     idf = np.log((1 + n) / (1 + np.array([df.get(k, 0) for k in range(FEATURES)]))) + 1
-    # each language gives the share of its rows that makes about per_class of them
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    share = rows.sparkSession.createDataFrame([(k, min(1.0, per_class / v)) for k, v in counts.items()], "s_lang string, share double")
-    chosen = rows.join(F.broadcast(share), F.col("lang") == F.col("s_lang")).where(F.pmod("at", F.lit(1 << 30)) < F.col("share") * (1 << 30)).select("lang", "text", "at")
+    # each language gives the share of its different texts that makes about per_class of them, and the one of the least hash
+    there = rows.select("lang", "at").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.pmod("at", F.lit(1 << 30)), "at")).alias("first")).limit(languages + 1).collect()
+    if len(there) > languages:
+        raise ValueError(f"more than {languages} languages")
+    each = min(per_class, max(1, sample // len(there)))
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"]), r["first"]["at"]) for r in there], "s_lang string, share double, first long")
+    chosen = rows.join(F.broadcast(share), F.col("lang") == F.col("s_lang")).where((F.pmod("at", F.lit(1 << 30)) < F.col("share") * (1 << 30)) | (F.col("at") == F.col("first")))
+    chosen = chosen.select("lang", "text", "at").dropDuplicates(["lang", "at"])
 
     def features(batches):
         for batch in batches:
@@ -157,9 +165,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str
                         ["lang", "at", "f", "x"],
                     )
 
-    sample = chosen.mapInArrow(features, "lang string, at long, f array<int>, x array<float>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
-    cut = lambda c: [v.values.to_numpy(zero_copy_only=False) for v in sample.column(c).combine_chunks()]
-    return train(list(zip(sample.column("lang").to_pylist(), cut("f"), [x.astype(float) for x in cut("x")], strict=True)), idf)
+    found = chosen.mapInArrow(features, "lang string, at long, f array<int>, x array<float>").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
+    if not found.num_rows:
+        return None
+    cut = lambda c: [v.values.to_numpy(zero_copy_only=False) for v in found.column(c).combine_chunks()]
+    return train(list(zip(found.column("lang").to_pylist(), cut("f"), [x.astype(float) for x in cut("x")], strict=True)), idf)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
