@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
@@ -121,17 +121,22 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> Model:
-    """A model from a sample of about ``per_class`` labelled texts of each class, chosen by a hash of the key.
+    """A model from a sample of at most ``per_class`` labelled texts of each class, chosen by a hash of key and text.
 
-    A key that has both labels counts as toxic; null keys and labels are left out, null and empty texts have no features. Without
-    labelled rows, or with one class alone, no feature is used and all texts score alike.
+    Equal rows are one, and a key with many texts gives no more of them than fit. A key that has both labels counts as toxic; null keys and
+    labels are left out, null and empty texts have no features. Without labelled rows, or with one class alone, no feature is used and
+    all texts score alike.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("l_key")).agg(F.max(label).cast("int").alias("y"))
     at = F.pmod(F.xxhash64("l_key", F.lit("toxicity")), F.lit(1 << 30))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, per_class / max(1, counts.get(0, 0)))))
     chosen = known.where(at < share * (1 << 30))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("key") == F.col("l_key")).select("key", "text", "y")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("key") == F.col("l_key")).select("key", "text", "y", F.xxhash64("key", "text").alias("row"))
+    # the hash of the last row of each class that is taken; hashes only are ranked
+    last = rows.select("y", "row").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy("row"))).where(F.col("nth") <= per_class)
+    last = {r["y"]: r["row"] for r in last.groupBy("y").agg(F.max("row").alias("row")).collect()}
+    rows = rows.where(F.col("row") <= F.when(F.col("y") == 1, F.lit(last.get(1))).otherwise(F.lit(last.get(0)))).dropDuplicates(["y", "row"]).select("key", "text", "y")
 
     def make(part: pa.RecordBatch, texts: pa.LargeStringArray) -> pa.RecordBatch:
         owner, found, counts = features(texts)
