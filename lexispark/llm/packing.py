@@ -21,12 +21,47 @@ PER_SOURCE = 2
 GROUP_ROWS = 20_000
 
 
+class Shelf:
+    """Bins of one residual and the same full sources, oldest first.
+
+    For each cluster it keeps the place before which all bins hold the cluster; a bin leaves a shelf when something is put into it, so
+    that place only moves on, and no bin is looked at twice for a cluster.
+    """
+
+    def __init__(self) -> None:
+        self.bins: list[list | None] = []
+        self.places: dict[int, int] = {}
+        self.first = self.left = 0
+
+    def add(self, b: list) -> None:
+        self.bins.append(b)
+        self.left += 1
+
+    def take(self, cluster: int) -> list | None:
+        """The oldest bin that does not hold the cluster."""
+        bins = self.bins
+        while self.first < len(bins) and bins[self.first] is None:
+            self.first += 1
+        k = max(self.first, self.places.get(cluster, 0))
+        while k < len(bins) and (bins[k] is None or bins[k][1] & cluster):
+            k += 1
+        if cluster:
+            self.places[cluster] = k
+        if k == len(bins):
+            return None
+        b, bins[k] = bins[k], None
+        self.left -= 1
+        if len(bins) > 64 and self.left * 2 < len(bins):
+            self.bins, self.first, self.places = [x for x in bins if x is not None], 0, {}
+        return b
+
+
 class Bins:
-    """Open bins by residual. Bins of one residual are kept by their bitmaps of full sources, so a source that many bins already hold is skipped at once."""
+    """Open bins by residual, and those of one residual by their bitmaps of full sources, so a source that many bins already hold is skipped at once."""
 
     def __init__(self, capacity: int, per_source: int) -> None:
         self.capacity, self.per_source, self.count = capacity, per_source, 0
-        self.levels: dict[int, dict[int, list[list]]] = {}  # residual -> full sources -> bins
+        self.levels: dict[int, dict[int, Shelf]] = {}  # residual -> full sources -> bins
         self.open = 0  # bit r: a bin has residual r
 
     def place(self, size: int, source: int, cluster: int) -> tuple[int, int]:
@@ -36,18 +71,14 @@ class Bins:
             low = rest & -rest
             residual = low.bit_length() - 1
             level = self.levels[residual]
-            for full, bins in level.items():
-                if full & source:
-                    continue
-                for k in range(len(bins) - 1, -1, -1):
-                    if not bins[k][1] & cluster:
-                        b = bins.pop(k)
-                        if not bins:
-                            del level[full]
-                            if not level:
-                                del self.levels[residual]
-                                self.open ^= low
-                        return self._put(b, residual, size, source, cluster)
+            for full, shelf in level.items():
+                if not full & source and (b := shelf.take(cluster)):
+                    if not shelf.left:
+                        del level[full]
+                        if not level:
+                            del self.levels[residual]
+                            self.open ^= low
+                    return self._put(b, residual, size, source, cluster)
             rest ^= low
         self.count += 1
         return self._put([self.count - 1, 0, [0] * self.per_source], self.capacity, size, source, cluster)
@@ -59,7 +90,7 @@ class Bins:
                 b[2][k] |= source
                 break
         if left := residual - size:
-            self.levels.setdefault(left, {}).setdefault(b[2][-1], []).append(b)
+            self.levels.setdefault(left, {}).setdefault(b[2][-1], Shelf()).add(b)
             self.open |= 1 << left
         return b[0], self.capacity - residual
 
@@ -92,8 +123,8 @@ def pack(
     No bin holds more than ``capacity`` tokens, more than ``per_source`` pieces of a source, or two pieces of a duplicate
     cluster (by default texts that are equal but for A-Z case; pieces of one document count as one cluster too; near copies only
     count as one where ``cluster`` says so). Token counts are words unless ``n_tokens`` is given. Null and blank texts have 0 tokens
-    and give no row. A null source is a source of its own; null and repeated keys are rows like any other. Other columns
-    are not read. An empty table gives an empty table.
+    and give no row. A null source is a source of its own; null keys and repeated rows are rows like any other, dealt to the groups by
+    their place in the table. Long texts are cut into pieces. Other columns are not read. An empty table gives an empty table.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
@@ -102,11 +133,12 @@ def pack(
         (n_tokens if n_tokens is not None else F.size(words(t))).cast("int").alias("total"),
         (cluster if cluster is not None else F.xxhash64(ascii_lower(t))).cast("long").alias("cluster"),
     ).where(F.col("total") > 0)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # equal rows go to different groups
     rows = stored(rows, "lengths")  # texts are read once; the number of groups follows the pieces
     last = F.floor((F.col("total") - 1) / capacity).cast("int")
     groups = max(1, math.ceil((rows.agg(F.sum(last.cast("long") + 1)).first()[0] or 0) / group_rows))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("n_tokens", F.least(F.lit(capacity), F.col("total") - F.col("piece") * capacity))
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("key", "cluster", "source", "piece"), F.lit(groups)).cast("long")).drop("total")
+    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).cast("long")).drop("total", "row")
     kind = rows.schema["key"].dataType.simpleString()
 
     def packed(pieces: pd.DataFrame) -> pd.DataFrame:
