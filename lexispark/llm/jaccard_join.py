@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from . import textkit
 from ._base import SPACES, dropped, free_prefix, stored
@@ -387,8 +388,9 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     w = free_prefix(docs)
     r1_, r2_, k1_, k2_ = (w + n for n in ("r1", "r2", "k1", "k2"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    # nulls do not change a hash, so their places are hashed too
-    content = [*own, *(c.isNull() for c in own)]
+    # nulls do not change a hash, so their places are hashed too; nested columns, maps among them, are hashed as JSON
+    flat = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else c for c, f in zip(own, docs.schema, strict=True)]
+    content = [*flat, *(c.isNull() for c in own)]
     marks = [F.xxhash64(*content).alias(r1_), F.xxhash64(F.lit(1), *content).alias(r2_)]
     marked = docs.select("*", *marks)
     rows = marked.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(r1_).alias("r1"), F.col(r2_).alias("r2"))
@@ -399,8 +401,8 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     least = least.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls").alias("root")).agg(F.min("row").alias("row"))
     least = least.select(F.col("row.r1").alias(k1_), F.col("row.r2").alias(k2_))
     blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)) == ""
-    worded = docs.where(~blank)
+    worded = docs.where(~blank).select("*", *marks)
     if sizes.groupBy("r1", "r2").count().where("count > 1").limit(1).count():
-        worded = worded.distinct()
-    worded = worded.select("*", *marks).join(least, (F.col(r1_) == F.col(k1_)) & (F.col(r2_) == F.col(k2_)), "left_semi")
+        worded = worded.dropDuplicates([r1_, r2_])
+    worded = worded.join(least, (F.col(r1_) == F.col(k1_)) & (F.col(r2_) == F.col(k2_)), "left_semi")
     return worded.select(*own).union(docs.where(blank))

@@ -27,3 +27,9 @@ def odd_documents(spark, extra: bool = False):
 
 def no_documents(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+def equal_rows(spark, n: int = 5000, key: int | None = None):
+    """``n`` equal texts beside two others; with ``key``, ``n`` different texts of that id."""
+    rows = [(k if key is None else key, PROSE if key is None else f"{PROSE}{k}", "en", "a", 1) for k in range(n)]
+    return spark.createDataFrame([*rows, (n + 1, "der hund und die katze liegen unter dem alten baum im garten", "de", "b", 1), (n + 2, PROSE[:40], "en", "b", 1)], SCHEMA)

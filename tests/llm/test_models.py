@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import no_documents, odd_documents
+from cases import PROSE, equal_rows, no_documents, odd_documents
 
 from lexispark.llm import language_id, quality_model, queries, toxicity
 
@@ -217,12 +217,6 @@ def test_temperature_is_the_best_of_its_grid():
     assert loss(model.temperature) <= min(map(loss, grid)) + 1e-3
 
 
-def test_many_languages_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "LANGUAGES", 2)
-    rows = [(k, f"text of {c}", c) for k, c in enumerate("aaabbbcd")]
-    assert language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["a", "b"]
-
-
 def test_posterior_is_the_slow_one():
     """Scores equal the ratio of two Gaussian densities by their textbook formula."""
     rng = np.random.default_rng(8)
@@ -233,3 +227,34 @@ def test_posterior_is_the_slow_one():
     model = quality_model.Model(np.zeros(d), np.ones(d), means, [np.linalg.inv(f) for f in factors], [2 * np.log(np.diag(f)).sum() for f in factors], 0.3)
     density = [np.exp(-0.5 * np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(c)) for m, c in zip(means, covs, strict=True)]
     assert np.allclose(model.posterior(x), density[1] * np.exp(0.3) / (density[1] * np.exp(0.3) + density[0]))
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_equal_rows_and_one_id(spark, key, monkeypatch):
+    """The samples are of different texts, and bounded whatever repeats."""
+    docs = equal_rows(spark, 5000, key)
+    monkeypatch.setattr(language_id, "train", lambda rows, idf, f=language_id.train: (sizes.append(len(rows)), f(rows, idf))[1])
+    sizes = []
+    model = language_id.fit(docs, per_class=50)
+    assert model.languages == ["de", "en"] and sizes[0] < 120
+    got = language_id.predict(docs, model).where("doc_id <> 5002").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    marks = spark.createDataFrame([(k, 1 if k < 100 else 0, k % 2) for k in range(5003)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda rows, f=toxicity.train: (sizes.append(len(rows)), f(rows))[1])
+    scores = toxicity.score(docs, toxicity.fit(docs, marks, per_class=10)).collect()
+    assert len(scores) == 5002 and sizes[1] <= 20
+    stats = quality_model.with_statistics(docs)
+    assert quality_model.score(stats, quality_model.fit(stats, marks)).count() == 5002
+
+
+def test_one_language_alone(spark):
+    docs = equal_rows(spark, 1000).where("lang = 'en' and doc_id < 1000")
+    got = language_id.predict(docs, language_id.fit(docs, per_class=3)).collect()
+    assert {r["lang_pred"] for r in got} == {"en"}
+
+
+def test_many_languages_are_learnt_or_an_error(spark):
+    docs = spark.createDataFrame([(k, f"{PROSE} {k}", f"l{k:03}") for k in range(300)], "doc_id long, text string, lang string")
+    assert len(language_id.fit(docs, sample=300).languages) == 300
+    with pytest.raises(ValueError, match="more than 299"):
+        language_id.fit(docs, languages=299)

@@ -139,3 +139,26 @@ def test_pack_query(spark):
         assert max(Counter(r["source"] for r in rows).values()) <= packing.PER_SOURCE
         texts = [docs[r["doc_id"]]["text"].lower() for r in rows]
         assert len(texts) == len(set(texts))
+
+
+@pytest.mark.parametrize("same_key", [True, False])
+def test_equal_rows_take_time_in_proportion(same_key):
+    """Each of n pieces of one cluster needs a bin of its own."""
+    import time
+
+    def seconds(n):
+        pieces = pd.DataFrame({"key": [1] * n if same_key else range(n), "source": ["a"] * n, "cluster": [7] * n, "piece": [0] * n, "n_tokens": [30] * n})
+        begun = time.perf_counter()
+        assert packing.pack_group(pieces, 2048, 2)["bin"].nunique() == n
+        return time.perf_counter() - begun
+
+    assert seconds(40_000) < 12 * max(0.1, seconds(4_000))
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    from cases import equal_rows
+
+    got = packing.pack(equal_rows(spark, 5000), group_rows=500).select("bin", "source").collect()
+    sizes = Counter(r["bin"] >> 32 for r in got)
+    assert len(got) == 5002 and len(sizes) == 11 and max(sizes.values()) < 700
+    assert max(Counter(r["bin"] for r in got).values()) <= 3
