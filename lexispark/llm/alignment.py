@@ -32,7 +32,7 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECE = re.compile(r"\s*\S+(?:(?! )\s+\S*)*|\s+")
 SPANS = re.compile(rb"[.AB]*X")
 #: Pieces that a worker remembers; it starts anew beyond.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Pairs of ids whose counts are sent to all tasks, the most frequent ones (16 bytes each); the others are joined by shuffle.
 BROADCAST_PAIRS = 1 << 21
 #: Products of group sizes beyond which a group's links are counted by distinct ids.
