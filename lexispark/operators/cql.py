@@ -5,13 +5,14 @@ A pattern is parsed on the driver and compiled to one column expression, so matc
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
+from .patterns import compiled
+
 
 @dataclass(frozen=True)
 class Element:
@@ -32,11 +33,10 @@ class Element:
 
 
 def java_regex(pattern: str) -> str:
-    """A search pattern in Java's spelling: ``$`` is the very end, ``\\u{h}`` a code point; raises ValueError if it is not valid."""
+    """A search pattern in Java's spelling; raises ValueError if it is not valid."""
     from pyspark.sql import SparkSession
 
-    out = re.sub(r"\\u\{([0-9a-fA-F]+)\}", r"\\x{\1}", pattern)
-    out = re.sub(r"(?<!\\)((?:\\\\)*)\$(?![^\[]*\])", r"\1\\z", out)
+    out = compiled(pattern)[0]
     spark = SparkSession.getActiveSession()
     if spark is not None:
         try:
@@ -172,16 +172,35 @@ def matches(elements: list[Element], tokens: Column, tagged: bool) -> Column:
     return state
 
 
+def required(elements: list[Element], layer: str, tagged: bool) -> list[tuple[str, str, Column]]:
+    """The exact terms that every match holds, as (kind of term, field of the layer, term)."""
+    out = []
+    for e in elements:
+        if e.least > 0 and e.op == "=" and e.value and (e.field == "text" or tagged):
+            text = e.field == "text"
+            kind = ("provided" if layer == "provided" else "raw") if text else e.field
+            out.append((kind, "normalized" if text else e.field, normalized(F.lit(e.value)) if text else F.lit(e.value)))
+    return out
+
+
 def anchors(elements: list[Element], layer: str, tagged: bool) -> Column:
     """A necessary condition that is cheap: each exact element that must occur has a token."""
     out = F.lit(True)
-    for e in elements:
-        if e.least > 0 and e.op == "=" and e.value and (e.field == "text" or tagged):
-            value = normalized(F.lit(e.value)) if e.field == "text" else F.lit(e.value)
-            out = out & F.array_contains(f"{layer}.{'normalized' if e.field == 'text' else e.field}", value)
+    for _, field, term in required(elements, layer, tagged):
+        out = out & F.array_contains(f"{layer}.{field}", term)
     return out
 
 
+def gap_of(elements: list[Element], tagged: bool) -> tuple[int, int] | None:
+    """For a pattern of two exact tokens with any tokens between them: how many at least and at most."""
+    ends = [elements[0], elements[-1]]
+    if len(elements) not in (2, 3) or any((e.least, e.most, e.op) != (1, 1, "=") or not e.value or not (e.field == "text" or tagged) for e in ends):
+        return None
+    if len(elements) == 2:
+        return 0, 0
+    return (elements[1].least, elements[1].most) if elements[1].field is None else None
+
+
 def search(utterances: DataFrame, query: str, source: str | None = None) -> DataFrame:
     """One row per match: all columns of ``utterances`` with ``ordinal`` (of the match in its utterance), ``s`` and ``e`` (token positions)."""
     elements = parse(query)

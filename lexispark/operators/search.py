@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import folded_like, normalized
 from ..scratch import filesystem, new_folder, remove
-from . import cql
+from . import cql, lookup, patterns
 from .filters import Filters
+from .lookup import Index
 
 ORDER = ("corpus_id", "row_id", "ordinal")
 RESULT = ("corpus_id", "doc_id", "utterance_id", "speaker_id", "sequence", "form", "original_form", "topic", "category", "year", "time", "start", "end", "note", "speaker_age", "speaker_sex", "speaker_occupation")
@@ -51,6 +52,8 @@ class Hits:
     #: Whether a token is the one that is shown; None where the rows have the span (s, e) already.
     shown: object
     context: int
+    #: The keys of all rows, where the index has them: ORDER, and the span if the rows have it.
+    keys: DataFrame | None = None
 
     def in_context(self, rows: DataFrame) -> DataFrame:
         """Append left, hit and right (arrays of surfaces); without a token to show the whole form is the hit."""
@@ -78,64 +81,88 @@ def term_exists(token_stats: DataFrame, word: Column) -> bool:
     return bool(token_stats.where(F.col("term") == word).limit(1).count())
 
 
-def matched(utterances: DataFrame, token_stats: DataFrame, request: Request) -> tuple[Hits | None, list[str]]:
-    """What a request finds, not paged, with ``ordinal`` (of a match in its utterance), and warnings. None: nothing was searched."""
+def matched(utterances: DataFrame, token_stats: DataFrame, request: Request, index: Index | None = None) -> tuple[Hits | None, list[str]]:
+    """What a request finds, not paged, with ``ordinal`` (of a match in its utterance), and warnings. None: nothing was searched.
+
+    With an index only those utterances are looked at that it cannot rule out, and whole tokens and pairs of tokens are found
+    by their places alone; the result is the same.
+    """
     query, f = request.query.strip(), request.filters
     if not query:
         return None, ["the query is blank"]
     rows = f.apply(utterances)
-    one = lambda found, shown: Hits(found.withColumn("ordinal", F.lit(0)), f.layer, shown, request.context)
+    one = lambda found, shown, keys=None: Hits(found.withColumn("ordinal", F.lit(0)), f.layer, shown, request.context, keys)
     if request.mode == "cql":
         try:
             elements = cql.parse(query)
         except ValueError as e:
             return None, [str(e)]
         layer = cql.layer_of(elements, None if f.source == "raw" and any(x.field in ("lemma", "pos") for x in elements) else f.source)
-        return Hits(cql.search(rows, query, layer if layer == "provided" else "raw"), layer, None, request.context), []
+        return _by_tokens(rows, query, elements, layer, request, index), []
     if request.mode == "regex":
         try:
             pattern = cql.java_regex(query)
         except ValueError as e:
             return None, [str(e)]
+        if index:
+            rows = lookup.near(rows, index, patterns.compiled(query)[1], f)
         return one(rows.where(F.col(request.field).rlike(pattern)), lambda t: t["surface"].rlike(pattern) | t["normalized"].rlike(pattern)), []
     word = normalized(F.lit(query))
+    holds = lambda t: t["normalized"].contains(word)
     if term_exists(token_stats, word):
-        found = rows.where(F.array_contains(f"{f.layer}.normalized", word))
-    elif len(query) < 3:
+        if not index:
+            return one(rows.where(F.array_contains(f"{f.layer}.normalized", word)), holds), []
+        keys = lookup.rows_with(index, f.kind, word, f)
+        if f.only_corpus:
+            return one(utterances.join(keys, ["corpus_id", "row_id"], "left_semi"), holds, keys.withColumn("ordinal", F.lit(0))), []
+        return one(lookup.only(rows, keys, lookup.count(index, f.kind, word, f)), holds), []
+    if len(query) < 3:
         return None, ["the query is shorter than three characters and no token"]
-    else:
-        found = rows.where(folded_like(F.col(request.field), query))
-    return one(found, lambda t: t["normalized"].contains(word)), []
+    if index:
+        rows = lookup.near(rows, index, patterns.like_need(query), f)
+    return one(rows.where(folded_like(F.col(request.field), query)), holds), []
+
+
+def _by_tokens(rows: DataFrame, query: str, elements: list[cql.Element], layer: str, request: Request, index: Index | None) -> Hits:
+    """The matches of a token pattern."""
+    tagged, f, source = layer == "provided", request.filters, layer if layer == "provided" else "raw"
+    if index:
+        found = lookup.pairs(index, elements, layer, tagged, f)
+        if found is not None:
+            return Hits(rows.join(found, ["corpus_id", "row_id"]), layer, None, request.context, found if f.only_corpus else None)
+        driven = lookup.by_terms(index, [(kind, term) for kind, _, term in cql.required(elements, layer, tagged)], f)
+        if driven is not None:
+            rows = lookup.only(rows, *driven)
+    return Hits(cql.search(rows, query, source), layer, None, request.context)
 
 
 #: Rows of a page up to which its keys come to the driver, some 50 bytes each.
 KEYED_ROWS = 20_000
 
 
-def page(utterances: DataFrame, token_stats: DataFrame, request: Request) -> tuple[Hits | None, DataFrame | None, list[str]]:
+def page(utterances: DataFrame, token_stats: DataFrame, request: Request, index: Index | None = None) -> tuple[Hits | None, DataFrame | None, list[str]]:
     """The rows of a request's page and one more, in order, with contexts that are cut after the page was chosen.
 
     The page is chosen by keys alone, so the scan reads just what the request looks at; the rows themselves are then read by their
     ids, which lie close together in the files.
     """
-    hits, warnings = matched(utterances, token_stats, request)
+    hits, warnings = matched(utterances, token_stats, request, index)
     if hits is None:
         return None, None, warnings
     span = [c for c in ("s", "e") if hits.shown is None]
-    chosen = hits.rows.select(*ORDER, *span).orderBy(*ORDER).offset(request.offset).limit(request.limit + 1)
+    chosen = (hits.rows if hits.keys is None else hits.keys).select(*ORDER, *span).orderBy(*ORDER).offset(request.offset).limit(request.limit + 1)
     if request.limit < KEYED_ROWS:
         found = chosen.collect()
         chosen = utterances.sparkSession.createDataFrame(found, chosen.schema)
-        corpora, ids = sorted({r["corpus_id"] for r in found}), sorted({r["row_id"] for r in found})
-        utterances = utterances.where(F.col("corpus_id").isin(*corpora) & F.col("row_id").isin(*ids)) if found else utterances.limit(0)
+        utterances = utterances.where(lookup.within([(r["corpus_id"], r["row_id"]) for r in found])) if found else utterances.limit(0)
         chosen = F.broadcast(chosen)
     rows = hits.in_context(utterances.join(chosen, ["corpus_id", "row_id"]))
     return hits, rows.select("row_id", *RESULT, "ordinal", "left", "hit", "right").orderBy(*ORDER), warnings
 
 
-def search(utterances: DataFrame, token_stats: DataFrame, request: Request) -> Page:
+def search(utterances: DataFrame, token_stats: DataFrame, request: Request, index: Index | None = None) -> Page:
     """One page of results. A page is what its reader sees, so its rows (``limit`` and one more) come to the driver."""
-    hits, rows, warnings = page(utterances, token_stats, request)
+    hits, rows, warnings = page(utterances, token_stats, request, index)
     if hits is None:
         return Page(None, False, warnings)
     found = rows.collect()

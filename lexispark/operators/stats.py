@@ -41,18 +41,24 @@ def token_frequency(utterances: DataFrame, token_stats: DataFrame, filters: Filt
     return top(rows.where(filters.without_stopwords(F.col("term"))), F.col("term"), n)
 
 
-def summary(utterances: DataFrame, filters: Filters = Filters()) -> DataFrame:
+def summary(utterances: DataFrame, filters: Filters = Filters(), document_stats: DataFrame | None = None, token_stats: DataFrame | None = None, value_stats: DataFrame | None = None) -> DataFrame:
     """One row of counts; documents and speakers are counted within their corpus and document.
 
-    Counts go up from speakers to documents to corpora, so nothing is counted by distinct values and each step only shuffles sums.
+    If at most corpora are chosen, the counted tables answer, where they are given, and markers are raw ones whatever the layer. Else
+    counts go up from speakers to documents to corpora, so nothing is counted by distinct values and each step only shuffles sums.
     """
-    words = F.col(f"{filters.layer}.normalized")
+    raw = filters.only_corpus
+    whole = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    if raw and document_stats is not None:
+        docs = document_stats.where(filters.predicate(("corpus_id",))).groupBy("corpus_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("utterance_count").alias("n"), F.sum("speaker_count").alias("speakers"))
+        docs = docs.agg(F.count(F.lit(1)).alias("corpus_count"), whole("documents", "document_count"), whole("n", "utterance_count"), whole("speakers", "speaker_count"))
+        return docs.crossJoin(_counted(token_stats, filters, filters.kind).agg(whole("count", "token_count"))).crossJoin(_counted(value_stats, filters, "marker").agg(whole("count", "non_speech_count")))
+    marked = F.filter("tokens.normalized" if raw else f"{filters.layer}.normalized", looks_marked)
     total = lambda c: F.sum(c).alias(c)
-    rows = filters.apply(utterances).select("corpus_id", "doc_id", "speaker_id", F.size(words).alias("tokens"), F.size(F.filter(words, looks_marked)).alias("marks"))
+    rows = filters.apply(utterances).select("corpus_id", "doc_id", "speaker_id", F.size(f"{filters.layer}.normalized").alias("tokens"), F.size(marked).alias("marks"))
     rows = rows.groupBy("corpus_id", "doc_id", "speaker_id").agg(F.count(F.lit(1)).alias("n"), total("tokens"), total("marks"))
     rows = rows.groupBy("corpus_id", "doc_id").agg(F.count("speaker_id").alias("speakers"), total("n"), total("tokens"), total("marks"))
     rows = rows.groupBy("corpus_id").agg(F.count("doc_id").alias("documents"), *(total(c) for c in ("speakers", "n", "tokens", "marks")))
-    whole = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     return rows.agg(
         F.count("corpus_id").alias("corpus_count"),
         whole("documents", "document_count"),

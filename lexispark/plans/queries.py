@@ -93,7 +93,22 @@ _SUMMARY = """SELECT count(DISTINCT corpus_id) AS corpus_count, count(DISTINCT c
 
 @register("stats_summary", _SUMMARY.format("", "WHERE"))
 def stats_summary(spark, d):
-    return stats.summary(utterances(spark, d))
+    return _summary(spark, d, Filters())
+
+
+def _summary(spark, d, filters):
+    return stats.summary(utterances(spark, d), filters, *(_t(spark, d, t) for t in ("document_stats", "token_stats", "value_stats")))
+
+
+@register("stats_summary_by_corpus", _SUMMARY.format("WHERE corpus_id = 'conv'", "AND"))
+def stats_summary_by_corpus(spark, d):
+    return _summary(spark, d, Filters(corpus_id=("conv",)))
+
+
+@register("stats_summary_provided", _SUMMARY.format("", "WHERE").replace("FROM tok )", "FROM prov)"))
+def stats_summary_provided(spark, d):
+    """Tokens of the provided layer, and markers of the raw one, as no filter but by corpus is set."""
+    return _summary(spark, d, Filters(source="provided"))
 
 
 @register("stats_summary_filtered", _SUMMARY.format("WHERE category = 'news' AND year IN ('2010', '2011')", "AND"))
@@ -128,7 +143,7 @@ def marker_distribution(spark, d):
 
 @register("document_stats", "SELECT corpus_id, doc_id, count(*) AS utterance_count, min(sequence) AS first_sequence, max(sequence) AS last_sequence FROM utt GROUP BY ALL")
 def document_stats(spark, d):
-    return _t(spark, d, "document_stats")
+    return _t(spark, d, "document_stats").drop("speaker_count")
 
 
 @register(
@@ -140,7 +155,7 @@ def options(spark, d):
 
 
 def _page(spark, d, request):
-    _, rows, _ = search.page(utterances(spark, d), _t(spark, d, "token_stats"), request)
+    _, rows, _ = search.page(utterances(spark, d), _t(spark, d, "token_stats"), request, corpus(spark, d).index())
     keyed = rows.select("corpus_id", "row_id", "doc_id", "utterance_id", "sequence", *(F.concat_ws(" ", c).alias(c) for c in ("left", "hit", "right")))
     return keyed.orderBy("corpus_id", "row_id").limit(request.limit).drop("row_id")
 
@@ -161,18 +176,36 @@ def kwic_exact(spark, d):
     return _page(spark, d, search.Request("here", filters=Filters(category=("news",))))
 
 
+@register("search_substring_all", "SELECT corpus_id, doc_id, utterance_id FROM utt WHERE lower(form) LIKE '%er%ing the _o%'")
+def search_substring_all(spark, d):
+    """Every utterance of a query with wildcards, found by its threes of signs."""
+    hits, _ = search.matched(utterances(spark, d), _t(spark, d, "token_stats"), search.Request("er%ing the _o"), corpus(spark, d).index())
+    return hits.rows.select("corpus_id", "doc_id", "utterance_id")
+
+
 @register("search_substring", _FIRST.format("SELECT corpus_id, row_id FROM utt WHERE lower(form) LIKE '%ion th%'", "contains(term, 'ion th')"))
 def search_substring(spark, d):
     return _page(spark, d, search.Request("ioN th"))
 
 
+# the pattern's classes are written out, as the SQL's engine has other ones for white space and edges of words
+_EDGES = r"(^|[^A-Za-z0-9_])of[ \x{a0}\x{3000}]the([^A-Za-z0-9_]|$)"
+
+
+@register("search_regex_dialect", f"SELECT corpus_id, doc_id, utterance_id FROM utt WHERE regexp_matches(form, '{_EDGES}')")
+def search_regex_dialect(spark, d):
+    hits, _ = search.matched(utterances(spark, d), _t(spark, d, "token_stats"), search.Request(r"\bof\sthe\b", mode="regex"), corpus(spark, d).index())
+    return hits.rows.select("corpus_id", "doc_id", "utterance_id")
+
+
 @register("search_regex", _FIRST.format("SELECT corpus_id, row_id FROM utt WHERE regexp_matches(form, 'tion[a-z]{3}s')", "regexp_matches(surface, 'tion[a-z]{3}s') OR regexp_matches(term, 'tion[a-z]{3}s')"))
 def search_regex(spark, d):
     return _page(spark, d, search.Request("tion[a-z]{3}s", mode="regex"))
 
 
-def _cql(spark, d, query, source=None, corpora=()):
-    return cql.search(utterances(spark, d, corpora), query, source).select("corpus_id", "doc_id", "utterance_id", "s", "e")
+def _cql(spark, d, query, source="raw", corpora=()):
+    hits, _ = search.matched(utterances(spark, d), _t(spark, d, "token_stats"), search.Request(query, mode="cql", filters=Filters(corpus_id=corpora, source=source)), corpus(spark, d).index())
+    return hits.rows.select("corpus_id", "doc_id", "utterance_id", "s", "e")
 
 
 _PAIR = """SELECT a.corpus_id, a.doc_id, a.utterance_id, CAST(a.token_index AS INT) AS s, CAST(b.token_index + 1 AS INT) AS e
@@ -201,12 +234,18 @@ def cql_wildcard_range(spark, d):
 
 @register("cql_regex_pos", _PAIR.format("prov", 0, 0, "a.pos = 'VV' AND regexp_matches(b.term, 'ly')"))
 def cql_regex_pos(spark, d):
-    return _cql(spark, d, '[pos="VV"] [text~"ly"]', corpora=("conv",))
+    return _cql(spark, d, '[pos="VV"] [text~"ly"]', "provided", ("conv",))
 
 
 @register("cql_lemma", _PAIR.format("prov", 0, 4, "a.lemma = 'er' AND b.pos = 'VV'"))
 def cql_lemma(spark, d):
-    return _cql(spark, d, '[lemma="er"] []{0,4} [pos="VV"]', corpora=("conv",))
+    return _cql(spark, d, '[lemma="er"] []{0,4} [pos="VV"]', "provided", ("conv",))
+
+
+@register("cql_rarest", "SELECT DISTINCT a.corpus_id, a.doc_id, a.utterance_id, CAST(a.token_index AS INT) AS s, CAST(b.token_index + 2 AS INT) AS e FROM tok a JOIN tok b ON a.corpus_id = b.corpus_id AND a.row_id = b.row_id AND b.token_index = a.token_index + 1 JOIN tok c ON c.corpus_id = a.corpus_id AND c.row_id = a.row_id AND c.token_index = a.token_index + 2 WHERE a.term = 'the' AND regexp_matches(b.term, 'a') AND c.term = 'here'")
+def cql_rarest(spark, d):
+    """The rarer of two words drives, and the frequent one is not looked up."""
+    return _cql(spark, d, '[text="the"] [text~"a"] [text="here"]')
 
 
 _COLLOCATION = """, node AS (SELECT corpus_id, row_id, token_index FROM tok WHERE term = '{node}' {where} ORDER BY 1, 2, 3 {cap}),

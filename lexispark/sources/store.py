@@ -22,9 +22,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.text import legacy_hangul
+from ..operators.lookup import Index
 from ..scratch import filesystem, remove
 from . import formats, names
-from .tables import SCHEMAS, derived, tokenised
+from . import index as indexed
+from .tables import SCHEMAS, counted_terms, derived, tokenised
 
 GIVEN = "array<struct<surface:string,lemma:string,pos:string>>"
 _BARE = "doc_id string, utterance_id string, speaker_id string, sequence long, form string, original_form string, time string, start double, end double, note string, category string, topic string, year string, speaker_age string, speaker_sex string, speaker_occupation string, metadata string"
@@ -38,6 +40,8 @@ def _struct(fields: str) -> str:
 RECORD = f"file string, entry long, nth long, document {_struct(SCHEMAS['documents'])}, speaker {_struct(SCHEMAS['speakers'])}, utterance {_struct(_BARE)[:-1]},provided:{GIVEN}>"
 CATALOG = "corpus_id string, name string, source_path string, status string, imported_at double, version string, file_count long, document_count long, utterance_count long, token_count long, error string"
 BATCH = 2000
+#: Rows of a page of those tables that are looked up by key.
+PAGE_ROWS = {"utterances": 1000, "postings": 200, "grams": 200}
 
 
 def corpus_id_of(path: str) -> str:
@@ -153,7 +157,8 @@ class Store:
     def _write(self, rows: DataFrame, table: str, corpus_id: str, version: str) -> DataFrame:
         fields = StructType.fromDDL(SCHEMAS[table]).fieldNames()
         path = self._where(table, corpus_id, version)
-        rows.select(*fields).write.mode("overwrite").parquet(path)
+        # short pages, so that a look-up of some rows reads few others
+        rows.select(*fields).write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS.get(table, 20_000)).parquet(path)
         return self.spark.read.schema(SCHEMAS[table]).parquet(path)
 
     def _together(self, *calls):
@@ -171,21 +176,35 @@ class Store:
         for c in ("topic", "category"):
             utterances = utterances.withColumn(c, legacy_hangul(F.col(c)))
         rows, docs, _ = self._together(
-            lambda: self._write(tokenised(utterances), "utterances", corpus_id, version),
+            lambda: self._write(tokenised(utterances).sortWithinPartitions("row_id"), "utterances", corpus_id, version),
             lambda: self._write(documents, "documents", corpus_id, version),
             lambda: self._write(speakers, "speakers", corpus_id, version),
         )
         total = F.coalesce(F.sum(F.size("tokens.normalized") + F.size("provided.normalized")), F.lit(0)).alias("token_count")
-        counts, documents, twice, *_ = self._together(
-            lambda: rows.agg(F.count(F.lit(1)).alias("utterance_count"), total).first().asDict(),
+        counts = rows.agg(F.count(F.lit(1)).alias("utterance_count"), total, F.coalesce(F.max("row_id"), F.lit(0)).alias("last")).first().asDict()
+        documents, twice, *_ = self._together(
             docs.count,
             rows.groupBy("utterance_id").count().where("count > 1").limit(1).collect,
-            *(lambda n=n, t=t: self._write(t, n, corpus_id, version) for n, t in derived(rows, docs).items()),
+            *self._count(rows, docs, counts["token_count"], counts.pop("last"), corpus_id, version),
         )
         counts["document_count"] = documents
         error = f"{counts['document_count']} documents without any utterance" if counts["document_count"] and not counts["utterance_count"] else None
         return counts | {"error": f"utterance id {twice[0][0]!r} occurs twice" if twice else error}
 
+    def _count(self, rows: DataFrame, docs: DataFrame, tokens: int, last_row: int, corpus_id: str, version: str) -> list:
+        """Calls that write the counted tables and the search index."""
+
+        def terms() -> None:
+            written = self._write(indexed.postings(rows, tokens, last_row), "postings", corpus_id, version)
+            self._write(counted_terms(written), "token_stats", corpus_id, version)
+
+        grams = lambda: self._write(indexed.grams(rows), "grams", corpus_id, version)
+        return [terms, grams, *(lambda n=n, t=t: self._write(t, n, corpus_id, version) for n, t in derived(rows, docs).items())]
+
+    def index(self) -> Index:
+        """The search index of all ready corpora."""
+        return Index(self.table("token_stats"), self.table("postings"), self.table("grams"))
+
     def publish(self, described: dict, utterances: DataFrame, documents: DataFrame, speakers: DataFrame, file_count: int = 0) -> dict:
         """Write a corpus and make it the one that counts; if it cannot be, the one before stays and the catalog has the error."""
         corpus_id, version = described["corpus_id"], f"v{time.time_ns()}"
@@ -296,7 +315,8 @@ class Store:
         version = f"v{time.time_ns()}"
         for name in ("utterances", "documents", "speakers"):
             self._write(self.table(name, at), name, corpus_id, version)
-        self._together(*(lambda n=n, t=t: self._write(t, n, corpus_id, version) for n, t in derived(utterances, documents).items()))
+        last = utterances.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
+        self._together(*self._count(utterances.drop("corpus_id"), documents.drop("corpus_id"), old["token_count"], last, corpus_id, version))
         self.note(**{k: old[k] for k in ("corpus_id", "name", "source_path", "file_count", "document_count", "utterance_count", "token_count")}, status="ready", version=version)
         self._drop(corpus_id, [old["version"]])
 

@@ -20,10 +20,12 @@ SCHEMAS = {
     "documents": "doc_id string, title string, author string, publisher string, date string, topic string, category string, year string, metadata string",
     "speakers": "doc_id string, speaker_id string, age string, occupation string, sex string, birthplace string, principal_residence string, "
     "current_residence string, education string, device string, keyboard string, metadata string",
-    "document_stats": "doc_id string, utterance_count long, first_sequence long, last_sequence long",
+    "document_stats": "doc_id string, utterance_count long, first_sequence long, last_sequence long, speaker_count long",
     "topic_stats": "category string, topic string, count long",
     "token_stats": "kind string, term string, count long",
     "value_stats": "kind string, value string, count long",
+    "postings": "kind string, term string, part long, rows array<long>, at array<int>",
+    "grams": "gram string, part long, blocks array<long>",
 }
 
 
@@ -45,19 +47,22 @@ def tokenised(rows: DataFrame) -> DataFrame:
 def derived(utterances: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     """The counted tables of stored utterances and documents; each is one aggregate over the columns that it needs.
 
-    token_stats has every term by kind: raw and provided tokens, lemmas and tags. value_stats counts documents by topic and by
-    category, utterances by speaker, and raw markers; blank values are not counted.
+    value_stats counts documents by topic and by category, utterances by speaker, and raw markers; blank values are not counted.
+    Terms are counted by ``counted_terms`` from their postings.
     """
-    term = lambda kind, c: utterances.select(F.lit(kind).alias("kind"), F.explode(c).alias("term")).where(F.col("term").isNotNull())
-    kinds = (("raw", "tokens.normalized"), ("provided", "provided.normalized"), ("lemma", "provided.lemma"), ("pos", "provided.pos"))
-    terms = reduce(DataFrame.union, (term(k, c) for k, c in kinds)).groupBy("kind", "term").agg(F.count(F.lit(1)).alias("count"))
     topics = documents.groupBy("category", "topic").agg(F.count(F.lit(1)).alias("count"))
     value = lambda rows, kind, v: rows.select(F.lit(kind).alias("kind"), v.alias("value")).where(F.col("value") != "").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("count"))
-    markers = utterances.select(F.explode("tokens.normalized").alias("t")).where(looks_marked(F.col("t")))
+    markers = utterances.select(F.explode(F.filter("tokens.normalized", looks_marked)).alias("t"))
     values = [value(documents, "topic", F.col("topic")), value(documents, "category", F.col("category")), value(utterances, "speaker", speaker_label()), value(markers, "marker", F.col("t"))]
+    # by speaker first, so no value is counted as distinct
+    spoken = utterances.groupBy("doc_id", "speaker_id").agg(F.count(F.lit(1)).alias("n"), F.min("sequence").alias("low"), F.max("sequence").alias("high"))
     return {
-        "document_stats": utterances.groupBy("doc_id").agg(F.count(F.lit(1)).alias("utterance_count"), F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence")),
+        "document_stats": spoken.groupBy("doc_id").agg(F.sum("n").alias("utterance_count"), F.min("low").alias("first_sequence"), F.max("high").alias("last_sequence"), F.count("speaker_id").alias("speaker_count")),
         "topic_stats": topics,
-        "token_stats": terms.sortWithinPartitions("kind", "term"),
         "value_stats": reduce(DataFrame.union, values),
     }
+
+
+def counted_terms(postings: DataFrame) -> DataFrame:
+    """Every term by kind (raw and provided tokens, lemmas and tags) with its occurrences."""
+    return postings.groupBy("kind", "term").agg(F.sum(F.size("rows")).cast("long").alias("count")).sortWithinPartitions("kind", "term")

@@ -8,7 +8,8 @@ from samples import token_stats, utterances
 
 from lexispark.operators import explore, search, stats
 from lexispark.operators.filters import Filters, filter_options
-from lexispark.sources.tables import derived
+from lexispark.sources.index import postings
+from lexispark.sources.tables import counted_terms, derived
 
 DOCUMENTS = "corpus_id string, doc_id string, title string, topic string, category string, year string"
 
@@ -34,7 +35,7 @@ def counts(df, *fields):
 def test_derived(rows, documents):
     got = derived(rows.drop("corpus_id"), documents.drop("corpus_id"))
     want = Counter(t["normalized"] for r in rows.collect() for t in r["tokens"])
-    assert {r["term"]: r["count"] for r in got["token_stats"].where("kind = 'raw'").collect()} == want
+    assert {r["term"]: r["count"] for r in counted_terms(postings(rows.drop("corpus_id"), 5, 100)).where("kind = 'raw'").collect()} == want
     values = counts(got["value_stats"], "kind", "value", "count")
     assert {k: v for k, v in values.items() if k[0] == "topic"} == {("topic", "t"): 2, ("topic", "u"): 1}
     assert {k: v for k, v in values.items() if k[0] == "category"} == {("category", "k"): 2}
