@@ -31,8 +31,8 @@ from ._base import dropped, stored
 
 #: Words that are exchanged, classes, and rounds at most.
 FREQUENT, CLASSES, ROUNDS = 16_384, 96, 6
-#: Words whose class and count are sent to all tasks (13 bytes each), the most frequent ones; others are joined by shuffle.
-SENT = 1 << 22
+#: Words whose class and count are sent to all tasks, the most frequent ones (at most so many, 18 bytes each); others are joined by shuffle.
+SENT = 1 << 21
 #: Rows of neighbours are merged in this many groups; occurrences of other words in groups of about so many.
 NEIGHBOUR_GROUPS, GROUP_WORDS = 256, 1_000_000
 #: Tasks whose parts of a group are merged at once, and groups that a task deals to; beyond either, groups are dealt in two steps.
@@ -495,9 +495,17 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """One row per document: ``key``, n_tokens, n_known, base_score, score (log10 probabilities) and perplexity (of a token, by score).
 
     Null and empty texts are an end alone. Repeated rows and null keys are rows like any other, long texts are scored whole, other columns are
-    not read; an empty table gives an empty table. The ``sent`` most frequent words go to all tasks; what they leave open is joined by shuffle.
+    not read; an empty table gives an empty table. Of the most frequent words at most ``sent`` go to all tasks; what they leave open is joined by shuffle.
     """
-    table = model.words.orderBy(F.desc("n"), "h").limit(sent).toArrow()
+    # by steps of an eighth of a doubling, so that no task orders all words
+    step = F.floor(8 * F.log2("n")).cast("int")
+    least, room = 1 << 30, sent
+    for r in sorted(model.words.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    table = model.words.where(step >= least).toArrow()
     h, n, c = table.column("h").to_numpy().view(np.uint64), table.column("n").to_numpy(), table.column("cls").to_numpy()
     order = np.argsort(h)
     spark = docs.sparkSession
