@@ -44,6 +44,8 @@ HEAVY, HEAVY_SAMPLE, HEAVY_SHINGLES = 750_000, 32, 1_000_000
 HEAVY_RANGE, HEAVY_COUNT = -1, (1 << 31) - 1
 #: Ranges up to which each is given a task of its own.
 EVEN_RANGES = 100_000
+#: Ranges that a task deals to; more are dealt in two steps, to some hundred of neighbouring ranges first. Shingles that a task packs at once.
+FAN, PACKED = 1000, 1_000_000
 #: Classes of one posting that are compared in one block.
 BLOCK = 2000
 LOW48 = np.uint64((1 << 48) - 1)
@@ -133,97 +135,164 @@ def _heavy(rows: DataFrame, seed: int, classes: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-def _dealt(rows: DataFrame, seed: int, keys: np.ndarray, heavy: np.ndarray) -> DataFrame:
-    """Shingles of each class by hash range, as byte strings; each partition gives a class once. Heavy ones, by their place in
-    ``heavy``, are dealt by class, under negative keys."""
+def _width(ranges: int) -> int:
+    """Neighbouring ranges that are dealt to as one in the first step."""
+    return 1 if ranges <= FAN else math.ceil(math.sqrt(ranges))
+
+
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array, and where each begins, with the end."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), at[1:] != at[:-1]]))
+    return at[first], np.append(first, len(at))
+
+
+def _pack(at: np.ndarray, cls: np.ndarray, token: np.ndarray, sub: np.ndarray | None = None):
+    """(at, who, times, low, high, sub) for each value of ``at``: its classes, how many tokens each has, and the tokens' bytes."""
+    order = np.lexsort((cls, at))
+    at, cls, token = at[order], cls[order], token[order]
+    sub = at[:0] if sub is None else sub[order]
+    there, cuts = _runs(at)
+    for k, i, j in zip(there.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        who, ends = _runs(cls[i:j])
+        t = token[i:j]
+        yield k, who.tobytes(), np.diff(ends).astype(np.uint32).tobytes(), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (t >> np.uint64(32)).astype(np.uint16).tobytes(), sub[i:j].astype(np.uint32).tobytes()
+
+
+DEALT = "range int, salt int, who binary, times binary, low binary, high binary, sub binary"
+
+
+def _batch(rows: list[tuple], salt: int) -> pa.RecordBatch:
+    at, *packed = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([salt] * len(at), pa.int32()), *(pa.array(c, pa.binary()) for c in packed)], ["range", "salt", "who", "times", "low", "high", "sub"])
+
+
+def deal(batches, seed: int, keys: np.ndarray, heavy: np.ndarray, width: int, salt: int = 0):
+    """Shingles of each class by hash range, packed; each class once. Heavy ones, by their place in ``heavy``, are dealt by class, to
+    ranges under negative numbers. With many ranges ``range`` is that of the first step, and ``sub`` says which one in it."""
     ranges = len(keys)
+    seen: set[int] = set()
+    held: list[tuple] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        at, cls, token = (np.concatenate(x) for x in zip(*held, strict=True))
+        if width == 1:
+            return _batch(list(_pack(np.where(at < 0, at, keys[np.maximum(at, 0)]), cls, token)), salt)
+        place = np.where(at < 0, -1 - at, at)
+        return _batch(list(_pack(np.where(at < 0, -1 - place // width, place // width), cls, token, place % width)), salt)
+
+    for batch in batches:
+        for _, texts in textkit.slices(batch):
+            of, h = shingle_sets(texts)
+            _, d1, d2 = digests(of, h, len(texts))
+            cls = _class(d1, d2, seed)
+            fresh = np.zeros(len(texts), dtype=bool)
+            for i in np.unique(of).tolist():
+                if int(cls[i]) not in seen:
+                    seen.add(int(cls[i]))
+                    fresh[i] = True
+            keep = fresh[of]
+            of, h = of[keep], h[keep]
+            at, token = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64), h & LOW48
+            if len(heavy):
+                place = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+                here = heavy[place] == h
+                at = np.where(here, -1 - (cls.view(np.uint64) % np.uint64(ranges)).astype(np.int64)[of], at)
+                token = np.where(here, place.astype(np.uint64), token)
+            held.append((at, cls[of], token))
+            size += len(at)
+            if size >= PACKED:
+                yield packed()
+                held, size = [], 0
+    if size:
+        yield packed()
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class, token and place within the first step's range of each shingle."""
+    joined = lambda c, t: np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), dtype=t)
+    cls = np.repeat(joined("who", np.int64), joined("times", np.uint32))
+    return cls, joined("low", np.uint32).astype(np.uint64) | (joined("high", np.uint16).astype(np.uint64) << np.uint64(32)), joined("sub", np.uint32).astype(np.int64)
 
-    def packed(key: int, cls: np.ndarray, of: np.ndarray, t: np.ndarray) -> tuple:
-        who, times = np.unique(of, return_counts=True)
-        return key, cls[who].tobytes(), times.astype(np.uint32).tobytes(), (t & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (t >> np.uint64(32)).astype(np.uint16).tobytes()
+
+def _dealt(rows: DataFrame, seed: int, keys: np.ndarray, heavy: np.ndarray) -> DataFrame:
+    """The packed shingles of all ranges, ``range`` being the range's key."""
+    width = _width(len(keys))
 
     def run(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for _, texts in textkit.slices(batch):
-                of, h = shingle_sets(texts)
-                _, d1, d2 = digests(of, h, len(texts))
-                cls = _class(d1, d2, seed)
-                fresh = np.zeros(len(texts), dtype=bool)
-                for i in np.unique(of).tolist():
-                    if int(cls[i]) not in seen:
-                        seen.add(int(cls[i]))
-                        fresh[i] = True
-                keep = fresh[of]
-                of, h = of[keep], h[keep]
-                out = []
-                if len(heavy):
-                    place = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-                    here = heavy[place] == h
-                    at = (cls.view(np.uint64) % np.uint64(ranges)).astype(np.int64)[of]
-                    for k in np.unique(at[here]).tolist():
-                        part = here & (at == k)
-                        out.append(packed(-1 - k, cls, of[part], place[part].astype(np.uint64)))
-                    of, h = of[~here], h[~here]
-                at = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-                order = np.argsort(at * len(texts) + of, kind="stable")
-                of, h, at = of[order], h[order] & LOW48, at[order]
-                cuts = np.searchsorted(at, np.arange(ranges + 1))
-                for k in np.flatnonzero(np.diff(cuts)).tolist():
-                    here = slice(cuts[k], cuts[k + 1])
-                    out.append(packed(int(keys[k]), cls, of[here], h[here]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 4, strict=True)], ["range", "who", "times", "low", "high"])
-
-    return rows.select("text").mapInArrow(run, "range int, who binary, times binary, low binary, high binary")
+        from pyspark import TaskContext
+
+        yield from deal(batches, seed, keys, heavy, width, TaskContext.get().partitionId())
+
+    def again(key: tuple, table: pa.Table) -> pa.Table:
+        coarse, (cls, token, sub) = key[0].as_py(), _unpacked(table)
+        at = -1 - ((-1 - coarse) * width + sub) if coarse < 0 else keys[coarse * width + sub]
+        return pa.Table.from_batches([_batch(list(_pack(at, cls, token)), 0)])
+
+    out = rows.select("text").mapInArrow(run, DEALT)
+    return out if width == 1 else out.groupBy("range", F.pmod("salt", F.lit(width)).alias("part")).applyInArrow(again, DEALT)
 
 
 def _common(dealt: DataFrame, keys: np.ndarray) -> DataFrame:
     """For each class the shingles that other classes have too, as (number of classes, range, token), in that order.
 
-    What a range finds is packed by buckets of classes, so neither step makes a row for each class and range.
+    What a range finds is packed by buckets of classes, in two steps where there are many, so neither step makes a row for each class and
+    range, nor for each bucket and range.
     """
+    ranges = len(keys)
+    width = _width(ranges)
+    found_in = "bucket int, salt int, place binary, cls binary, tokens binary, df binary"
+
+    def rows(bucket: np.ndarray, place: np.ndarray, cls: np.ndarray, token: np.ndarray, df: np.ndarray, salt: int) -> pa.Table:
+        order = np.argsort(bucket, kind="stable")
+        there, cuts = _runs(bucket[order])
+        cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        columns = [cut(x[order].astype(t)) for x, t in ((place, np.int32), (cls, np.int64), (token, np.int64), (df, np.int32))]
+        return pa.Table.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), salt), pa.int32()), *columns], ["bucket", "salt", "place", "cls", "tokens", "df"])
+
+    def read(table: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), dtype=t) for c, t in (("place", np.int32), ("cls", np.int64), ("tokens", np.int64), ("df", np.int32))]
+
+    def bucket_of(cls: np.ndarray) -> np.ndarray:
+        return (cls.view(np.uint64) % np.uint64(ranges)).astype(np.int64)
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
-        joined = lambda c, t: np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), dtype=t)
-        is_heavy = key[0].as_py() < 0
-        whole_cls = np.repeat(joined("who", np.int64), joined("times", np.uint32))
-        low, high = joined("low", np.uint32), joined("high", np.uint16)
+        at = key[0].as_py()
+        whole_cls, whole, _ = _unpacked(table)
+        whole = whole.view(np.int64)
         found = []
         for part in range(PARTS):  # sorted in parts, as sorting takes several times the memory of the input
-            here = low % PARTS == part
-            cls, token = whole_cls[here], low[here].astype(np.int64) | (high[here].astype(np.int64) << 32)
+            here = whole % PARTS == part
+            cls, token = whole_cls[here], whole[here]
             order = np.lexsort((cls, token))
             cls, token = cls[order], token[order]
             new = np.ones(len(token), dtype=bool)
             new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
             cls, token = cls[new], token[new]
-            starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(token)), bool), token[1:] != token[:-1]]))
-            sizes = np.diff(np.append(starts, len(token)))
-            df = np.full(len(token), HEAVY_COUNT) if is_heavy else np.repeat(sizes, sizes)
+            _, cuts = _runs(token)
+            df = np.full(len(token), HEAVY_COUNT) if at < 0 else np.repeat(np.diff(cuts), np.diff(cuts))
             shared = df >= 2
             found.append((cls[shared], token[shared], df[shared]))
         cls, token, df = (np.concatenate(x) for x in zip(*found, strict=True))
-        bucket = keys[(cls.view(np.uint64) % np.uint64(len(keys))).astype(np.int64)]
-        order = np.argsort(bucket, kind="stable")
-        bucket, cls, token, df = bucket[order], cls[order], token[order], df[order].astype(np.int32)
-        there, first = np.unique(bucket, return_index=True)
-        cuts = np.append(first, len(bucket))
-        packed = [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (cls, token, df)]
-        return pa.Table.from_arrays([pa.array(there, pa.int32()), pa.array(np.full(len(there), HEAVY_RANGE if is_heavy else key[0].as_py()), pa.int32()), *packed], ["bucket", "range", "cls", "tokens", "df"])
+        bucket = bucket_of(cls)
+        return rows(keys[bucket] if width == 1 else bucket // width, np.full(len(cls), max(at, HEAVY_RANGE)), cls, token, df, at)
+
+    def again(key: tuple, table: pa.Table) -> pa.Table:
+        place, cls, token, df = read(table)
+        return rows(keys[bucket_of(cls)], place, cls, token, df, 0)
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
-        joined = lambda c, t: np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), dtype=t)
-        cls, token, df = joined("cls", np.int64), joined("tokens", np.int64), joined("df", np.int32)
-        place = np.repeat(table.column("range").to_numpy(), [len(x.as_buffer()) // 4 for x in table.column("df")]).astype(np.int32)
+        place, cls, token, df = read(table)
         order = np.lexsort((token, place, df, cls))
-        who, first = np.unique(cls[order], return_index=True)
+        who, cuts = _runs(cls[order])
         parts = pa.StructArray.from_arrays([pa.array(df[order]), pa.array(place[order]), pa.array(token[order])], ["df", "range", "token"])
-        return pa.Table.from_arrays([pa.array(who), pa.ListArray.from_arrays(pa.array(np.append(first, len(cls)), pa.int32()), parts)], ["cls", "ordered"])
+        return pa.Table.from_arrays([pa.array(who), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), parts)], ["cls", "ordered"])
 
-    even = lambda df, c: df.repartition(len(keys), c) if len(keys) <= EVEN_RANGES else df
-    packed = even(dealt, "range").groupBy("range").applyInArrow(count, "bucket int, range int, cls binary, tokens binary, df binary")
-    return even(packed, "bucket").groupBy("bucket").applyInArrow(gather, "cls long, ordered array<struct<df:int,range:int,token:bigint>>")
+    even = lambda df, c: (df.repartition(ranges, c) if ranges <= EVEN_RANGES else df).groupBy(c)
+    packed = even(dealt, "range").applyInArrow(count, found_in)
+    if width > 1:
+        packed = packed.groupBy("bucket", F.pmod("salt", F.lit(width)).alias("part")).applyInArrow(again, found_in)
+    return even(packed, "bucket").applyInArrow(gather, "cls long, ordered array<struct<df:int,range:int,token:bigint>>")
 
 
 def required(a: Column, b: Column) -> Column:

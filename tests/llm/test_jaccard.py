@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import no_documents, odd_documents
+from cases import PROSE, no_documents, odd_documents
+from pyspark.sql import functions as F
 
 from lexispark.llm import jaccard_join, queries
 
@@ -131,3 +132,37 @@ def test_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op8_jaccard_join(spark, SF).collect()]
     assert sorted(got) == sorted(slow_components(rows))
+
+
+def test_dealing_takes_the_same_time_at_any_number_of_ranges():
+    """A task makes rows for the ranges of the first step only."""
+    import time
+
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{k}" for k in range(5000)])
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    seconds, rows = {}, {}
+    for ranges in (500, 1000, 100_000, 1_000_000):
+        begun = time.perf_counter()
+        rows[ranges] = sum(b.num_rows for b in jaccard_join.deal([batch], 0, np.arange(ranges), np.zeros(0, np.uint64), jaccard_join._width(ranges)))
+        seconds[ranges] = time.perf_counter() - begun
+    assert max(rows.values()) <= 1000 and seconds[1_000_000] < 3 * seconds[500]
+
+
+@pytest.mark.parametrize("heavy", [False, True])
+def test_two_steps_of_dealing_give_the_same(spark, monkeypatch, heavy):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(tuple, jaccard_join.near_duplicates(docs, count_links=True).collect()))
+    monkeypatch.setattr(jaccard_join, "RANGE_SHINGLES", 2000)
+    monkeypatch.setattr(jaccard_join, "FAN", 3)
+    if heavy:
+        monkeypatch.setattr(jaccard_join, "HEAVY", 20)
+        monkeypatch.setattr(jaccard_join, "HEAVY_SAMPLE", 20)
+    assert sorted(map(tuple, jaccard_join.near_duplicates(docs, count_links=True).collect())) == want
+
+
+def test_representatives_of_rows_with_maps(spark):
+    docs = spark.createDataFrame([(1, PROSE * 3), (1, PROSE * 3), (2, PROSE * 3), (3, "other words that stand alone here"), (4, None)], "doc_id long, text string")
+    docs = docs.withColumn("m", F.expr("map('k', doc_id)")).withColumn("s", F.expr("named_struct('a', if(doc_id = 1, null, 1), 'b', array(null, doc_id))"))
+    assert sorted(r["doc_id"] for r in jaccard_join.representatives(docs).collect()) == [1, 3, 4]
