@@ -19,17 +19,18 @@ ROUNDS = 8
 
 #: Groups of a card's digits; one separator is used throughout. Where a longer layout starts with a shorter one it comes first.
 CARD_GROUPS = [(4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 3, 3, 3), (6, 13)]
-CARD = "|".join([r"\d{13,19}", *(sep.join(rf"\d{{{n}}}" for n in groups) + r"(?!\d)" for groups in CARD_GROUPS for sep in " -")])
+CARD = "|".join([r"\d{13,19}", *(sep.join(rf"\d{{{n}}}" for n in groups) + r"(?!\d)" for groups in CARD_GROUPS for sep in (" ", "-", r"\."))])
 #: Kind -> pattern. An earlier kind wins where two could start.
 PATTERNS: dict[str, str] = {
-    "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![\w@-])",
+    "email": r"(?<![\p{L}\p{N}_.+%-])[\p{L}\p{N}][\p{L}\p{N}_.+%-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![\w@-])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_])(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?[0-9a-f]{12,128}(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|secret|token|api_key|apikey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?:[0-9a-f]{12,128}|[0-9A-F]{12,128})(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)",
-    "iso_date": r"(?<![\w/.-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2}(?!\d{3}))|(?![\w/-]|\.\d))",
-    "dmy_date": r"(?<![\w/.-])\d{2}(?:\.\d{2}\.|/\d{2}/)\d{4}(?![\w/-]|\.\d)",
+    "iso_date": r"(?<![\w/.-])\d{4}(?:-\d{2}-|/\d{2}/)\d{2}(?:(?=T\d{2}(?!\d{3}))|(?![\w/-]|\.\d))",
+    "dmy_date": r"(?<![\w/.-])\d{2}(?:\.\d{2}\.|/\d{2}/|-\d{2}-)\d{4}(?![\w/-]|\.\d)",
+    "short_date": r"(?<![\w/.-])(?:\d/\d{1,2}|\d{2}/\d|\d\.\d{1,2}|\d{2}\.\d)[/.]\d{4}(?![\w/-]|\.\d)",
     "card": rf"(?<![\w.-])(?:{CARD})(?![\w-]|\.\d)",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-]|\.\d)",
     "phone": r"(?<![\w(+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])",
@@ -68,6 +69,8 @@ def _feistel_number(x: Column, high: int, low: int, key: str, kind: str) -> Colu
 
 #: Alphabet of each layout sign; other signs keep their place.
 ALPHABETS = {"d": "0123456789", "N": "23456789", "B": "01", "H": "0123456789ABCDEF", "h": "0123456789abcdef", "X": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+# letters of Latin-1, Greek and Cyrillic by case
+ALPHABETS |= {sign: "".join(map(chr, range(a, b + 1))) for sign, a, b in (("l", 0xF8, 0xFF), ("e", 0xDF, 0xF6), ("E", 0xC0, 0xD6), ("L", 0xD8, 0xDE), ("g", 0x3B1, 0x3C9), ("c", 0x430, 0x44F), ("C", 0x410, 0x42F))}
 
 
 def _feistel_text(value: Column, layout: Column, key: str, kind: str) -> Column:
@@ -148,13 +151,13 @@ def _date(v: Column, pattern: str, key: str) -> Column:
     return F.when((day >= 0) & (day < high * low), moved).otherwise(v)
 
 
-def _month_first(v: Column, key: str) -> Column:
-    """Slash dates that can only be read month first, so days 13 to 31; they are permuted among themselves, apart from day-first dates.
+def _month_first(v: Column, key: str, pattern: str = "MM/dd/yyyy") -> Column:
+    """Dates that can only be read month first, so days 13 to 31; they are permuted among themselves, apart from day-first dates.
 
     They are numbered from 1800 to 2199: the days before one, less the first twelve of its month and of each month before.
     """
     first, (high, low) = F.lit(FIRST_DAY).cast("date"), MONTH_FIRST_HALVES
-    date = F.try_to_date(v, "MM/dd/yyyy")
+    date = F.try_to_date(v, pattern)
     month = (F.year(date) - F.year(first)) * 12 + F.month(date) - 1
     moved = _feistel_number((F.datediff(date, first) - 12 * (month + 1)).cast("long"), high, low, key, "month first")
 
@@ -162,14 +165,46 @@ def _month_first(v: Column, key: str) -> Column:
         # the month is within two of where months of equal length would put it
         about = F.floor(n * 4800 / (high * low)).cast("int")
         months = F.filter(F.sequence(about - 2, about + 2), lambda m: F.datediff(F.add_months(first, m), first) - 12 * m <= n)
-        return F.date_format(F.date_add(first, (n + 12 * (F.array_max(months) + 1)).cast("int")), "MM/dd/yyyy")
+        return F.date_format(F.date_add(first, (n + 12 * (F.array_max(months) + 1)).cast("int")), pattern)
 
     return F.when((F.dayofmonth(date) > 12) & F.year(date).between(1800, 2199), F.get(F.transform(F.array(moved), made), F.lit(0))).otherwise(v)
 
 
 def _dmy(v: Column, key: str) -> Column:
-    slashed = F.when(F.try_to_date(v, "dd/MM/yyyy").isNotNull(), _date(v, "dd/MM/yyyy", key)).otherwise(_month_first(v, key))
-    return F.when(v.contains("."), _date(v, "dd.MM.yyyy", key)).otherwise(slashed)
+    def either(sep: str) -> Column:
+        day_first = f"dd{sep}MM{sep}yyyy"
+        return F.when(F.try_to_date(v, day_first).isNotNull(), _date(v, day_first, key)).otherwise(_month_first(v, key, f"MM{sep}dd{sep}yyyy"))
+
+    return F.when(v.contains("."), _date(v, "dd.MM.yyyy", key)).when(v.contains("-"), either("-")).otherwise(either("/"))
+
+
+#: Of dates with a part of one digit: the other part from and to, the one-digit parts that go with it, and what makes their number times 400 years.
+SHORT_PARTS = [(1, 9, "123456789", (180, 180)), (10, 28, "123456789", (171, 400)), (29, 30, "13456789", (80, 80)), (31, 31, "13578", (40, 50))]
+
+
+def _short_date(v: Column, key: str) -> Column:
+    """Dates of 1800 to 2199 with a part of one digit, the other from 1 to 31, are moved within their layout: one digit and one, 10 to 28, 29 and
+    30, or 31. A day of 29 or more is only moved to months that have it; other texts stay."""
+    sep = F.when(v.contains("/"), "/").otherwise(".")
+    parts = F.split(v, "[/.]")
+    first, second, year = (F.get(parts, F.lit(i)) for i in range(3))
+    ahead = F.length(first) == 1  # the one-digit part stands first
+    one, other = F.when(ahead, first).otherwise(second), F.when(ahead, second).otherwise(first).cast("long")
+    same_sign = F.regexp_replace(v, "[0-9]", "").isin("//", "..")
+    out = None
+    for low, high, digits, halves in SHORT_PARTS:
+        n, m = len(digits), high - low + 1
+        at = F.instr(F.lit(digits), one) - 1
+        number = ((year.cast("long") - 1800) * m + other - low) * n + at
+
+        def made(x: Column) -> Column:
+            d, o = F.substr(F.lit(digits), (x % n + 1).cast("int"), F.lit(1)), (F.floor(x / n) % m + low).cast("string")
+            return F.concat(F.when(ahead, d).otherwise(o), sep, F.when(ahead, o).otherwise(d), sep, F.lpad((F.floor(x / (n * m)) + 1800).cast("string"), 4, "0"))
+
+        moved = F.get(F.transform(F.array(_feistel_number(number, *halves, key, f"short {low}")), made), F.lit(0))
+        fits = same_sign & other.between(low, high) & (F.length(other.cast("string")) == F.when(ahead, F.length(second)).otherwise(F.length(first))) & (at >= 0) & year.cast("long").between(1800, 2199)
+        out = F.when(fits, moved) if out is None else out.when(fits, moved)
+    return out.otherwise(v)
 
 
 def _phone(v: Column, key: str) -> Column:
@@ -241,9 +276,11 @@ def _intl_phone(v: Column, key: str) -> Column:
 
 
 def _email(v: Column, key: str) -> Column:
-    """The part before the ``@`` is permuted sign by sign within letters and digits; the domain stays."""
+    """The part before the ``@`` is permuted sign by sign within digits and letters of an alphabet; other signs and the domain stay."""
     local = F.substring_index(v, "@", 1)
-    layout = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "d")
+    layout = local
+    for sign, kind in (("A", "[A-Z]"), ("a", "[a-z]"), ("d", "[0-9]"), *((s, f"[{ALPHABETS[s]}]") for s in "leELgcC")):
+        layout = F.regexp_replace(layout, kind, sign)
     return F.concat(_feistel_text(local, layout, key, "email"), F.substr(v, F.length(local) + 1, F.length(v)))
 
 
@@ -252,8 +289,9 @@ def _access_key(v: Column, key: str) -> Column:
 
 
 def _secret(v: Column, key: str) -> Column:
-    value = F.regexp_extract(v, "[0-9a-f]+$", 0)
-    return F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(value)), _feistel_text(value, F.repeat(F.lit("h"), F.length(value)), key, "secret"))
+    value = F.regexp_extract(v, "[0-9a-fA-F]+$", 0)  # no letter stands before it, as a sign does
+    kind = F.when(value.rlike("[A-F]"), "H").otherwise("h")
+    return F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(value)), _feistel_text(value, F.repeat(kind, F.length(value)), key, "secret"))
 
 
 HANDLERS: dict[str, Callable[[Column, str], Column]] = {
@@ -263,8 +301,9 @@ HANDLERS: dict[str, Callable[[Column, str], Column]] = {
     "iban": _iban,
     "ipv6": _ipv6,
     "ip": _ip,
-    "iso_date": lambda v, key: _date(v, "yyyy-MM-dd", key),
+    "iso_date": lambda v, key: F.when(v.contains("/"), _date(v, "yyyy/MM/dd", key)).otherwise(_date(v, "yyyy-MM-dd", key)),
     "dmy_date": _dmy,
+    "short_date": _short_date,
     "card": _card,
     "ssn": _ssn,
     "phone": _phone,
@@ -288,14 +327,30 @@ def _is_card(value: Column) -> Column:
 def _card_alone(found: Column) -> Column:
     """Of a card layout of 17 to 19 digits in groups the first 16, if they are valid: the others are a code or a date beside it."""
     card = F.substr(found, F.lit(1), F.lit(19))
-    is_long = found.rlike(r"\A\d{4}(?: \d{4}){3} \d{1,3}\z|\A\d{4}(?:-\d{4}){3}-\d{1,3}\z")
+    is_long = found.rlike(r"\A\d{4}(?: \d{4}){3} \d{1,3}\z|\A\d{4}(?:-\d{4}){3}-\d{1,3}\z|\A\d{4}(?:\.\d{4}){3}\.\d{1,3}\z")
     return F.when(is_long & _is_card(card), card).otherwise(found)
 
 
+#: Items that are folded into one array, which is copied for each.
+FOLDED = 128
+
+
+def _running(items: Column, first: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """first, step(first, items[0]), and so on: a fold's states. They are gathered in arrays of ``FOLDED``, so time is nearly in proportion."""
+
+    def some(state: Column, chunk: Column) -> Column:
+        inner = F.aggregate(F.slice(items, chunk * FOLDED + 1, F.lit(FOLDED)), F.array(state["last"]), lambda s, x: F.concat(s, F.array(step(F.element_at(s, -1), x))))
+        joined = lambda s: F.struct(F.element_at(s, -1).alias("last"), F.concat(state["parts"], F.array(F.slice(s, 2, F.size(s)))).alias("parts"))
+        return F.get(F.transform(F.array(inner), joined), F.lit(0))
+
+    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLDED).cast("int"))
+    return F.flatten(F.aggregate(chunks, F.struct(first.alias("last"), F.array(F.array(first)).alias("parts")), some, lambda s: s["parts"]))
+
+
 def _phones_alone(values: Column, lengths: Column) -> Column:
     """International phone numbers end before a valid card, and at the last group that makes at most 15 digits; else they are empty."""
     is_phone = lambda v: v.rlike(r"\A\+[2-9]")
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    starts = _running(lengths, F.lit(0), lambda s, n: s + n)
 
     def cut(starts: Column) -> Column:
         cards = F.filter(F.transform(values, lambda v, i: F.when(_is_card(v), F.get(starts, i))), lambda c: c.isNotNull())
@@ -332,11 +387,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str | Non
     valid = F.zip_with(values_, new_, lambda v, new: F.when(v != new, F.length(v)).otherwise(0))
     step = step.withColumn(valid_, valid)
     # signs of each piece that belong to a value which started before it
-    taken = F.aggregate(
-        F.arrays_zip(F.col(valid_).alias("v"), F.col(lengths_).alias("n")),
-        F.array(F.lit(0)),
-        lambda s, x: F.concat(s, F.array(F.greatest(F.lit(0), F.when(F.element_at(s, -1) > 0, F.element_at(s, -1)).otherwise(x["v"]) - x["n"]))),
-    )
+    taken = _running(F.arrays_zip(F.col(valid_).alias("v"), F.col(lengths_).alias("n")), F.lit(0), lambda s, x: F.greatest(F.lit(0), F.when(s > 0, s).otherwise(x["v"]) - x["n"]))
     step = step.withColumn(taken_, F.when(some, taken))
     rest = lambda x, n: F.substr(x["piece"], n + 1, F.length(x["piece"]))
     parts = F.transform(
