@@ -1,7 +1,8 @@
 """Stored corpora: Parquet tables by corpus and version, and a catalog that says which version of a corpus counts.
 
-A corpus is written whole into a folder of its own version; it is published by one more file in the catalog, so readers see the old
-one or the new one, and a failure leaves the old one as it was.
+A corpus is written whole into a folder of its own version; it is published by one more entry of the catalog's log, so readers see the
+old one or the new one, and a failure leaves the old one as it was. Old versions stay until they are swept, so frames that read them do
+not break meanwhile.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from ..functions.text import legacy_hangul
 from ..operators.lookup import Index
 from ..scratch import filesystem, remove
 from . import formats, names
+from .log import Log
 from . import index as indexed
 from .tables import SCHEMAS, counted_terms, derived, tokenised
 
@@ -99,44 +101,53 @@ def firsts(records: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     return one.select("x.*")
 
 
+#: What stays of a state when only the error or the version changes.
+KEPT = ("corpus_id", "name", "source_path", "version", "file_count", "document_count", "utterance_count", "token_count")
+
+
+def _state(**values) -> dict:
+    """A row of the catalog."""
+    blank = {"file_count": 0, "document_count": 0, "utterance_count": 0, "token_count": 0, "error": None, "version": None}
+    return blank | values | {"imported_at": time.time()}
+
+
 class Store:
     """Corpora under one folder. Driver-side lists are of corpora, never of what they hold."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._seen: tuple[list[str], list[dict]] = ([], [])
+        self.log = Log(spark, f"{self.folder}/catalog", "corpus_id")
+        self._pinned: list[dict] | None = None
 
     # ---- catalog
 
     def records(self) -> list[dict]:
-        """The last state of each corpus, latest first, with its display name, format and unit label. It is read again whenever the
-        catalog has a new file; it has one row for each change of a corpus."""
-        fs, path = filesystem(self.spark, f"{self.folder}/catalog")
-        files = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-        if files != self._seen[0]:
-            last: dict[str, dict] = {}
-            for r in self.spark.read.schema(CATALOG).parquet(f"{self.folder}/catalog").orderBy("imported_at", F.col("version").asc_nulls_first()).collect():
-                last[r["corpus_id"]] = r.asDict()
-            rows = sorted((r for r in last.values() if r["status"] != "deleted"), key=lambda r: -r["imported_at"])
-            for r in rows:
-                r["source_format"] = names.format_of(r["name"], r["source_path"])
-                r["name"], r["unit_label"] = names.display_name(r["name"], r["source_path"]), names.unit_label(r["source_format"])
-            self._seen = files, rows
-        return [dict(r) for r in self._seen[1]]
+        """The last state of each corpus, latest first, with its display name, format and unit label."""
+        if self._pinned is not None:
+            return [dict(r) for r in self._pinned]
+        rows = sorted((dict(r) for r in self.log.refresh().values() if r["status"] != "deleted"), key=lambda r: -r["number"])
+        for r in rows:
+            r["source_format"] = names.format_of(r["name"], r["source_path"])
+            r["name"], r["unit_label"] = names.display_name(r["name"], r["source_path"]), names.unit_label(r["source_format"])
+        return rows
+
+    def pinned(self) -> Store:
+        """This store as it is now: what it reads stays the same whatever is published later, until old versions are swept."""
+        other = Store(self.spark, self.folder)
+        other._pinned = self.records()
+        return other
 
     def catalog(self) -> DataFrame:
         """The records as a table."""
-        return self.spark.createDataFrame(self.records(), f"{CATALOG}, source_format string, unit_label string").orderBy(F.desc("imported_at"))
+        fields = StructType.fromDDL(f"{CATALOG}, source_format string, unit_label string").fieldNames()
+        return self.spark.createDataFrame([tuple(r[f] for f in fields) for r in self.records()], f"{CATALOG}, source_format string, unit_label string").orderBy(F.desc("imported_at"))
 
     def record(self, corpus_id: str) -> dict | None:
         return next((r for r in self.records() if r["corpus_id"] == corpus_id), None)
 
     def note(self, **values) -> dict:
         """Add a state of a corpus to the catalog."""
-        blank = {"file_count": 0, "document_count": 0, "utterance_count": 0, "token_count": 0, "error": None, "version": None}
-        row = blank | values | {"imported_at": time.time()}
-        self.spark.createDataFrame([row], CATALOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/catalog")
-        return row
+        return self.log.add(values["corpus_id"], lambda _: _state(**values))
 
     # ---- tables
 
@@ -218,18 +229,17 @@ class Store:
         if found["error"]:
             self._drop(corpus_id, [version])
             return self._fail(described, "failed", found["error"], file_count=file_count, **{k: v for k, v in found.items() if k != "error"})
-        row = self.note(**described, status="ready", version=version, file_count=file_count, **found)
-        self._drop(corpus_id, [v for v in self._versions(corpus_id) if v != version])
-        return row
+        return self.note(**described, status="ready", version=version, file_count=file_count, **found)
 
     def _fail(self, described: dict, status: str, error: str, **counts) -> dict:
         """A failed attempt on a corpus that is ready leaves it ready, with the error beside it."""
-        old = self.record(described["corpus_id"])
-        if old and old["version"]:
-            kept = {k: old[k] for k in ("corpus_id", "name", "source_path", "version", "file_count", "document_count", "utterance_count", "token_count")}
-            self.note(**kept, status="ready", error=error)
-            return described | counts | {"status": status, "error": error}
-        return self.note(**described, status=status, error=error, **counts)
+
+        def state(old: dict | None) -> dict:
+            if old and old["version"]:
+                return _state(**{k: old[k] for k in KEPT}, status="ready", error=error)
+            return _state(**described, status=status, error=error, **counts)
+
+        return self.log.add(described["corpus_id"], state) | described | counts | {"status": status, "error": error}
 
     def _versions(self, corpus_id: str) -> list[str]:
         fs, path = filesystem(self.spark, f"{self.folder}/utterances/corpus_id={corpus_id}")
@@ -298,8 +308,37 @@ class Store:
         return self.ingest_all(names.without_repeated(children))
 
     def delete(self, corpus_id: str) -> None:
+        """Take a corpus out of the catalog; its files go when they are swept."""
         self.note(corpus_id=corpus_id, name="", source_path="", status="deleted")
-        self._drop(corpus_id, self._versions(corpus_id))
+
+    def sweep(self, keep: float = 7 * 86_400) -> list[tuple[str, str]]:
+        """Delete versions that have not counted for ``keep`` seconds, and what writers left that old; returns (corpus, version).
+
+        ``keep`` must be longer than any reader needs a frame, and any writer to write a corpus.
+        """
+        self.log.refresh()
+        states, before = self.log._states, time.time() - keep
+        until: dict[tuple[str, str], float] = {}
+        last: dict[str, str | None] = {}
+        for row in self.log.history():  # a version counts until the entry that names another one
+            c = row["corpus_id"]
+            if last.get(c) and last[c] != row["version"]:
+                until[c, last[c]] = row["imported_at"]
+            last[c] = row["version"]
+        fs, path = filesystem(self.spark, f"{self.folder}/utterances")
+        corpora = [s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(path)] if fs.exists(path) else []
+        gone = []
+        for c in corpora:
+            for v in self._versions(c):
+                if v != states.get(c, {}).get("version") and until.get((c, v), int(v[1:]) / 1e9) <= before:
+                    self._drop(c, [v])
+                    gone.append((c, v))
+        fs, path = filesystem(self.spark, f"{self.folder}/staging")
+        for s in fs.listStatus(path) if fs.exists(path) else []:
+            if s.getModificationTime() / 1000 <= before:
+                remove(self.spark, s.getPath().toString())
+        self.log.sweep(keep)
+        return gone
 
     def rebuild(self, corpus_id: str) -> dict:
         """Read a corpus again from where it came."""
@@ -317,8 +356,13 @@ class Store:
             self._write(self.table(name, at), name, corpus_id, version)
         last = utterances.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
         self._together(*self._count(utterances.drop("corpus_id"), documents.drop("corpus_id"), old["token_count"], last, corpus_id, version))
-        self.note(**{k: old[k] for k in ("corpus_id", "name", "source_path", "file_count", "document_count", "utterance_count", "token_count")}, status="ready", version=version)
-        self._drop(corpus_id, [old["version"]])
+
+        def state(now: dict | None) -> dict | None:
+            # whoever published in the meantime has counted anew
+            return _state(**{k: now[k] for k in KEPT if k != "version"}, status="ready", version=version) if now and now["version"] == old["version"] else None
+
+        if self.log.add(corpus_id, state) is None:
+            self._drop(corpus_id, [version])
 
     # ---- stopwords
 

@@ -12,6 +12,8 @@ from lexispark.engine import Engine
 from lexispark.jobs import CANCELLED, DONE, FAILED, Jobs
 from lexispark.operators import search
 from lexispark.operators.filters import Filters
+from lexispark.sources import log
+from lexispark.sources.store import Store
 
 
 def talk(doc, n, first=1, **metadata):
@@ -119,6 +121,77 @@ def test_changes(spark, tmp_path):
     assert engine.store.save_stopwords("the, of\nthe 그")["words"] == ["the", "of", "그"] == engine.store.stopwords()["words"]
 
 
+def test_readers_keep_what_they_read(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    file = tmp_path / "k.json"
+    file.write_text(json.dumps({"metadata": {}, "document": [talk("D", 2)]}))
+    corpus = engine.store.ingest(f"file://{file}")["corpus_id"]
+    frame, pinned = engine.store.table("utterances"), engine.store.pinned()
+    old = engine.store.record(corpus)["version"]
+    file.write_text(json.dumps({"metadata": {}, "document": [talk("D", 5)]}))
+    engine.store.rebuild(corpus)
+    assert frame.count() == pinned.table("utterances").count() == 2 and engine.store.table("utterances").count() == 5
+    engine.store.delete(corpus)
+    assert frame.count() == 2 and engine.store.table("utterances").count() == 0
+    assert engine.store.sweep(3600) == [] and frame.count() == 2
+    assert (corpus, old) in engine.store.sweep(0) and engine.store._versions(corpus) == []
+
+
+def test_two_writers(spark, tmp_path):
+    """Both corpora are there, states are in one order, and whoever looks sees the same."""
+    first, second = (Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    for name in "abcd":
+        (tmp_path / f"{name}.json").write_text(json.dumps({"metadata": {}, "document": [talk(name, 3)]}))
+    errors = []
+
+    def write(store, paths):
+        try:
+            for p in paths:
+                store.ingest(f"file://{tmp_path}/{p}.json", p)
+        except BaseException as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=x) for x in ((first, "abd"), (second, "cbd"))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors
+    rows = first.records()
+    assert {r["corpus_id"]: r["status"] for r in rows} == dict.fromkeys("abcd", "ready") and rows == second.records() == Store(spark, f"file://{tmp_path}/store").records()
+    assert first.table("utterances").count() == 12
+    numbers = [r["number"] for r in first.log.history()]
+    assert numbers == list(range(1, len(numbers) + 1))
+
+
+def test_log_of_many_writers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log, "EACH", 7)
+    counted = lambda old: {"k": "x", "n": (old or {"n": 0})["n"] + 1}
+    logs = [log.Log(spark, f"file://{tmp_path}/log", "k") for _ in range(4)]
+    threads = [threading.Thread(target=lambda one=one: [one.add("x", counted) for _ in range(9)]) for one in logs]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert logs[0].refresh()["x"]["n"] == 36  # no writer's step is lost
+    logs[0].sweep(-1)
+    late = log.Log(spark, f"file://{tmp_path}/log", "k")
+    assert late.refresh()["x"]["n"] == 36 and late.last == 36 and late.add("x", counted)["n"] == 37
+    assert late.add("x", lambda old: None) is None and len(list((tmp_path / "log").glob("*.json"))) == 3
+
+
+def test_a_recount_gives_way(spark, tmp_path, monkeypatch):
+    store, other = (Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    file = tmp_path / "k.json"
+    file.write_text(json.dumps({"metadata": {}, "document": [talk("D", 2)]}))
+    corpus = store.ingest(f"file://{file}")["corpus_id"]
+    file.write_text(json.dumps({"metadata": {}, "document": [talk("D", 4)]}))
+    count = store._count
+    monkeypatch.setattr(store, "_count", lambda *a: (other.rebuild(corpus), count(*a))[1])
+    store.recount(corpus)
+    assert store.table("utterances").count() == 4 and store.record(corpus)["utterance_count"] == 4
+
+
 def test_empty_store(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/store")
     assert engine.corpora().count() == 0 and engine.explore_tree().count() == 0 and engine.state()["corpora"] == []
