@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -514,10 +515,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     open_ = len(h) < model.n_words  # words that the table leaves out
     light = Model(None, model.n_words, model.ends, model.tokens, k, model.step, model.sizes)
 
-    def look(part: pa.LargeStringArray):
-        """Hash, class, count of each token, and whether it is in the table; and the offsets."""
+    def look(part: pa.LargeStringArray | np.ndarray):
+        """Hash, class, count of each token of texts, and whether it is in the table; and the offsets. Of hashes the middle three."""
         hashes, n_, cls_ = known.value
-        x, offsets = hashed_words(part)
+        x, offsets = (part, None) if isinstance(part, np.ndarray) else hashed_words(part)
         distinct, back = np.unique(x, return_inverse=True)
         at = np.minimum(np.searchsorted(hashes, distinct), max(0, len(hashes) - 1))
         hit = hashes[at] == distinct if len(hashes) else np.zeros(len(distinct), bool)
@@ -525,7 +526,8 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         num = np.where(hit, n_[at], 0) if len(hashes) else np.zeros(len(distinct), np.int64)
         is_end = distinct == END
         cls, num, hit = np.where(is_end, end, cls), np.where(is_end, light.ends, num), hit | is_end
-        return x, cls[back].astype(np.int64), num[back], hit[back], offsets
+        found = cls[back].astype(np.int64), num[back], hit[back]
+        return found if offsets is None else (x, *found, offsets)
 
     def sums(batches):
         for batch in batches:
@@ -543,54 +545,58 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     kind = rows.schema["key"].dataType.simpleString()
     out = rows.mapInArrow(sums, f"uid long, key {kind}, n_tokens long, n_known long, base_score double, score double")
     if open_:
-        left = _left_open(rows, model, look, light)
+        left = _left_open(rows, model.words.where(step < least), look, light)
         out = out.join(left, F.col("uid") == F.col("r_uid"), "left")
         both = lambda c: (F.col(c) + F.coalesce(f"r_{c}", F.lit(0))).alias(c)
         out = out.select("uid", "key", "n_tokens", both("n_known"), both("base_score"), both("score"))
     return out.select(F.col("key").alias(key), "n_tokens", "n_known", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def _left_open(rows: DataFrame, model: Model, look: Callable, light: Model) -> DataFrame:
-    """Sums by uid over the tokens that the table does not know, and over those after such ones.
+def _left_open(rows: DataFrame, words: DataFrame, look: Callable, light: Model) -> DataFrame:
+    """Sums by uid over the tokens that the table does not know, and over those after such ones; ``words`` has the others that there are.
 
-    Equal terms of a document come as one row. A row that needs no look-up on a side gets a key of its own there, which meets
-    nothing, so such rows are dealt evenly.
+    Equal terms of a document come as one row, which names the open word and the one beside it: that one is looked up again at the end, and
+    joined too only where both are open. The open words are rare where they were learnt, so no key is a large part of all rows.
     """
-    k = model.k
-    end, unknown = k, k + 1
+    k = light.k
+    unknown = k + 1
+    schema = "r_uid long, key long, beside long, side int, times int"
 
     def terms(batches):
         for batch in batches:
             for part, texts in textkit.slices(batch):
-                x, cls, num, hit, offsets = look(texts)
-                first = np.zeros(len(x), dtype=bool)
-                first[offsets[:-1]] = True
-                before, old = _before(cls, offsets, end), _before(hit, offsets, True)
-                prior = _before(x.view(np.int64), offsets, 0)
+                x, _, _, hit, offsets = look(texts)
+                h = x.view(np.int64)
+                old, before = _before(hit, offsets, True), _before(h, offsets, END.view(np.int64))
                 at = np.flatnonzero(~hit | ~old)
                 owner = np.searchsorted(offsets, at, side="right") - 1
-                uid = part.column("uid").to_numpy()[owner]
-                arrays = [uid, prior[at], np.where(old[at], before[at], -1), x[at].view(np.int64), np.where(hit[at], cls[at], -1), num[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], ["r_uid", "ph", "pc", "h", "c", "n"])
-
-    found = rows.mapInArrow(terms, "r_uid long, ph long, pc long, h long, c long, n long").groupBy("r_uid", "ph", "pc", "h", "c", "n").agg(F.count(F.lit(1)).alias("times"))
-    own = lambda c, open_: F.when(open_, F.col(c)).otherwise(F.xxhash64("r_uid", "ph", "h"))
-    found = found.select("*", own("ph", F.col("pc") < 0).alias("ph_key"), own("h", F.col("c") < 0).alias("h_key"))
-    words = model.words
-    found = found.join(words.select(F.col("h").alias("ph_key"), F.col("cls").alias("p_cls")), "ph_key", "left")
-    found = found.join(words.select(F.col("h").alias("h_key"), F.col("n").alias("w_n"), F.col("cls").alias("w_cls")), "h_key", "left")
-    before = F.when(F.col("pc") >= 0, F.col("pc")).otherwise(F.coalesce("p_cls", F.lit(unknown)))
-    cls = F.when(F.col("c") >= 0, F.col("c")).otherwise(F.coalesce("w_cls", F.lit(unknown)))
-    num = F.when(F.col("c") >= 0, F.col("n")).otherwise(F.coalesce("w_n", F.lit(0)))
-    found = found.select("r_uid", "times", before.cast("int").alias("before"), cls.cast("int").alias("cls"), num.cast("long").alias("n"), (F.col("c") < 0).alias("new"))
+                side = np.where(hit[at], 1, np.where(old[at], 0, 2))  # open: the word, the one before, both
+                key, beside = np.where(side == 1, before[at], h[at]), np.where(side == 1, h[at], before[at])
+                order = np.lexsort((beside, key, side, owner))
+                owner, side, key, beside = owner[order], side[order], key[order], beside[order]
+                new = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (beside[1:] != beside[:-1]) | (side[1:] != side[:-1]) | (owner[1:] != owner[:-1])]))
+                times = np.diff(np.append(new, len(key)))
+                arrays = [pa.array(part.column("uid").to_numpy()[owner[new]]), pa.array(key[new]), pa.array(beside[new]), pa.array(side[new], pa.int32()), pa.array(times, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, ["r_uid", "key", "beside", "side", "times"])
+
+    listed = lambda of, n, cls: words.select(F.col("h").alias(of), F.col("n").alias(n), F.col("cls").alias(cls))
+    found = stored(rows.mapInArrow(terms, schema).join(listed("key", "n", "cls"), "key", "left"), "open words")
+    both = found.where(F.col("side") == 2).join(listed("beside", "b_n", "b_cls"), "beside", "left")
+    found = found.where(F.col("side") < 2).withColumns({"b_n": F.lit(None).cast("long"), "b_cls": F.lit(None).cast("int")}).unionByName(both)
 
     def add(batches):
         for batch in batches:
-            uid, times, b, c, n, new = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("r_uid", "times", "before", "cls", "n", "new"))
-            s, base = times * np.log10(light.probability(b, c, n)), np.where(new, times * np.log10(light.base(n)), 0.0)
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(times * (new & (n > 0)), pa.int64()), pa.array(base), pa.array(s)], ["r_uid", "r_n_known", "r_base_score", "r_score"])
-
-    sums = found.mapInArrow(add, "r_uid long, r_n_known long, r_base_score double, r_score double")
+            uid, beside, side, times = (batch.column(c).to_numpy() for c in ("r_uid", "beside", "side", "times"))
+            filled = lambda c, value, batch=batch: pc.fill_null(batch.column(c), value).to_numpy().astype(np.int64)
+            n, cls = filled("n", 0), filled("cls", unknown)
+            c2, n2, hit = look(beside.view(np.uint64))
+            c2, n2 = np.where(hit, c2, filled("b_cls", unknown)), np.where(hit, n2, filled("b_n", 0))
+            # side 1: the open word stands before, and the other one is scored
+            before, word, seen = np.where(side == 1, cls, c2), np.where(side == 1, c2, cls), np.where(side == 1, n2, n)
+            s, base = times * np.log10(light.probability(before, word, seen)), np.where(side == 1, 0.0, times * np.log10(light.base(seen)))
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(times * ((side != 1) & (seen > 0)), pa.int64()), pa.array(base), pa.array(s)], ["r_uid", "r_n_known", "r_base_score", "r_score"])
+
+    sums = found.select("r_uid", "beside", "side", "times", "n", "cls", "b_n", "b_cls").mapInArrow(add, "r_uid long, r_n_known long, r_base_score double, r_score double")
     return sums.groupBy("r_uid").agg(*(F.sum(c).alias(c) for c in ("r_n_known", "r_base_score", "r_score")))
 
 
