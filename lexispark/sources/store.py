@@ -24,11 +24,11 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import legacy_hangul
 from ..operators.lookup import Index
-from ..scratch import filesystem, remove
+from ..scratch import filesystem, new_folder, remove
 from . import formats, names
 from .log import Log
 from . import index as indexed
-from .tables import SCHEMAS, counted_terms, derived, tokenised
+from .tables import SCHEMAS, counted_terms, derived, merged, tokenised
 
 GIVEN = "array<struct<surface:string,lemma:string,pos:string>>"
 _BARE = "doc_id string, utterance_id string, speaker_id string, sequence long, form string, original_form string, time string, start double, end double, note string, category string, topic string, year string, speaker_age string, speaker_sex string, speaker_occupation string, metadata string"
@@ -55,7 +55,12 @@ def corpus_id_of(path: str) -> str:
 def read_files(spark: SparkSession, path: str, asked: bool = False) -> DataFrame:
     """The records of all corpus files under a path, ``entry`` and ``nth`` in the order of a file; each task parses whole files, and gives
     their records in batches. A file is read by Spark, so it may have 2 GB at most; Spark raises an error for larger ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), path, asked)
+
+
+def parsed(files: DataFrame, path: str, asked: bool = False) -> DataFrame:
+    """The records of binary files under a path."""
+    spark = files.sparkSession
     # of a folder's archives only those are opened whose paths ask for it, as of archives within one
     gate = F.lit(asked) | F.col("path").rlike(formats.OPENED)
     wanted = F.lower("path").rlike(r"\.(json|csv|tsv|xml|txt)$") | (F.lower("path").endswith(".zip") & gate)
@@ -83,14 +88,29 @@ def read_files(spark: SparkSession, path: str, asked: bool = False) -> DataFrame
     return files.mapInArrow(run, schema)
 
 
-def numbered(records: DataFrame) -> DataFrame:
-    """Utterances with ``row_id``, their place in the corpus: by file, then by their order in it. The files' starts come from one
-    small count for each file."""
+#: Files up to which their starts are sent to all tasks, some 100 bytes each; beyond they are joined by shuffle.
+SENT_FILES = 100_000
+
+
+def numbered(records: DataFrame, after: int = 0) -> DataFrame:
+    """Utterances with ``row_id``, their place in the corpus: by file, then by their order in it, from ``after`` on.
+
+    The files' starts come from one count for each file: ranges of files are summed, and each range then adds up its own files.
+    """
+    spark = records.sparkSession
     rows = records.where(F.col("utterance").isNotNull())
-    ends = rows.groupBy("file", "entry").agg((F.max("nth") + 1).alias("span"))
-    start = F.sum("span").over(W.orderBy("file", "entry").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("span")
-    starts = ends.select(F.col("file").alias("of"), F.col("entry").alias("at"), start.alias("start"))
-    joined = rows.join(starts, (F.col("file") == F.col("of")) & (F.col("entry") == F.col("at")))
+    spans = rows.groupBy("file", "entry").agg((F.max("nth") + 1).alias("span")).repartitionByRange("file", "entry").withColumn("part", F.spark_partition_id())
+    folder = new_folder(spark)
+    spans.write.parquet(f"{folder}/spans")  # the ranges are drawn by sampling, so they are kept
+    spans = spark.read.parquet(f"{folder}/spans")
+    files, offsets, start = 0, [], after
+    for r in sorted(spans.groupBy("part").agg(F.sum("span").alias("span"), F.count(F.lit(1)).alias("files")).collect()):
+        offsets.append((r["part"], start))
+        start, files = start + r["span"], files + r["files"]
+    ranges = F.broadcast(spark.createDataFrame(offsets, "of_part int, offset long"))
+    running = F.sum("span").over(W.partitionBy("part").orderBy("file", "entry").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("span")
+    starts = spans.join(ranges, F.col("part") == F.col("of_part")).select(F.col("file").alias("of"), F.col("entry").alias("at"), (F.col("offset") + running).alias("start"))
+    joined = rows.join(F.broadcast(starts) if files <= SENT_FILES else starts, (F.col("file") == F.col("of")) & (F.col("entry") == F.col("at")))
     return joined.select((F.col("start") + F.col("nth") + 1).alias("row_id"), "utterance.*")
 
 
@@ -101,13 +121,15 @@ def firsts(records: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     return one.select("x.*")
 
 
+#: Tables to which a batch adds rows; the others are counts, which a batch replaces. A version is named by its parts, joined by "+".
+GROWING = ("utterances", "documents", "speakers", "postings", "grams")
 #: What stays of a state when only the error or the version changes.
-KEPT = ("corpus_id", "name", "source_path", "version", "file_count", "document_count", "utterance_count", "token_count")
+KEPT = ("corpus_id", "name", "source_path", "version", "file_count", "document_count", "utterance_count", "token_count", "batch")
 
 
 def _state(**values) -> dict:
     """A row of the catalog."""
-    blank = {"file_count": 0, "document_count": 0, "utterance_count": 0, "token_count": 0, "error": None, "version": None}
+    blank = {"file_count": 0, "document_count": 0, "utterance_count": 0, "token_count": 0, "error": None, "version": None, "batch": None}
     return blank | values | {"imported_at": time.time()}
 
 
@@ -159,6 +181,7 @@ class Store:
         if corpora is None:
             corpora = [(r["corpus_id"], r["version"]) for r in self.records() if r["status"] == "ready"]
         schema = f"{SCHEMAS[name]}, corpus_id string, version string"
+        corpora = [(c, v) for c, parts in corpora for v in (parts.split("+") if name in GROWING else parts.split("+")[-1:])]
         if not corpora:
             rows = self.spark.createDataFrame([], schema)
         else:
@@ -177,10 +200,11 @@ class Store:
         with ThreadPoolExecutor(len(calls)) as pool:
             return [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(c)) for c in calls]]
 
-    def write(self, corpus_id: str, version: str, utterances: DataFrame, documents: DataFrame, speakers: DataFrame) -> dict:
-        """Write a version of a corpus with its counted tables; returns counts and the error, if it cannot be published.
+    def write(self, corpus_id: str, version: str, utterances: DataFrame, documents: DataFrame, speakers: DataFrame, before: dict[str, DataFrame] | None = None) -> dict:
+        """Write a version of a corpus, or a part of it, with its counted tables; returns counts and the error, if it cannot be published.
 
-        Utterances have all stored columns but tokens; ``provided`` has the tokens as the source gives them.
+        Utterances have all stored columns but tokens; ``provided`` has the tokens as the source gives them. ``before`` has the tables of
+        the parts before, whose counts are merged in.
         """
         for c in ("title", "author", "publisher", "topic", "category"):
             documents = documents.withColumn(c, legacy_hangul(F.col(c)))
@@ -193,24 +217,31 @@ class Store:
         )
         total = F.coalesce(F.sum(F.size("tokens.normalized") + F.size("provided.normalized")), F.lit(0)).alias("token_count")
         counts = rows.agg(F.count(F.lit(1)).alias("utterance_count"), total, F.coalesce(F.max("row_id"), F.lit(0)).alias("last")).first().asDict()
+        twice_in = rows.groupBy("utterance_id").count()
+        if before:
+            known = before["utterances"].join(F.broadcast(rows.select("utterance_id")) if counts["utterance_count"] < SENT_FILES else rows.select("utterance_id"), "utterance_id", "left_semi")
+            twice_in = twice_in.union(known.select("utterance_id", F.lit(2).cast("long")))
         documents, twice, *_ = self._together(
             docs.count,
-            rows.groupBy("utterance_id").count().where("count > 1").limit(1).collect,
-            *self._count(rows, docs, counts["token_count"], counts.pop("last"), corpus_id, version),
+            twice_in.where("count > 1").limit(1).collect,
+            *self._count(rows, docs, counts["token_count"], counts.pop("last"), corpus_id, version, before),
         )
         counts["document_count"] = documents
         error = f"{counts['document_count']} documents without any utterance" if counts["document_count"] and not counts["utterance_count"] else None
         return counts | {"error": f"utterance id {twice[0][0]!r} occurs twice" if twice else error}
 
-    def _count(self, rows: DataFrame, docs: DataFrame, tokens: int, last_row: int, corpus_id: str, version: str) -> list:
+    def _count(self, rows: DataFrame, docs: DataFrame, tokens: int, last_row: int, corpus_id: str, version: str, before: dict[str, DataFrame] | None = None) -> list:
         """Calls that write the counted tables and the search index."""
 
+        def counted(name: str, table: DataFrame) -> None:
+            self._write(merged(name, table, before, rows) if before else table, name, corpus_id, version)
+
         def terms() -> None:
             written = self._write(indexed.postings(rows, tokens, last_row), "postings", corpus_id, version)
-            self._write(counted_terms(written), "token_stats", corpus_id, version)
+            counted("token_stats", counted_terms(written))
 
         grams = lambda: self._write(indexed.grams(rows), "grams", corpus_id, version)
-        return [terms, grams, *(lambda n=n, t=t: self._write(t, n, corpus_id, version) for n, t in derived(rows, docs).items())]
+        return [terms, grams, *(lambda n=n, t=t: counted(n, t) for n, t in derived(rows, docs).items())]
 
     def index(self) -> Index:
         """The search index of all ready corpora."""
@@ -297,6 +328,66 @@ class Store:
         finally:
             remove(self.spark, staged)
 
+    def follow(self, folder: str, corpus_id: str, checkpoint: str, name: str | None = None, files_at_once: int = 1000) -> dict | None:
+        """Add the files of a folder that were not there at the last call to a corpus, some at once; returns its state.
+
+        The checkpoint remembers the files. Each batch adds its rows as a part of its own, and its counts are merged into the counted tables,
+        which costs as much as they and the batch have, not the corpus. A batch that is played again changes nothing. Rows are numbered
+        on in the order of arrival; of documents and speakers the first one counts; an utterance id that is there already is an error, and the
+        corpus stays as it was.
+        """
+        files = self.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_at_once).load(folder)
+        described = {"corpus_id": corpus_id, "name": name or corpus_id, "source_path": folder}
+        stream = files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, n: self._append(described, parsed(rows, folder), n))
+        stream.start().awaitTermination()
+        return self.record(corpus_id)
+
+    def _append(self, described: dict, batch: DataFrame, number: int) -> None:
+        """Publish a batch of records as a further part of a corpus."""
+        corpus_id = described["corpus_id"]
+        staged = f"{self.folder}/staging/{corpus_id}-{time.time_ns()}"
+        try:
+            batch.write.parquet(staged)
+            records = self.spark.read.schema(RECORD).parquet(staged)
+            done = False
+            while not done:
+                old = self.log.refresh().get(corpus_id)
+                old = old if old and old["status"] != "deleted" and old["version"] else None
+                if old and old["batch"] is not None and old["batch"] >= number:
+                    return
+                done = self._append_to(old, described, records, number)
+        finally:
+            remove(self.spark, staged)
+
+    def _append_to(self, old: dict | None, described: dict, records: DataFrame, number: int) -> bool:
+        """False if the corpus has another version by now."""
+        corpus_id, version = described["corpus_id"], f"v{time.time_ns()}"
+        at = [(corpus_id, old["version"])] if old else []
+        before = {t: self.table(t, at).drop("corpus_id") for t in SCHEMAS}
+        new = lambda rows, t, keys: rows.join(before[t].select(*keys), keys, "left_anti") if old else rows
+        last = before["utterances"].agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0] if old else 0
+        documents = new(firsts(records, "document", ["doc_id"]), "documents", ["doc_id"])
+        speakers = new(firsts(records, "speaker", ["doc_id", "speaker_id"]), "speakers", ["doc_id", "speaker_id"])
+        found = self.write(corpus_id, version, numbered(records, last), documents, speakers, before if old else None)
+        files = records.select("file", "entry").distinct().count()
+
+        def state(now: dict | None) -> dict | None:
+            current = now["version"] if now and now["status"] != "deleted" else None
+            if current != (old["version"] if old else None):
+                return None
+            counts = {k: found[k] + (old[k] if old else 0) for k in ("document_count", "utterance_count", "token_count")}
+            parts = f"{current}+{version}" if current else version
+            return _state(**described, **counts, file_count=files + (old["file_count"] if old else 0), status="ready", version=parts, batch=number)
+
+        if found["error"]:
+            self._drop(corpus_id, [version])
+            self._fail(described, "failed", found["error"])
+            raise ValueError(found["error"])
+        if self.log.add(corpus_id, state) is None:
+            self._drop(corpus_id, [version])
+            return False
+        return True
+
     def ingest_all(self, paths: list[str]) -> list[dict]:
         """Several sources one after the other; an error ends the list, as the states of all before it are in the catalog."""
         return [self.ingest(p) for p in paths]
@@ -319,18 +410,18 @@ class Store:
         self.log.refresh()
         states, before = self.log._states, time.time() - keep
         until: dict[tuple[str, str], float] = {}
-        last: dict[str, str | None] = {}
+        last: dict[str, set[str]] = {}
         for row in self.log.history():  # a version counts until the entry that names another one
             c = row["corpus_id"]
-            if last.get(c) and last[c] != row["version"]:
-                until[c, last[c]] = row["imported_at"]
-            last[c] = row["version"]
+            parts = set((row["version"] or "").split("+"))
+            until |= {(c, v): row["imported_at"] for v in last.get(c, set()) - parts}
+            last[c] = parts
         fs, path = filesystem(self.spark, f"{self.folder}/utterances")
         corpora = [s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(path)] if fs.exists(path) else []
         gone = []
         for c in corpora:
             for v in self._versions(c):
-                if v != states.get(c, {}).get("version") and until.get((c, v), int(v[1:]) / 1e9) <= before:
+                if v not in (states.get(c, {}).get("version") or "").split("+") and until.get((c, v), int(v[1:]) / 1e9) <= before:
                     self._drop(c, [v])
                     gone.append((c, v))
         fs, path = filesystem(self.spark, f"{self.folder}/staging")

@@ -66,3 +66,19 @@ def derived(utterances: DataFrame, documents: DataFrame) -> dict[str, DataFrame]
 def counted_terms(postings: DataFrame) -> DataFrame:
     """Every term by kind (raw and provided tokens, lemmas and tags) with its occurrences."""
     return postings.groupBy("kind", "term").agg(F.sum(F.size("rows")).cast("long").alias("count")).sortWithinPartitions("kind", "term")
+
+
+def merged(name: str, batch: DataFrame, before: dict[str, DataFrame], rows: DataFrame) -> DataFrame:
+    """A counted table with a batch's counts added. ``before`` has the tables without the batch, ``rows`` the batch's utterances.
+
+    Counts add up; only the speakers of documents that go on in the batch are counted again, in those documents.
+    """
+    both = before[name].unionByName(batch)
+    keys = {"topic_stats": ("category", "topic"), "token_stats": ("kind", "term"), "value_stats": ("kind", "value")}
+    if name in keys:
+        return both.groupBy(*keys[name]).agg(F.sum("count").alias("count"))
+    on = batch.join(before[name].select("doc_id"), "doc_id", "left_semi").select("doc_id")
+    said = before["utterances"].join(on, "doc_id", "left_semi").select("doc_id", "speaker_id").union(rows.join(on, "doc_id", "left_semi").select("doc_id", "speaker_id"))
+    again = said.distinct().groupBy("doc_id").agg(F.count("speaker_id").alias("again"))
+    summed = both.groupBy("doc_id").agg(F.sum("utterance_count").alias("utterance_count"), F.min("first_sequence").alias("first_sequence"), F.max("last_sequence").alias("last_sequence"), F.max("speaker_count").alias("speaker_count"))
+    return summed.join(again, "doc_id", "left").withColumn("speaker_count", F.coalesce("again", "speaker_count")).drop("again")

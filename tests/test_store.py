@@ -13,7 +13,8 @@ from lexispark.jobs import CANCELLED, DONE, FAILED, Jobs
 from lexispark.operators import search
 from lexispark.operators.filters import Filters
 from lexispark.sources import log
-from lexispark.sources.store import Store
+from lexispark.sources.store import Store, numbered, read_files
+from lexispark.sources.tables import SCHEMAS
 
 
 def talk(doc, n, first=1, **metadata):
@@ -192,6 +193,54 @@ def test_a_recount_gives_way(spark, tmp_path, monkeypatch):
     assert store.table("utterances").count() == 4 and store.record(corpus)["utterance_count"] == 4
 
 
+def tables(store, corpus):
+    """All tables of a corpus but for the index, whose entries follow the parts."""
+    out = {}
+    for name in SCHEMAS:
+        df = store.table(name).where(F.col("corpus_id") == corpus).drop("corpus_id")
+        if name == "postings":
+            df = df.select("kind", "term", F.explode(F.arrays_zip("rows", "at")).alias("x")).select("kind", "term", "x.*")
+        if name == "grams":
+            df = df.select("gram", F.explode("blocks").alias("b")).distinct()
+        out[name] = sorted(str(r.asDict(True)) for r in df.collect())
+    return out
+
+
+def test_batches_give_the_tables_of_one_ingest(spark, tmp_path):
+    folder = tmp_path / "in" / "f"
+    folder.mkdir(parents=True)
+    store, whole = (Store(spark, f"file://{tmp_path}/{x}") for x in ("store", "whole"))
+    documents = [[talk("A", 3)], [talk("B", 2), talk("A", 2, 7, title="late", speaker=[{"id": "9"}])], [talk("C", 1), talk("A", 1, 20)]]
+    for k, docs in enumerate(documents):
+        (folder / f"{k}.json").write_text(json.dumps({"metadata": {"category": f"c{k % 2}", "year": "2020"}, "document": docs}))
+        state = store.follow(f"file://{folder}", "x", f"file://{tmp_path}/check")
+        assert state["file_count"] == k + 1 and state["status"] == "ready"
+    want = whole.ingest(f"file://{folder}", "x")
+    assert tables(store, "x") == tables(whole, "x")
+    assert all(state[c] == want[c] for c in ("document_count", "utterance_count", "token_count"))
+    assert store.follow(f"file://{folder}", "x", f"file://{tmp_path}/check")["number"] == state["number"]  # nothing new
+    records = read_files(spark, f"file://{folder}/2.json")
+    store._append({"corpus_id": "x", "name": "x", "source_path": "x"}, records, 2)  # the last batch again
+    assert store.record("x")["number"] == state["number"]
+    with pytest.raises(ValueError, match="twice"):
+        store._append({"corpus_id": "x", "name": "x", "source_path": "x"}, records, 3)
+    assert store.record("x")["version"] == state["version"] and tables(store, "x") == tables(whole, "x")
+    page = Engine(spark, f"file://{tmp_path}/store").search(search.Request("word7"))
+    assert [r["utterance_id"] for r in page.rows.collect()] == ["A.7"]
+    store.recount("x")
+    assert tables(store, "x") == tables(whole, "x") and "+" not in store.record("x")["version"]
+    assert len(store.sweep(0)) == 3 and tables(store, "x") == tables(whole, "x")
+
+
+def test_rows_are_numbered_by_file_and_place(spark):
+    rows = [(f"f{k:02}", e, n, {"form": f"{k}.{e}.{n}"}) for k in range(40) for e in range(2) for n in range(k % 3)]
+    records = spark.createDataFrame([(f, e, n, json.dumps(u)) for f, e, n, u in rows], "file string, entry long, nth long, u string").select("file", "entry", "nth", F.from_json("u", "form string").alias("utterance")).repartition(7)
+    got = numbered(records, 100)
+    assert [(r["row_id"], r["form"]) for r in got.orderBy("row_id").collect()] == [(101 + k, u["form"]) for k, (*_, u) in enumerate(rows)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(part" in plan and numbered(records.limit(0)).count() == 0
+
+
 def test_empty_store(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/store")
     assert engine.corpora().count() == 0 and engine.explore_tree().count() == 0 and engine.state()["corpora"] == []
