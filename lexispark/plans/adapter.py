@@ -92,9 +92,9 @@ def _publish(store: Store, spark: SparkSession, sf_dir: str) -> None:
     metadata = lambda rows, kind: _filled(rows, *blank).withColumn("metadata", F.lit(f'{{"sourceFormat": "{kind}"}}'))
     speakers = _filled(who, *rest).withColumn("metadata", F.to_json(F.struct(F.col("speaker_id").alias("id"), "age", "sex")))
     described = lambda c: {"corpus_id": c, "name": c, "source_path": f"{sf_dir}/{c}"}
-    for row in (
-        store.publish(described("conv"), conv, metadata(talks, "nikl-dialogue"), speakers, 1),
-        store.publish(described("docs"), paragraphs(spark, sf_dir), metadata(texts, "nikl-paragraph-json"), speakers.limit(0), 1),
+    for row in store.together(
+        lambda: store.publish(described("conv"), conv, metadata(talks, "nikl-dialogue"), speakers, 1),
+        lambda: store.publish(described("docs"), paragraphs(spark, sf_dir), metadata(texts, "nikl-paragraph-json"), speakers.limit(0), 1),
     ):
         if row["status"] != "ready":
             raise ValueError(row["error"])

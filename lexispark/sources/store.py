@@ -195,7 +195,7 @@ class Store:
         rows.select(*fields).write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS.get(table, 20_000)).parquet(path)
         return self.spark.read.schema(SCHEMAS[table]).parquet(path)
 
-    def _together(self, *calls):
+    def together(self, *calls):
         """Results of calls that run beside each other, as many of them are too small to keep a cluster busy; they belong to the caller's job."""
         with ThreadPoolExecutor(len(calls)) as pool:
             return [f.result() for f in [pool.submit(inheritable_thread_target(self.spark)(c)) for c in calls]]
@@ -210,7 +210,7 @@ class Store:
             documents = documents.withColumn(c, legacy_hangul(F.col(c)))
         for c in ("topic", "category"):
             utterances = utterances.withColumn(c, legacy_hangul(F.col(c)))
-        rows, docs, _ = self._together(
+        rows, docs, _ = self.together(
             lambda: self._write(tokenised(utterances).sortWithinPartitions("row_id"), "utterances", corpus_id, version),
             lambda: self._write(documents, "documents", corpus_id, version),
             lambda: self._write(speakers, "speakers", corpus_id, version),
@@ -221,7 +221,7 @@ class Store:
         if before:
             known = before["utterances"].join(F.broadcast(rows.select("utterance_id")) if counts["utterance_count"] < SENT_FILES else rows.select("utterance_id"), "utterance_id", "left_semi")
             twice_in = twice_in.union(known.select("utterance_id", F.lit(2).cast("long")))
-        documents, twice, *_ = self._together(
+        documents, twice, *_ = self.together(
             docs.count,
             twice_in.where("count > 1").limit(1).collect,
             *self._count(rows, docs, counts["token_count"], counts.pop("last"), corpus_id, version, before),
@@ -446,7 +446,7 @@ class Store:
         for name in ("utterances", "documents", "speakers"):
             self._write(self.table(name, at), name, corpus_id, version)
         last = utterances.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
-        self._together(*self._count(utterances.drop("corpus_id"), documents.drop("corpus_id"), old["token_count"], last, corpus_id, version))
+        self.together(*self._count(utterances.drop("corpus_id"), documents.drop("corpus_id"), old["token_count"], last, corpus_id, version))
 
         def state(now: dict | None) -> dict | None:
             # whoever published in the meantime has counted anew
