@@ -45,7 +45,7 @@ HEAVY_RANGE, HEAVY_COUNT = -1, (1 << 31) - 1
 #: Ranges up to which each is given a task of its own.
 EVEN_RANGES = 100_000
 #: Ranges that a task deals to; more are dealt in two steps, to some hundred of neighbouring ranges first. Shingles that a task packs at once.
-FAN, PACKED = 1000, 1_000_000
+FAN, PACKED = 1000, 300_000
 #: Classes of one posting that are compared in one block.
 BLOCK = 2000
 LOW48 = np.uint64((1 << 48) - 1)
@@ -208,11 +208,17 @@ def deal(batches, seed: int, keys: np.ndarray, heavy: np.ndarray, width: int, sa
         yield packed()
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, token and place within the first step's range of each shingle."""
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class, low and high part of the token, and place within the first step's range of each shingle."""
     joined = lambda c, t: np.frombuffer(b"".join(x.as_buffer() for x in table.column(c)), dtype=t)
-    cls = np.repeat(joined("who", np.int64), joined("times", np.uint32))
-    return cls, joined("low", np.uint32).astype(np.uint64) | (joined("high", np.uint16).astype(np.uint64) << np.uint64(32)), joined("sub", np.uint32).astype(np.int64)
+    return np.repeat(joined("who", np.int64), joined("times", np.uint32)), joined("low", np.uint32), joined("high", np.uint16), joined("sub", np.uint32)
+
+
+def _token(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    token = high.astype(np.uint64)
+    token <<= np.uint64(32)
+    token |= low
+    return token
 
 
 def _dealt(rows: DataFrame, seed: int, keys: np.ndarray, heavy: np.ndarray) -> DataFrame:
@@ -225,9 +231,10 @@ def _dealt(rows: DataFrame, seed: int, keys: np.ndarray, heavy: np.ndarray) -> D
         yield from deal(batches, seed, keys, heavy, width, TaskContext.get().partitionId())
 
     def again(key: tuple, table: pa.Table) -> pa.Table:
-        coarse, (cls, token, sub) = key[0].as_py(), _unpacked(table)
+        coarse, (cls, low, high, sub) = key[0].as_py(), _unpacked(table)
+        sub = sub.astype(np.int64)
         at = -1 - ((-1 - coarse) * width + sub) if coarse < 0 else keys[coarse * width + sub]
-        return pa.Table.from_batches([_batch(list(_pack(at, cls, token)), 0)])
+        return pa.Table.from_batches([_batch(list(_pack(at, cls, _token(low, high))), 0)])
 
     out = rows.select("text").mapInArrow(run, DEALT)
     return out if width == 1 else out.groupBy("range", F.pmod("salt", F.lit(width)).alias("part")).applyInArrow(again, DEALT)
@@ -258,12 +265,11 @@ def _common(dealt: DataFrame, keys: np.ndarray) -> DataFrame:
 
     def count(key: tuple, table: pa.Table) -> pa.Table:
         at = key[0].as_py()
-        whole_cls, whole, _ = _unpacked(table)
-        whole = whole.view(np.int64)
+        whole, low, high, _ = _unpacked(table)
         found = []
         for part in range(PARTS):  # sorted in parts, as sorting takes several times the memory of the input
-            here = whole % PARTS == part
-            cls, token = whole_cls[here], whole[here]
+            here = low % PARTS == part
+            cls, token = whole[here], _token(low[here], high[here]).view(np.int64)
             order = np.lexsort((cls, token))
             cls, token = cls[order], token[order]
             new = np.ones(len(token), dtype=bool)
