@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -32,15 +34,34 @@ class Request:
     limit: int = 100
     offset: int = 0
     filters: Filters = Filters()
+    #: The cursor of the page before; with it the search starts behind that page, and ``offset`` counts from there.
+    after: str | None = None
 
 
 @dataclass
 class Page:
-    """One page of results, whether there are more, and warnings."""
+    """One page of results, whether there are more, warnings, and the cursor that the next page starts from."""
 
     rows: DataFrame | None
     has_more: bool = False
     warnings: list[str] = field(default_factory=list)
+    cursor: str | None = None
+
+
+def cursor_of(row) -> str:
+    """A result's place in the order of all results, as an opaque text."""
+    return base64.urlsafe_b64encode(json.dumps([row[c] for c in ORDER]).encode()).decode()
+
+
+def behind(cursor: str) -> Column:
+    """Whether a result comes after a cursor; ranges of corpus and row ids, which the scan can use. Raises ValueError if it is none."""
+    try:
+        corpus, row, nth = json.loads(base64.urlsafe_b64decode(cursor.encode()))
+        row, nth = int(row), int(nth)
+    except (ValueError, TypeError) as e:
+        raise ValueError(f"not a cursor: {cursor!r}") from e
+    same = F.col("corpus_id") == corpus
+    return (F.col("corpus_id") > corpus) | (same & (F.col("row_id") > row)) | (same & (F.col("row_id") == row) & (F.col("ordinal") > nth))
 
 
 @dataclass
@@ -150,7 +171,10 @@ def page(utterances: DataFrame, token_stats: DataFrame, request: Request, index:
     if hits is None:
         return None, None, warnings
     span = [c for c in ("s", "e") if hits.shown is None]
-    chosen = (hits.rows if hits.keys is None else hits.keys).select(*ORDER, *span).orderBy(*ORDER).offset(request.offset).limit(request.limit + 1)
+    found = hits.rows if hits.keys is None else hits.keys
+    if request.after is not None:
+        found = found.where(behind(request.after))
+    chosen = found.select(*ORDER, *span).orderBy(*ORDER).offset(request.offset).limit(request.limit + 1)
     if request.limit < KEYED_ROWS:
         found = chosen.collect()
         chosen = utterances.sparkSession.createDataFrame(found, chosen.schema)
@@ -166,7 +190,8 @@ def search(utterances: DataFrame, token_stats: DataFrame, request: Request, inde
     if hits is None:
         return Page(None, False, warnings)
     found = rows.collect()
-    return Page(utterances.sparkSession.createDataFrame(found[: request.limit], rows.schema), len(found) > request.limit, warnings)
+    more = len(found) > request.limit
+    return Page(utterances.sparkSession.createDataFrame(found[: request.limit], rows.schema), more, warnings, cursor_of(found[request.limit - 1]) if more and request.limit else None)
 
 
 def export_rows(hits: Hits, corpora: DataFrame) -> DataFrame:

@@ -53,8 +53,8 @@ def corpus_id_of(path: str) -> str:
 
 
 def read_files(spark: SparkSession, path: str, asked: bool = False) -> DataFrame:
-    """The records of all corpus files under a path, ``entry`` and ``nth`` in the order of a file; each task parses whole files, and gives
-    their records in batches. A file is read by Spark, so it may have 2 GB at most; Spark raises an error for larger ones."""
+    """The records of all corpus files under a path, ``entry`` and ``nth`` in the order of a file; each task parses whole files or
+    entries of archives, and gives their records in batches. A file is read by Spark, so it may have 2 GB at most; Spark raises an error for larger ones."""
     return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), path, asked)
 
 
@@ -71,21 +71,30 @@ def parsed(files: DataFrame, path: str, asked: bool = False) -> DataFrame:
     fs, at = filesystem(spark, path)
     root = fs.getFileStatus(at).getPath().getParent().toString().rstrip("/") + "/"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each entry of each archive, one entry at a time."""
         for batch in batches:
             for full, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                name = full.removeprefix(root)
-                for entry, (inner, data) in enumerate(formats.entries(name, content.as_py())):
-                    rows = []
-                    for nth, (kind, values) in enumerate(formats.parse(inner, data, asked)):
-                        rows.append({"file": inner, "entry": entry, "nth": nth, kind: values})
-                        if len(rows) == BATCH:
-                            yield pa.RecordBatch.from_pylist(rows, arrow)
-                            rows = []
-                    if rows:
-                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                for entry, (inner, data) in enumerate(formats.entries(full.removeprefix(root), content.as_py())):
+                    yield pa.RecordBatch.from_arrays([pa.array([inner]), pa.array([entry], pa.int64()), pa.array([data], pa.binary())], ["file", "entry", "content"])
 
-    return files.mapInArrow(run, schema)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for inner, entry, content in zip(batch.column("file").to_pylist(), batch.column("entry").to_pylist(), batch.column("content"), strict=True):
+                rows = []
+                for nth, (kind, values) in enumerate(formats.parse(inner.removeprefix(root), content.as_py(), asked)):
+                    rows.append({"file": inner.removeprefix(root), "entry": entry, "nth": nth, kind: values})
+                    if len(rows) == BATCH:
+                        yield pa.RecordBatch.from_pylist(rows, arrow)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    zipped = F.lower("path").endswith(".zip")
+    alone = files.where(~zipped).select(F.col("path").alias("file"), F.lit(0).cast("long").alias("entry"), "content")
+    # an archive is unpacked by one task, and its entries are dealt to all: parsing costs far more
+    entries = files.where(zipped).mapInArrow(unpack, "file string, entry long, content binary").repartition("file", "entry")
+    return alone.union(entries).mapInArrow(parse, schema)
 
 
 #: Files up to which their starts are sent to all tasks, some 100 bytes each; beyond they are joined by shuffle.

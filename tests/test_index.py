@@ -169,3 +169,24 @@ def test_look_ups_read_some_pages_only(spark, tmp_path):
         assert scanned(hits.rows.select("row_id", "form")) < 0.5 * len(lines), request
         slow, _ = search.matched(stored, terms, request)
         assert scanned(slow.rows.select("row_id", "form")) == len(lines)
+
+
+@pytest.mark.parametrize("request_", [search.Request("of", limit=7), search.Request("eagul", limit=5), search.Request('[text="of"] []{0,2} [text="of"]', mode="cql", limit=9), search.Request("sea|the", mode="regex", limit=40)])
+def test_pages_by_cursor_are_pages_by_offset(spark, request_):
+    from dataclasses import replace
+
+    rows = rows_of(spark, 90).cache()
+    stats_, index = token_stats(rows).cache(), index_of(rows)
+    hits, _ = search.matched(rows, stats_, request_)
+    want = [tuple(r) for r in hits.rows.orderBy(*search.ORDER).select("row_id", "ordinal").collect()]
+    got, request, pages = [], request_, 0
+    while True:
+        page = search.search(rows, stats_, request, index)
+        got += [tuple(r) for r in page.rows.orderBy(*search.ORDER).select("row_id", "ordinal").collect()]
+        pages += 1
+        if not page.has_more:
+            break
+        request = replace(request_, after=page.cursor)
+    assert got == want and pages == max(1, -(-len(want) // request_.limit))
+    with pytest.raises(ValueError, match="not a cursor"):
+        search.search(rows, stats_, replace(request_, after="!!"), index)

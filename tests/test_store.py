@@ -232,6 +232,24 @@ def test_batches_give_the_tables_of_one_ingest(spark, tmp_path):
     assert len(store.sweep(0)) == 3 and tables(store, "x") == tables(whole, "x")
 
 
+def test_entries_of_an_archive_are_dealt_to_tasks(spark, tmp_path):
+    for form in ("zip", "plain"):
+        (tmp_path / form).mkdir()
+    with zipfile.ZipFile(tmp_path / "zip" / "z.zip", "w") as z:
+        for k in range(30):
+            text = json.dumps({"document": [talk(f"D{k}", k % 4)]})
+            z.writestr(f"{k:02}.json", text)
+            (tmp_path / "plain" / f"{k:02}.json").write_text(text)
+    got, want = (read_files(spark, f"file://{tmp_path}/{x}", True).select("nth", "document.doc_id", "utterance.utterance_id", "utterance.form").collect() for x in ("zip/z.zip", "plain"))
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) > 60
+    entries = read_files(spark, f"file://{tmp_path}/zip/z.zip", True)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert entries.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_rows_are_numbered_by_file_and_place(spark):
     rows = [(f"f{k:02}", e, n, {"form": f"{k}.{e}.{n}"}) for k in range(40) for e in range(2) for n in range(k % 3)]
     records = spark.createDataFrame([(f, e, n, json.dumps(u)) for f, e, n, u in rows], "file string, entry long, nth long, u string").select("file", "entry", "nth", F.from_json("u", "form string").alias("utterance")).repartition(7)
