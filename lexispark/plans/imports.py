@@ -34,12 +34,12 @@ def turn_id() -> Column:
     return F.concat_ws(".", F.lit("C"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
 
-def talks(spark: SparkSession, d: str) -> DataFrame:
-    """One JSON document for each conversation, with given tokens."""
+def talks(spark: SparkSession, d: str, turns: str = "true") -> DataFrame:
+    """One JSON document for each conversation (or for some of its turns), with given tokens."""
     words = F.filter(F.split("text", r"[ \n]+", -1), lambda w: w != "")
     tokens = F.transform(words, lambda w: F.struct(w.alias("orth"), F.concat(F.lit("x"), w).alias("lexeme"), F.length(w).cast("string").alias("tag")))
     said = F.struct(F.col("turn").alias("turn"), turn_id().alias("id"), F.col("role").alias("speaker_id"), F.col("text").alias("form"), tokens.alias("words"))
-    rows = conversations(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("utterance"))
+    rows = conversations(spark, d).where(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("utterance"))
     who = F.array(*(F.struct(F.lit(r).alias("id"), F.lit(a).alias("age"), F.lit(s).alias("sex")) for r, a, s in (("user", "20", "F"), ("assistant", "", "M"))))
     about = F.struct(F.concat(F.lit("talk "), F.col("conv_id").cast("string")).alias("title"), F.concat(F.lit("topic"), (F.col("conv_id") % 5).cast("string")).alias("topic"), who.alias("speaker"))
     return rows.select("conv_id", F.col("conv_id").cast("string").alias("id"), about.alias("metadata"), "utterance")
@@ -79,6 +79,24 @@ def ingest_nested_json(spark, d):
     return ingested(outer, "json").table("utterances").select("doc_id", "utterance_id", "topic", "category", "year")
 
 
+@register(
+    "ingest_stream",
+    """SELECT CAST(conv_id AS VARCHAR) AS doc_id, count(*) AS utterance_count, CAST(1 AS BIGINT) AS first_sequence, greatest(count(*) FILTER (WHERE turn < 2), count(*) FILTER (WHERE turn >= 2)) AS last_sequence, count(DISTINCT role) AS speaker_count,
+  sum(len(list_filter(regexp_split_to_array(text, '[ \n]+'), lambda w: w <> ''))) AS n_tokens FROM conversations GROUP BY conv_id""",
+)
+def ingest_stream(spark, d):
+    """Conversations that arrive in two batches, each a part of all of them: the counts of the second are added to those of the first."""
+    folder = new_folder(spark)
+    store = Store(spark, f"{folder}/store")
+    files = max(8, conversations(spark, d).count() // 10_000)
+    for name, turns in (("a", "turn < 2"), ("b", "turn >= 2")):
+        rows = in_files(talks(spark, d, turns), F.col("conv_id") % files, category=F.lit("k"), year=F.lit(2020))
+        rows.write.option("maxRecordsPerFile", 1).json(f"{folder}/corpus/{name}")
+        store.follow(f"{folder}/corpus", "talks", f"{folder}/checkpoint")
+    tokens = store.table("utterances").groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("n_tokens"))
+    return store.table("document_stats").join(tokens, "doc_id").select("doc_id", "utterance_count", "first_sequence", "last_sequence", "speaker_count", "n_tokens")
+
+
 @register("ingest_first_wins", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS doc_id, 'talk ' || conv_id AS title, 'first' AS category, 'user' AS speaker_id, '20' AS age FROM conversations")
 def ingest_first_wins(spark, d):
     """Documents and speakers that come again in a later file, otherwise described, are those of the first one."""
