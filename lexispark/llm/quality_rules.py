@@ -117,7 +117,11 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def apply_policy(entries: DataFrame, policy: Policy, column: str = "kept") -> DataFrame:
-    """Append whether the entry fails none of the policy's rules."""
+    """Append whether the entry fails none of the policy's rules; a column of that name is replaced, all others stay.
+
+    Entries come from ``ledger``, where null and empty texts have their bits as any other; all rows stay, repeated ones too, and an empty
+    table gives an empty table.
+    """
     return entries.withColumn(column, F.col("fail_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0)
 
 

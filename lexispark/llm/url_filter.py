@@ -35,7 +35,7 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
 
 
 def _expression(host: Column, path: Column) -> Column:
-    """A rule's identity; a host has no newline after url_host, so it separates host from path."""
+    """A rule's identity. A path is empty or starts with a slash, which no host holds, so a newline before it keeps host and path apart."""
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 

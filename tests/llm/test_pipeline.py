@@ -1,5 +1,6 @@
 import corpus_pipeline
-from cases import no_documents, odd_documents
+from cases import equal_rows, no_documents, odd_documents
+from pyspark.sql import functions as F
 from test_decontamination import slow_leaks
 from test_jaccard import slow_components
 
@@ -87,3 +88,14 @@ def test_no_language_at_all(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.keep_known_languages(spark, docs, SF)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 1, 5]
+
+
+def test_run_on_equal_rows(spark, tmp_path):
+    """A table of equal rows, and one of an id with many texts, with a map beside; every stage takes what the one before has kept."""
+    for name, key in (("rows", None), ("id", 7)):
+        docs = equal_rows(spark, 1000, key).withColumn("m", F.expr("map('k', doc_id)"))
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        kept = sorted(r["doc_id"] for r in out.collect())
+        assert kept == [0 if key is None else 7, 1001, 1002]
