@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.llm import decontamination, jaccard_join, language_id, packing, pii
-from lexispark.llm._base import free_prefix, stored, table
+from lexispark.llm._base import dropped, free_prefix, stored, table
 from lexispark.llm.queries import DEMO_KEY, _learnt
 
 #: Probability from which a language is believed.
@@ -83,5 +83,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        after = stored(stage(spark, docs, sf_dir), name)
+        dropped(docs)  # nothing reads the stage before any more
+        docs = after
     return docs
