@@ -88,7 +88,9 @@ def test_engine(spark, stored, tmp_path):
     with pytest.raises(KeyError):
         engine.document(a, "none")
     state = engine.state()
-    assert state["filters"]["year"] == ["2020", "2021"] and sorted(state["filters"]["corpus_id"]) == sorted([a, b])
+    assert state["filters"]["year"] == ["2020", "2021"] and sorted(state["filters"]["corpus_id"]) == sorted([a, b]) and state["more"] == []
+    short = engine.state(1)
+    assert short["filters"]["year"] == ["2020"] and "year" in short["more"]
     out = engine.export_csv(search.Request("word", mode="regex"), f"file://{tmp_path}/f.csv")
     assert out["row_count"] == 6 and (tmp_path / "f.csv").read_bytes().count(b"\r\n") == 7
 
