@@ -17,7 +17,7 @@ from .patterns import AllOf, AnyOf, Need
 #: Rows or blocks of a query up to which they come to the driver, and ranges of row ids that a scan is given.
 KEYED, RANGES = 20_000, 64
 #: Threes of a literal that are looked up; a term this many times as frequent as the rarest is not looked up beside it.
-THREES, FREQUENT = 16, 64
+THREES, FREQUENT = 8, 64
 
 
 @dataclass(frozen=True)
@@ -78,17 +78,19 @@ def blocks(index: Index, need: Need, filters: Filters) -> DataFrame | None:
     terms = _terms(need)
     if terms is None:
         return None
-    names = sorted(_named(terms))
-    none = F.array().cast("array<long>")
-    entries = index.grams.where(filters.predicate(("corpus_id",)) & F.col("gram").isin(names))
-    held = entries.groupBy("corpus_id", "part").agg(*(F.first(F.when(F.col("gram") == g, F.col("blocks")), ignorenulls=True).alias(f"g{k}") for k, g in enumerate(names)))
+    entries = index.grams.where(filters.predicate(("corpus_id",)) & F.col("gram").isin(sorted(_named(terms))))
+    held = entries.groupBy("corpus_id", "part").agg(F.collect_list(F.struct("gram", "blocks")).alias("held"))
+
+    def of(three: str) -> Column:
+        # a corpus that grew by batches has an entry for each
+        return F.flatten(F.transform(F.filter("held", lambda x: x["gram"] == three), lambda x: x["blocks"]))
 
     def having(t: object) -> Column:
         if isinstance(t, frozenset):
-            return reduce(F.array_intersect, (F.coalesce(f"g{names.index(g)}", none) for g in sorted(t)))
-        return reduce(F.array_intersect if t[0] == "all" else F.array_union, (having(p) for p in t[1]))
+            return reduce(F.array_intersect, map(of, sorted(t)))
+        return reduce(F.array_intersect if t[0] == "all" else F.array_union, map(having, t[1]))
 
-    return held.select("corpus_id", F.explode(having(terms)).alias("block"))
+    return held.select("corpus_id", F.explode(F.array_distinct(having(terms))).alias("block"))
 
 
 def near(utterances: DataFrame, index: Index, need: Need, filters: Filters) -> DataFrame:

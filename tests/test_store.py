@@ -227,8 +227,10 @@ def test_batches_give_the_tables_of_one_ingest(spark, tmp_path):
     with pytest.raises(ValueError, match="twice"):
         store._append({"corpus_id": "x", "name": "x", "source_path": "x"}, records, 3)
     assert store.record("x")["version"] == state["version"] and tables(store, "x") == tables(whole, "x")
-    page = Engine(spark, f"file://{tmp_path}/store").search(search.Request("word7"))
-    assert [r["utterance_id"] for r in page.rows.collect()] == ["A.7"]
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    assert [r["utterance_id"] for r in engine.search(search.Request("word7")).rows.collect()] == ["A.7"]
+    for request in (search.Request("d, en"), search.Request("word\\d+ Sha", mode="regex"), search.Request('[text="shared"] [text="end"]', mode="cql")):  # in all parts
+        assert engine.search(request).rows.count() == state["utterance_count"], request
     store.recount("x")
     assert tables(store, "x") == tables(whole, "x") and "+" not in store.record("x")["version"]
     assert len(store.sweep(0)) == 3 and tables(store, "x") == tables(whole, "x")
