@@ -13,12 +13,23 @@ from ..sources.store import Store
 from .queries import register
 
 
-def ingested(rows: DataFrame, kind: str, **options) -> Store:
-    """Write rows as files of a kind, one JSON object or text a file, and ingest them."""
-    spark = rows.sparkSession
+#: Utterances of a written file, about: a file is parsed whole, so what a task holds must not grow with the tables.
+FILE_ROWS = 500
+
+
+def file_count(rows: DataFrame) -> int:
+    """How many files hold the utterances ``rows``."""
+    return max(1, -(-rows.count() // FILE_ROWS))
+
+
+def ingested(rows: DataFrame | list[DataFrame], kind: str, **options) -> Store:
+    """Write rows as files of a kind, one JSON object or text a file, and ingest them. Of several frames the files of the first come first."""
+    parts = rows if isinstance(rows, list) else [rows]
+    spark = parts[0].sparkSession
     folder = new_folder(spark)
-    writer = rows.write.option("maxRecordsPerFile", 1) if kind in ("json", "text") else rows.write
-    writer.options(**options).format(kind).save(f"{folder}/corpus")
+    for k, part in enumerate(parts, 1):
+        writer = part.write.option("maxRecordsPerFile", 1) if kind in ("json", "text") else part.write
+        writer.options(**options).format(kind).save(f"{folder}/corpus/{k}" if isinstance(rows, list) else f"{folder}/corpus")
     store = Store(spark, f"{folder}/store")
     record = store.ingest(f"{folder}/corpus")
     if record["status"] != "ready":
@@ -45,10 +56,10 @@ def talks(spark: SparkSession, d: str, turns: str = "true") -> DataFrame:
     return rows.select("conv_id", F.col("conv_id").cast("string").alias("id"), about.alias("metadata"), "utterance")
 
 
-def in_files(docs: DataFrame, by: Column, **metadata: Column) -> DataFrame:
-    """JSON files of documents."""
+def in_files(docs: DataFrame, files: int, by: Column, **metadata: Column) -> DataFrame:
+    """JSON files of documents, about so many for all kinds ``by`` together; ``metadata`` may name the kind, k."""
     fields = [c for c in docs.columns if c != "conv_id"]
-    rows = docs.groupBy(by.alias("k")).agg(F.collect_list(F.struct(*fields)).alias("document"))
+    rows = docs.groupBy(by.alias("k"), F.pmod(F.xxhash64("conv_id"), F.lit(files)).alias("file")).agg(F.collect_list(F.struct(*fields)).alias("document"))
     return rows.select(F.struct(*(v.alias(k) for k, v in metadata.items())).alias("metadata"), "document")
 
 
@@ -62,7 +73,7 @@ _TALK_WORDS = "list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <
   CAST(len({_TALK_WORDS}) AS INT) AS n_tokens, array_to_string(list_transform({_TALK_WORDS}, lambda w: 'x' || w || '/' || length(w)), ' ') AS given FROM conversations""",
 )
 def ingest_dialogue_json(spark, d):
-    rows = in_files(talks(spark, d), F.col("conv_id") % 4, category=F.concat(F.lit("k"), F.col("k").cast("string")), year=F.lit(2020))
+    rows = in_files(talks(spark, d), 1, F.col("conv_id") % 4, category=F.concat(F.lit("k"), F.col("k").cast("string")), year=F.lit(2020))
     said = ingested(rows, "json").table("utterances")
     given = F.array_join(F.transform("provided", lambda t: F.concat_ws("/", t["lemma"], t["pos"])), " ")
     return said.select("doc_id", "utterance_id", "speaker_id", "sequence", "form", "topic", "category", "year", "speaker_age", "speaker_sex", F.size("tokens").alias("n_tokens"), given.alias("given"))
@@ -90,7 +101,7 @@ def ingest_stream(spark, d):
     store = Store(spark, f"{folder}/store")
     files = max(8, conversations(spark, d).count() // 10_000)
     for name, turns in (("a", "turn < 2"), ("b", "turn >= 2")):
-        rows = in_files(talks(spark, d, turns), F.col("conv_id") % files, category=F.lit("k"), year=F.lit(2020))
+        rows = in_files(talks(spark, d, turns), 1, F.col("conv_id") % files, category=F.lit("k"), year=F.lit(2020))
         rows.write.option("maxRecordsPerFile", 1).json(f"{folder}/corpus/{name}")
         store.follow(f"{folder}/corpus", "talks", f"{folder}/checkpoint")
     tokens = store.table("utterances").groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("n_tokens"))
@@ -103,8 +114,8 @@ def ingest_first_wins(spark, d):
     docs = talks(spark, d)
     other = F.struct(F.lit("another title").alias("title"), F.lit("t").alias("topic"), F.transform("metadata.speaker", lambda s: F.struct(s["id"].alias("id"), F.lit("99").alias("age"), s["sex"].alias("sex"))).alias("speaker"))
     again = docs.select("conv_id", "id", other.alias("metadata"), F.slice("utterance", 1, 0).alias("utterance"))
-    files = in_files(docs, F.lit(1), category=F.lit("first")).unionByName(in_files(again, F.lit(2), category=F.lit("second")))
-    store = ingested(files.orderBy("metadata.category").coalesce(1), "json")
+    files = file_count(conversations(spark, d))
+    store = ingested([in_files(rows, files, F.lit(1), category=F.lit(name)) for name, rows in (("first", docs), ("second", again))], "json")
     who = store.table("speakers").where("speaker_id = 'user'").select("doc_id", "speaker_id", "age")
     return store.table("documents").select("doc_id", "title", "category").join(who, "doc_id")
 
@@ -232,7 +243,8 @@ def ingest_judgement_table(spark, d):
 def ingest_letters(spark, d):
     """Letters in XML as Spark writes it, so with all escapes that it makes."""
     sent = F.struct(F.col("turn").alias("_page"), F.col("text").alias("_VALUE"))
-    rows = conversations(spark, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(sent)).alias("sent"))
+    said = conversations(spark, d)
+    rows = said.repartition(file_count(said), "conv_id").groupBy("conv_id").agg(F.array_sort(F.collect_list(sent)).alias("sent"))
     number = F.col("conv_id").cast("string")
     rows = rows.select(number.alias("_n"), F.concat(F.lit("W"), number).alias("_writer"), F.concat((F.lit(1600) + F.col("conv_id") % 300).cast("string"), F.lit(" A.D.")).alias("_year"), "sent")
     store = ingested(rows, "xml", rootTag="doc", rowTag="letter")
