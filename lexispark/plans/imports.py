@@ -186,8 +186,11 @@ def ingest_paraphrase_json(spark, d):
 CSV = {"header": True, "quote": '"', "escape": '"'}
 
 
-def as_table(rows: DataFrame, *order: str) -> DataFrame:
-    return ingested(rows.coalesce(1).sortWithinPartitions(*order).drop(*(c for c in order if c.startswith("_"))), "csv", **CSV).table("utterances")
+def as_table(rows: DataFrame, files: int, *order: str) -> DataFrame:
+    """The stored utterances of rows that are written as so many tables, each with a range of the first column of their order, which is the
+    document's: a document's sentences are numbered within a file."""
+    parts = rows.repartitionByRange(files, order[0]).sortWithinPartitions(*order)
+    return ingested(parts.drop(*(c for c in order if c.startswith("_"))), "csv", **CSV).table("utterances")
 
 
 @register(
@@ -198,7 +201,7 @@ def ingest_sentence_table(spark, d):
     """Documents by sentence ids, and speakers as loose JSON."""
     who = F.when(F.col("role") == "user", F.lit("{id: 'S', age: 50, /* and */}"))
     rows = conversations(spark, d).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), turn_id().alias("sentence_id"), F.col("text").alias("sentence"), F.lit("20191231").alias("date"), F.concat(F.lit("topic"), (F.col("conv_id") % 5).cast("string")).alias("topic"), who.alias("speaker"))
-    return as_table(rows, "_c", "_t").select("doc_id", "utterance_id", "sequence", "form", "year", "category", "topic", "speaker_id", "speaker_age")
+    return as_table(rows, 1, "_c", "_t").select("doc_id", "utterance_id", "sequence", "form", "year", "category", "topic", "speaker_id", "speaker_age")
 
 
 @register(
@@ -206,13 +209,14 @@ def ingest_sentence_table(spark, d):
     f"SELECT 'C.' || conv_id AS doc_id, 'C.' || conv_id || '.' || turn AS utterance_id, {_CLEAN} AS form, '1' AS note, array_to_string(list_transform({_TALK_WORDS}, lambda w, i: 'x' || w || '/' || i), ' ') AS given FROM conversations",
 )
 def ingest_annotation_table(spark, d):
-    """A row for each word; consecutive rows of a sentence are one utterance with its given tokens."""
+    """A row for each word; consecutive rows of a sentence are one utterance with its given tokens. The first two of them repeat the sentence: if all
+    did, a file would grow with the square of a sentence's length."""
     words = F.filter(F.split("text", r"[ \n]+", -1), lambda w: w != "")
     rows = conversations(spark, d).select("conv_id", "turn", "text", F.posexplode(words).alias("at", "word"))
     number = (F.col("at") + 1).cast("string")
-    rows = rows.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("at").alias("_a"), turn_id().alias("sentence_id"), F.col("text").alias("sentence"), number.alias("word_id"), F.col("word").alias("word_form"), number.alias("label"), F.concat(F.lit("x"), "word").alias("lemma"))
+    rows = rows.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("at").alias("_a"), turn_id().alias("sentence_id"), F.when(F.col("at") < 2, F.col("text")).alias("sentence"), number.alias("word_id"), F.col("word").alias("word_form"), number.alias("label"), F.concat(F.lit("x"), "word").alias("lemma"))
     given = F.array_join(F.transform("provided", lambda t: F.concat_ws("/", t["lemma"], t["pos"])), " ")
-    return as_table(rows, "_c", "_t", "_a").select("doc_id", "utterance_id", "form", "note", given.alias("given"))
+    return as_table(rows, file_count(conversations(spark, d)), "_c", "_t", "_a").select("doc_id", "utterance_id", "form", "note", given.alias("given"))
 
 
 @register(
@@ -222,7 +226,8 @@ def ingest_annotation_table(spark, d):
 def ingest_paraphrase_table(spark, d):
     rows = items(spark, d).select(F.col("item_id").alias("_i"), F.concat(F.lit("a.b."), F.col("item_id").cast("string")).alias("sentence_id"), F.col("text").alias("form"), F.lit("by hand").alias("generation"), F.when(F.col("item_id") % 2 == 1, F.col("item_id").cast("string")).alias(" "))
     # the unnamed column: Spark writes its name as a blank, which the header then trims
-    return as_table(rows.withColumnRenamed(" ", ""), "_i").select("doc_id", "utterance_id", "form", "note")
+    # one table, as all its sentences are one document's and numbered on; the benchmark has some hundred items
+    return as_table(rows.withColumnRenamed(" ", ""), 1, "_i").select("doc_id", "utterance_id", "form", "note")
 
 
 @register(
@@ -233,7 +238,7 @@ def ingest_judgement_table(spark, d):
     rows = spark.read.parquet(f"{d}/labels.parquet").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     name = F.concat(F.lit("L."), F.col("doc_id").cast("string"))
     rows = rows.select(F.col("doc_id").alias("_d"), name.alias("document_id"), F.concat(name, F.lit(".s.1")).alias("sent_id"), F.col("quality").alias("acceptability_label"), F.when(F.col("toxic") == 1, "*").alias("source_annotation"), F.concat(F.lit("Sentence "), name).alias("sentence"))
-    return as_table(rows, "_d").select("doc_id", "utterance_id", "category", "note")
+    return as_table(rows, file_count(rows), "_d").select("doc_id", "utterance_id", "category", "note")
 
 
 @register(

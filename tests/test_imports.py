@@ -12,7 +12,7 @@ from lexispark.plans import imports
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["ingest_first_wins"])
+@pytest.mark.parametrize("name", ["ingest_first_wins", "ingest_annotation_table"])
 def test_files_do_not_grow(spark, monkeypatch, name):
     made = []
 
@@ -33,3 +33,16 @@ def test_files_do_not_grow(spark, monkeypatch, name):
     files = Counter(json.loads(r[0])["sourceFile"] for r in made[0].table("utterances").select("metadata").collect())
     # of 87 utterances; a conversation is never cut
     assert len(files) > 4 and max(files.values()) < 30
+
+
+def test_a_sentence_is_not_repeated_for_each_word(spark, monkeypatch):
+    sizes = []
+    was = imports.ingested
+
+    def watched(rows, kind, **options):
+        sizes.append(sum(len(r[0] or "") for r in rows.select("sentence").collect()))
+        return was(rows, kind, **options)
+
+    monkeypatch.setattr(imports, "ingested", watched)
+    imports.ingest_annotation_table(spark, SMALL)
+    assert sizes[0] <= 2 * sum(len(r[0]) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("text").collect())
