@@ -73,7 +73,8 @@ _TALK_WORDS = "list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <
   CAST(len({_TALK_WORDS}) AS INT) AS n_tokens, array_to_string(list_transform({_TALK_WORDS}, lambda w: 'x' || w || '/' || length(w)), ' ') AS given FROM conversations""",
 )
 def ingest_dialogue_json(spark, d):
-    rows = in_files(talks(spark, d), 1, F.col("conv_id") % 4, category=F.concat(F.lit("k"), F.col("k").cast("string")), year=F.lit(2020))
+    files = file_count(conversations(spark, d))
+    rows = in_files(talks(spark, d), -(-files // 4), F.col("conv_id") % 4, category=F.concat(F.lit("k"), F.col("k").cast("string")), year=F.lit(2020))
     said = ingested(rows, "json").table("utterances")
     given = F.array_join(F.transform("provided", lambda t: F.concat_ws("/", t["lemma"], t["pos"])), " ")
     return said.select("doc_id", "utterance_id", "speaker_id", "sequence", "form", "topic", "category", "year", "speaker_age", "speaker_sex", F.size("tokens").alias("n_tokens"), given.alias("given"))
