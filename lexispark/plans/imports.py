@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import filesystem, new_folder
@@ -80,13 +81,24 @@ def ingest_dialogue_json(spark, d):
     return said.select("doc_id", "utterance_id", "speaker_id", "sequence", "form", "topic", "category", "year", "speaker_age", "speaker_sex", F.size("tokens").alias("n_tokens"), given.alias("given"))
 
 
+#: Documents of a file of nested ones, which have some five utterances each.
+NESTED_DOCS = FILE_ROWS // 5
+
+
 @register(
     "ingest_nested_json",
     "SELECT (conv_id % 4) || '.' || (CAST(dense_rank() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id) AS VARCHAR)) AS doc_id, 'C.' || conv_id || '.' || turn AS utterance_id, 'topic' || (conv_id % 5) AS topic, 'outer' AS category, '1999' AS year FROM conversations",
 )
 def ingest_nested_json(spark, d):
+    """Inner documents are numbered by their place in an outer one, which has several files: those of its later files have their ids."""
+    k, file = (F.col("conv_id") % 4).alias("k"), F.floor(F.col("conv_id") / (4 * NESTED_DOCS)).alias("file")
+    counted = conversations(spark, d).select("conv_id").distinct().groupBy(k, file).agg(F.count(F.lit(1)).alias("n"))
+    before = counted.select("k", "file", F.coalesce(F.sum("n").over(W.partitionBy("k").orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inner = talks(spark, d).select("conv_id", F.struct(F.col("conv_id").alias("order"), "metadata", "utterance").alias("doc"))
-    outer = inner.groupBy((F.col("conv_id") % 4).alias("k")).agg(F.array_sort(F.collect_list("doc")).alias("document"))
+    outer = inner.groupBy(k, file).agg(F.array_sort(F.collect_list("doc")).alias("document")).join(F.broadcast(before), ["k", "file"])
+    name = lambda i: F.when(F.col("before") > 0, F.concat_ws(".", F.col("k").cast("string"), (F.col("before") + i + 1).cast("string")))
+    numbered = F.transform("document", lambda x, i: x.withField("id", name(i)))
+    outer = outer.withColumn("document", numbered)
     outer = outer.select(F.struct(F.lit("1999").alias("year"), F.lit("file").alias("category")).alias("metadata"), F.array(F.struct(F.col("k").cast("string").alias("id"), F.struct(F.lit("outer").alias("category")).alias("metadata"), "document")).alias("document"))
     return ingested(outer, "json").table("utterances").select("doc_id", "utterance_id", "topic", "category", "year")
 
