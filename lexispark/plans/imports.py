@@ -214,7 +214,7 @@ def ingest_sentence_table(spark, d):
     """Documents by sentence ids, and speakers as loose JSON."""
     who = F.when(F.col("role") == "user", F.lit("{id: 'S', age: 50, /* and */}"))
     rows = conversations(spark, d).select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), turn_id().alias("sentence_id"), F.col("text").alias("sentence"), F.lit("20191231").alias("date"), F.concat(F.lit("topic"), (F.col("conv_id") % 5).cast("string")).alias("topic"), who.alias("speaker"))
-    return as_table(rows, 1, "_c", "_t").select("doc_id", "utterance_id", "sequence", "form", "year", "category", "topic", "speaker_id", "speaker_age")
+    return as_table(rows, file_count(rows), "_c", "_t").select("doc_id", "utterance_id", "sequence", "form", "year", "category", "topic", "speaker_id", "speaker_age")
 
 
 @register(
