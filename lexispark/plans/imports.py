@@ -112,9 +112,9 @@ def ingest_stream(spark, d):
     """Conversations that arrive in two batches, each a part of all of them: the counts of the second are added to those of the first."""
     folder = new_folder(spark)
     store = Store(spark, f"{folder}/store")
-    files = max(8, conversations(spark, d).count() // 10_000)
+    files = max(8, file_count(conversations(spark, d)) // 2)  # each batch has a half of the turns
     for name, turns in (("a", "turn < 2"), ("b", "turn >= 2")):
-        rows = in_files(talks(spark, d, turns), 1, F.col("conv_id") % files, category=F.lit("k"), year=F.lit(2020))
+        rows = in_files(talks(spark, d, turns), files, F.lit(1), category=F.lit("k"), year=F.lit(2020))
         rows.write.option("maxRecordsPerFile", 1).json(f"{folder}/corpus/{name}")
         store.follow(f"{folder}/corpus", "talks", f"{folder}/checkpoint")
     tokens = store.table("utterances").groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("n_tokens"))

@@ -12,7 +12,7 @@ from lexispark.plans import imports
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["ingest_first_wins", "ingest_annotation_table", "ingest_dialogue_json", "ingest_nested_json", "ingest_sentence_table"])
+@pytest.mark.parametrize("name", ["ingest_first_wins", "ingest_annotation_table", "ingest_dialogue_json", "ingest_nested_json", "ingest_sentence_table", "ingest_stream"])
 def test_files_do_not_grow(spark, monkeypatch, name):
     made = []
 
