@@ -30,6 +30,8 @@ def ingested(rows: DataFrame | list[DataFrame], kind: str, **options) -> Store:
     folder = new_folder(spark)
     for k, part in enumerate(parts, 1):
         writer = part.write.option("maxRecordsPerFile", 1) if kind in ("json", "text") else part.write
+        # tasks put their files in place, not the driver one by one: the folder is new, so nobody reads it before
+        writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", 2)
         writer.options(**options).format(kind).save(f"{folder}/corpus/{k}" if isinstance(rows, list) else f"{folder}/corpus")
     store = Store(spark, f"{folder}/store")
     record = store.ingest(f"{folder}/corpus")

@@ -42,6 +42,8 @@ def _struct(fields: str) -> str:
 RECORD = f"file string, entry long, nth long, document {_struct(SCHEMAS['documents'])}, speaker {_struct(SCHEMAS['speakers'])}, utterance {_struct(_BARE)[:-1]},provided:{GIVEN}>"
 CATALOG = "corpus_id string, name string, source_path string, status string, imported_at double, version string, file_count long, document_count long, utterance_count long, token_count long, error string"
 BATCH = 2000
+#: Bytes of a parsing task, about, and files.
+TASK_BYTES, TASK_FILES = 32 << 20, 1000
 #: Rows of a page of those tables that are looked up by key.
 PAGE_ROWS = {"utterances": 1000, "postings": 200, "grams": 200}
 
@@ -55,7 +57,11 @@ def corpus_id_of(path: str) -> str:
 def read_files(spark: SparkSession, path: str, asked: bool = False) -> DataFrame:
     """The records of all corpus files under a path, ``entry`` and ``nth`` in the order of a file; each task parses whole files or
     entries of archives, and gives their records in batches. A file is read by Spark, so it may have 2 GB at most; Spark raises an error for larger ones."""
-    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), path, asked)
+    fs, at = filesystem(spark, path)
+    found = fs.getContentSummary(at)
+    # Spark counts 4 MB for opening a file, so many short files would make a task, and a stored part, for every thirty
+    tasks = max(spark.sparkContext.defaultParallelism, found.getLength() // TASK_BYTES, found.getFileCount() // TASK_FILES)
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).coalesce(tasks), path, asked)
 
 
 def parsed(files: DataFrame, path: str, asked: bool = False) -> DataFrame:
@@ -79,16 +85,16 @@ def parsed(files: DataFrame, path: str, asked: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([inner]), pa.array([entry], pa.int64()), pa.array([data], pa.binary())], ["file", "entry", "content"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []  # of several files, where they are short
         for batch in batches:
             for inner, entry, content in zip(batch.column("file").to_pylist(), batch.column("entry").to_pylist(), batch.column("content"), strict=True):
-                rows = []
                 for nth, (kind, values) in enumerate(formats.parse(inner.removeprefix(root), content.as_py(), asked)):
                     rows.append({"file": inner.removeprefix(root), "entry": entry, "nth": nth, kind: values})
                     if len(rows) == BATCH:
                         yield pa.RecordBatch.from_pylist(rows, arrow)
                         rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, arrow)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
     zipped = F.lower("path").endswith(".zip")
     alone = files.where(~zipped).select(F.col("path").alias("file"), F.lit(0).cast("long").alias("entry"), "content")
