@@ -120,12 +120,13 @@ def count(index: Index, kind: str, term: Column, filters: Filters) -> int:
 
 
 def only(utterances: DataFrame, keys: DataFrame, most: int) -> DataFrame:
-    """The utterances of given keys (corpus_id, row_id), of which there are at most ``most``.
+    """The utterances of given keys (corpus_id, row_id), of which there are at most ``most``; all utterances, if that is too many.
 
-    Few keys come to the driver and make ranges of rows, so the scan reads their pages; others are joined.
+    Few keys come to the driver and make ranges of rows, so the scan reads their pages. More lie on nearly all pages, and joining them would
+    shuffle the corpus with all its tokens: whoever asks then looks at the rows for what they must hold.
     """
     if most > KEYED:
-        return utterances.join(keys, ["corpus_id", "row_id"], "left_semi")
+        return utterances
     found = [(r["corpus_id"], r["row_id"]) for r in keys.collect()]
     return utterances.where(within(found)).join(F.broadcast(utterances.sparkSession.createDataFrame(found, "corpus_id string, row_id long")), ["corpus_id", "row_id"], "left_semi")
 

@@ -105,8 +105,8 @@ def term_exists(token_stats: DataFrame, word: Column) -> bool:
 def matched(utterances: DataFrame, token_stats: DataFrame, request: Request, index: Index | None = None) -> tuple[Hits | None, list[str]]:
     """What a request finds, not paged, with ``ordinal`` (of a match in its utterance), and warnings. None: nothing was searched.
 
-    With an index only those utterances are looked at that it cannot rule out, and whole tokens and pairs of tokens are found
-    by their places alone; the result is the same.
+    With an index only those utterances are looked at that it cannot rule out, and the keys of whole tokens and pairs of tokens are found
+    by their places alone; the result is the same. Utterances are scanned and never joined by shuffle.
     """
     query, f = request.query.strip(), request.filters
     if not query:
@@ -131,12 +131,13 @@ def matched(utterances: DataFrame, token_stats: DataFrame, request: Request, ind
     word = normalized(F.lit(query))
     holds = lambda t: t["normalized"].contains(word)
     if term_exists(token_stats, word):
+        found = lambda rows: rows.where(F.array_contains(f"{f.layer}.normalized", word))
         if not index:
-            return one(rows.where(F.array_contains(f"{f.layer}.normalized", word)), holds), []
+            return one(found(rows), holds), []
         keys = lookup.rows_with(index, f.kind, word, f)
         if f.only_corpus:
-            return one(utterances.join(keys, ["corpus_id", "row_id"], "left_semi"), holds, keys.withColumn("ordinal", F.lit(0))), []
-        return one(lookup.only(rows, keys, lookup.count(index, f.kind, word, f)), holds), []
+            return one(found(rows), holds, keys.withColumn("ordinal", F.lit(0))), []
+        return one(found(lookup.only(rows, keys, lookup.count(index, f.kind, word, f))), holds), []
     if len(query) < 3:
         return None, ["the query is shorter than three characters and no token"]
     if index:
@@ -148,9 +149,8 @@ def _by_tokens(rows: DataFrame, query: str, elements: list[cql.Element], layer:
     """The matches of a token pattern."""
     tagged, f, source = layer == "provided", request.filters, layer if layer == "provided" else "raw"
     if index:
-        found = lookup.pairs(index, elements, layer, tagged, f)
-        if found is not None:
-            return Hits(rows.join(found, ["corpus_id", "row_id"]), layer, None, request.context, found if f.only_corpus else None)
+        if f.only_corpus and (found := lookup.pairs(index, elements, layer, tagged, f)) is not None:
+            return Hits(cql.search(rows, query, source), layer, None, request.context, found)
         driven = lookup.by_terms(index, [(kind, term) for kind, _, term in cql.required(elements, layer, tagged)], f)
         if driven is not None:
             rows = lookup.only(rows, *driven)
