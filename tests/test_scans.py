@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexispark.operators import lookup
+from lexispark.operators import lookup, merge
 from lexispark.operators.filters import Filters
 from lexispark.operators.search import Request, matched
 from samples import token_stats, utterances
@@ -27,3 +27,9 @@ def test_frequent_terms_are_scanned(spark, monkeypatch, request_):
     key = ["row_id", "ordinal", *(c for c in ("s", "e") if c in plain.columns)]
     assert sorted(found.select(*key).collect()) == sorted(plain.select(*key).collect()) != []
     assert not {n.nodeName() for n in nodes(found._jdf.queryExecution().optimizedPlan())} & {"Join", "Aggregate", "Window", "RepartitionByExpression"}
+
+
+def test_sentences_are_drawn_without_their_texts(spark):
+    plan = merge.sentences(utterances(spark, [("d", "a", "one"), ("d", "a", "two."), ("d", "b", "three.")]))._jdf.queryExecution().optimizedPlan()
+    windows = [n.output().mkString(" ") for n in nodes(plan) if n.nodeName() == "Window"]
+    assert windows and not any(f"{c}#" in x for x in windows for c in ("text", "form", "label", "utterance_id"))
