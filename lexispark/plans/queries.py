@@ -445,8 +445,19 @@ def csv_export(spark, d):
     engine = Engine(spark, corpus(spark, d).folder)
     path = f"{new_folder(spark)}/found.csv"
     engine.export_csv(search.Request('[text="of"] [text="the"]', mode="cql", context=2), path)
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n", -1)).alias("line", "text"))
-    return whole.where((F.col("line") > 0) & (F.col("text") != "")).select(F.col("line").cast("long").alias("line"), "text")
+    return numbered_lines(spark, path).where((F.col("line") > 0) & (F.col("text") != ""))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, text) of a file's lines from 0, read by blocks of the file: a block's lines follow each other within a task, so the number of its first
+    one gives all."""
+    rows = spark.read.option("lineSep", "\r\n").text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("text"))
+    before, firsts = 0, []
+    for r in sorted(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).collect()):
+        firsts.append((r["block"], before - r["id"]))
+        before += r["n"]
+    ahead = F.broadcast(spark.createDataFrame(firsts, "block long, ahead long"))
+    return rows.join(ahead, "block").select((F.col("id") + F.col("ahead")).alias("line"), "text")
 
 
 @register(

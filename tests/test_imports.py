@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lexispark.plans import imports
+from lexispark.plans.queries import numbered_lines
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -46,3 +47,17 @@ def test_a_sentence_is_not_repeated_for_each_word(spark, monkeypatch):
     monkeypatch.setattr(imports, "ingested", watched)
     imports.ingest_annotation_table(spark, SMALL)
     assert sizes[0] <= 2 * sum(len(r[0]) for r in spark.read.parquet(f"{SMALL}/conversations.parquet").select("text").collect())
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    lines = [f"{k} {'x' * (k % 50)}\r" for k in range(3000)]
+    path = tmp_path / "lines.csv"
+    path.write_bytes("".join(x + "\n" for x in lines).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = numbered_lines(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 4
+        assert sorted(map(tuple, rows.collect())) == [(k, x[:-1]) for k, x in enumerate(lines)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
