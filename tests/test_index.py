@@ -100,6 +100,32 @@ def index_of(rows, tokens=None):
     return Index(token_stats(rows), with_id(indexed.postings(rows.drop("corpus_id"), tokens or many, 400)), with_id(indexed.grams(rows.drop("corpus_id"))))
 
 
+@pytest.mark.parametrize("places", [1, 7, 1000])
+def test_postings_are_all_places_in_order(spark, monkeypatch, places):
+    monkeypatch.setattr(indexed, "PLACES", places)
+    monkeypatch.setattr(indexed, "EMITTED", 5)
+    monkeypatch.setattr(indexed, "TOKENS", 20)
+    rnd = random.Random(places)
+    ids = rnd.sample(range(1, 90), 60)  # in no order
+    word = lambda: rnd.choice(["a", "b", "\U0001f600", "", None])
+    data = [(i, None if i % 9 == 0 else [(word(),) for _ in range(rnd.randint(0, 5))], [(word(), word(), word()) for _ in range(rnd.randint(0, 3))]) for i in ids]
+    rows = spark.createDataFrame(data, "row_id long, tokens array<struct<normalized:string>>, provided array<struct<normalized:string,lemma:string,pos:string>>").coalesce(2)
+    layers = {"raw": (1, 0), "provided": (2, 0), "lemma": (2, 1), "pos": (2, 2)}
+    want = sorted((kind, x[f], r[0], at) for r in data for kind, (c, f) in layers.items() for at, x in enumerate(r[c] or []) if x[f] is not None)
+    got = indexed.postings(rows, 100, 89).collect()
+    assert sorted((r["kind"], r["term"], row, at) for r in got for row, at in zip(r["rows"], r["at"], strict=True)) == want
+    for r in got:
+        assert list(zip(r["rows"], r["at"], strict=True)) == sorted(zip(r["rows"], r["at"], strict=True)) and {row // 18 for row in r["rows"]} == {r["part"]}
+
+
+def test_each_row_of_a_term_lies_in_one_entry(spark, monkeypatch):
+    monkeypatch.setattr(indexed, "PLACES", 5)
+    monkeypatch.setattr(indexed, "EMITTED", 1)
+    rows = utterances(spark, [("d", "s", "sea of sea of sea of sea of sea") for _ in range(30)])
+    entries = indexed.postings(rows, 270, 30).where("kind = 'raw' AND term = 'sea'").collect()
+    assert sorted(row for r in entries for row in set(r["rows"])) == list(range(1, 31))
+
+
 REQUESTS = [
     *(search.Request(q, field=f) for q in ("sea", "the", "of the", "eagul", "SEAGULL o", "한국", "한국어 바", "동장에", "\U0001f600\U0001f601", "ab%c", "f_the", "%", "x_y", "zzz", "ulls of the sea", "laugh} ", "É") for f in ("form", "original_form")),
     *(search.Request(q, mode="regex") for q in ("of\\sthe", "gul+s\\b", "(sea|of) the", "한국어|바다 of", "[^]{3}", "^sea", "no such thing", "x_y$", "바다{1,2}")),

@@ -1,10 +1,11 @@
-"""What must not be shuffled or sorted: the corpus in a search for frequent terms, texts where sentences are drawn."""
+"""What must not be shuffled or sorted: the corpus in a search for frequent terms, texts where sentences are drawn, the places of an index."""
 
 import pytest
 
 from lexispark.operators import lookup, merge
 from lexispark.operators.filters import Filters
 from lexispark.operators.search import Request, matched
+from lexispark.sources import index
 from samples import token_stats, utterances
 
 
@@ -33,3 +34,9 @@ def test_sentences_are_drawn_without_their_texts(spark):
     plan = merge.sentences(utterances(spark, [("d", "a", "one"), ("d", "a", "two."), ("d", "b", "three.")]))._jdf.queryExecution().optimizedPlan()
     windows = [n.output().mkString(" ") for n in nodes(plan) if n.nodeName() == "Window"]
     assert windows and not any(f"{c}#" in x for x in windows for c in ("text", "form", "label", "utterance_id"))
+
+
+def test_an_index_is_written_without_a_shuffle(spark):
+    rows = utterances(spark, [("d", "s", f"the of {k}") for k in range(40)])
+    for made in (index.postings(rows, 120, 40), index.grams(rows)):
+        assert not {n.nodeName() for n in nodes(made._jdf.queryExecution().optimizedPlan())} & {"Join", "Aggregate", "Window", "RepartitionByExpression"}
