@@ -56,6 +56,12 @@ def test_ingested(spark, stored):
         engine.store.ingest(f"file://{root}/none")
 
 
+def test_tables_are_stored_small(stored):
+    _, root, _ = stored
+    files = list((root / "store").rglob("*.parquet"))
+    assert files and all(f.name.endswith(".zstd.parquet") for f in files)
+
+
 def test_engine(spark, stored, tmp_path):
     engine, _, records = stored
     a, b = (r["corpus_id"] for r in records)
